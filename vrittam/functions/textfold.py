@@ -1,0 +1,133 @@
+"""Folding of text to comparable forms.
+
+``skeleton`` keeps every visible letter and mark but not the characters they are written with:
+decompose, replace each character by the prototype of its shape, decompose again.
+``letters`` is the skeleton in lower case without punctuation and blanks.
+"""
+
+from __future__ import annotations
+
+import re
+import sys
+import unicodedata
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Characters of the same shape (after full decomposition), from the Unicode
+# confusables data; left the character, right the prototype.
+# Cyrillic and Greek letters drawn like Latin ones:
+SHAPES_LATIN = dict(
+    zip(
+        "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧοıɑɡ",
+        "ABESIJKMHOPCTYXaesijopcyxhdqwlABEZHIKMNOPTYXoiag",
+        strict=True,
+    )
+)
+# Kannada letters drawn like the Telugu letter at the same place of its block:
+SHAPES_KANNADA = "ಂಃಅಆಇಒಓಔಜಞಣಯಱಲ"
+# Digits zero drawn like the nasal sign:
+SHAPES_NASAL = {"౦": "ం", "೦": "ం"}
+
+#: Distance of the Kannada from the Telugu block.
+KANNADA_STEP = 0x80
+
+
+@lru_cache(maxsize=1)
+def shape_table() -> dict[int, str | None]:
+    """Character to prototype; invisible characters to nothing, every blank to one space."""
+    table: dict[int, str | None] = {ord(a): b for a, b in SHAPES_LATIN.items()}
+    table |= {ord(c): chr(ord(c) - KANNADA_STEP) for c in SHAPES_KANNADA}
+    table |= {ord(a): b for a, b in SHAPES_NASAL.items()}
+    for cp in range(sys.maxunicode + 1):
+        c = chr(cp)
+        if c.isspace():
+            table[cp] = " "
+        elif unicodedata.category(c) in ("Cf", "Cc"):
+            table[cp] = None
+    # default-ignorable characters that are neither format nor control characters
+    for lo, hi in ((0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF)):
+        table |= dict.fromkeys(range(lo, hi + 1))
+    return table
+
+
+def skeleton(text: str) -> str:
+    """Shape-equal form of a text: letters, marks, digits and punctuation, blanks as single spaces."""
+    s = unicodedata.normalize("NFKD", text).translate(shape_table())
+    return " ".join(unicodedata.normalize("NFD", s).split())
+
+
+def tight_skeleton(text: str) -> str:
+    """:func:`skeleton` without blanks."""
+    s = unicodedata.normalize("NFKD", text).translate(shape_table())
+    return unicodedata.normalize("NFD", s).replace(" ", "")
+
+
+_KEEP: dict[str, bool] = {}
+
+
+class _Letters(dict):
+    """Translation table made on demand: shapes and case folded, all but letters, marks and digits a space."""
+
+    def __missing__(self, cp: int):
+        table = shape_table()
+        if cp in table:
+            out = table[cp]
+        else:
+            c = chr(cp)
+            out = c if unicodedata.category(c)[0] in "LMN" else " "
+        if out and out != " ":
+            out = unicodedata.normalize("NFD", out.lower())
+        self[cp] = out
+        return out
+
+
+_LETTERS = _Letters()
+
+
+def folded_words(text: str) -> list[str]:
+    """Words of a text in folded form: shapes, case and punctuation do not matter."""
+    return unicodedata.normalize("NFKD", text).translate(_LETTERS).split()
+
+
+def letters(text: str) -> str:
+    """Folded letters in their order, without blanks and punctuation."""
+    return "".join(folded_words(text))
+
+
+_ORDINARY = re.compile(r"[ \t\r\n]+")
+
+
+def without_ordinary_space(text: str) -> str:
+    """Text without spaces, tabs and line ends; other blanks stay."""
+    return _ORDINARY.sub("", text)
+
+
+def _digest(text: str) -> bytes | None:
+    import hashlib
+
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest() if text else None
+
+
+@F.pandas_udf(T.BinaryType())
+def letters_key(s: pd.Series) -> pd.Series:
+    """128-bit digest of :func:`letters`; null for a null text or one without letters."""
+    return s.map(lambda x: None if x is None else _digest(letters(x)))
+
+
+@F.pandas_udf(T.StructType().add("skeleton", T.BinaryType()).add("form", T.BinaryType()))
+def shape_keys(s: pd.Series) -> pd.DataFrame:
+    """Digests of the blank-free skeleton and of the text without ordinary white space; nulls for null and blank texts."""
+    rows = []
+    for x in s:
+        t = "" if x is None else tight_skeleton(x)
+        rows.append((_digest(t), _digest(without_ordinary_space(x))) if t else (None, None))
+    return pd.DataFrame(rows, columns=["skeleton", "form"])
+
+
+@F.pandas_udf(T.StringType())
+def skeleton_text(s: pd.Series) -> pd.Series:
+    """:func:`skeleton` as a column function; null stays null."""
+    return s.map(lambda x: None if x is None else skeleton(x))

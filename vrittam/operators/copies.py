@@ -1,0 +1,60 @@
+"""Records that are equal but for how they are set down."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.textfold import letters_key
+from ..scratch import materialise
+from .hotkeys import HOT_ROWS, SALTS
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``key``: the digest of the folded letters. Null and blank texts and texts without letters are left out."""
+    return df.select(F.col(id_col).alias("id"), letters_key(F.col(text_col)).alias("key")).filter("key is not null")
+
+
+def _split(keys: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary and of hot keys, the latter found by exact counts (partial counts are merged, not rows)."""
+    hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows).select("key")
+    # the hot keys are at most rows / hot_rows; the join below is a broadcast while that is small
+    # and a shuffle of the key otherwise, by the session's size limit
+    flagged = keys.join(hot.withColumn("hot", F.lit(True)), "key", "left")
+    flagged = materialise(flagged.withColumn("hot", F.coalesce("hot", F.lit(False))), "copies")
+    return flagged.filter("not hot").drop("hot"), flagged.filter("hot").drop("hot")
+
+
+def copy_groups(df: DataFrame, id_col: str, text_col: str, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """One row per distinct text: ``first_id`` (smallest identifier), ``copies``.
+
+    Texts are equal when their letters are, apart from blanks, punctuation, case and look-alike
+    characters. Hot keys go through two levels (key and salt, then key), the others through one.
+    Null and blank texts form no group; an empty table gives no rows. Identifiers may be of any
+    ordered type.
+    """
+    cold, hot = _split(keyed(df, id_col, text_col), hot_rows)
+    one = cold.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    salted = hot.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(F.min("id").alias("i"), F.count(F.lit(1)).alias("n"))
+    two = salted.groupBy("key").agg(F.min("i").alias("first_id"), F.sum("n").alias("copies"))
+    return one.unionByName(two).select("first_id", "copies")
+
+
+def copies_found(df: DataFrame, id_col: str, text_col: str, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """``first_id``, ``id`` of every record that is a copy of a record with a smaller identifier.
+
+    The identifiers of an ordinary group (fewer than ``hot_rows``) are gathered with its minimum, so
+    one shuffle does. Rows of hot groups stay where they are and get their representative by a
+    join with the few two-level results.
+    """
+    cold, hot = _split(keyed(df, id_col, text_col), hot_rows)
+    one = (
+        cold.groupBy("key")
+        .agg(F.min("id").alias("first_id"), F.collect_list("id").alias("ids"))
+        .filter(F.size("ids") > 1)
+        .select("first_id", F.explode("ids").alias("id"))
+    )
+    salted = hot.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(F.min("id").alias("i"))
+    reps = salted.groupBy("key").agg(F.min("i").alias("first_id"))
+    two = hot.join(reps, "key").select("first_id", "id")
+    return one.unionByName(two).filter("id > first_id")

@@ -1,0 +1,29 @@
+"""Queries of the corpus operators in the core: splits, near-duplicates, overlaps, copies."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import copies
+from ..scratch import table
+
+
+def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per couplet and its number of copies."""
+    out = copies.copy_groups(table(spark, sf_dir, "dwipada_augmented_dataset"), "rec_id", "poem")
+    return out.selectExpr("first_id as rec_id", "copies")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = copies.copies_found(table(spark, sf_dir, "dwipada_augmented_dataset"), "rec_id", "poem")
+    return out.selectExpr("first_id as rec_id_first", "id as rec_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p7_copies": p7_copies,
+    "p7_found": p7_found,
+}
+
+ORACLE_SQL: dict[str, str] = {}
