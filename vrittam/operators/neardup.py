@@ -1,0 +1,148 @@
+"""Near-duplicate records with small edits in two text fields.
+
+SuperMinHash signatures of both fields, bands that join rows of both, exact verification of the
+candidate pairs, and union-find grouping by connected components. Exact copies are one class from
+the start, so a group of copies costs one row in every later step.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.superminhash import band_keys, grams, signatures
+from ..functions.textfold import folded_words
+from ..scratch import materialise
+from .components import connected_components
+from .hotkeys import HOT_ROWS, join_hot
+
+#: Characters of a gram; bands; rows of the first and of the second field in a band. A pair at the
+#: limit (three words of eight and one of seven replaced) has word similarities of about 0.45 and
+#: 0.75, so a band holds it together with probability 0.15 and all bands miss it with 0.001.
+GRAM, BANDS, ROWS_A, ROWS_B = 4, 40, 2, 1
+#: Largest shares of changed words in the two fields.
+CHANGED_A, CHANGED_B = 3 / 8, 1 / 7
+
+
+def _digest(*parts: str) -> bytes:
+    import hashlib
+
+    return hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def features(df: DataFrame, id_col: str, a_col: str, b_col: str) -> DataFrame:
+    """``id``, ``class_key``, ``letters_key``, folded words ``a``, ``b``, band ``keys``. Rows with a null or blank field are left out."""
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("class_key", T.BinaryType()), T.StructField("letters_key", T.BinaryType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 2000):
+                batch = big.slice(at, 2000)
+                rows = []
+                for i, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    wa, wb = folded_words(a or ""), folded_words(b or "")
+                    if wa and wb:
+                        rows.append((i, _digest("".join(wa), " ".join(sorted(wb))), _digest("".join(wa)), " ".join(wa), " ".join(wb)))
+                if not rows:
+                    continue
+                cols = [list(c) for c in zip(*rows)]
+                n = len(rows)
+                sa = signatures(*grams(cols[3], GRAM), n, BANDS * ROWS_A, seed=1)
+                sb = signatures(*grams(cols[4], GRAM), n, BANDS * ROWS_B, seed=2)
+                keys = np.empty((n, BANDS), dtype=np.uint64)
+                for j in range(BANDS):
+                    tag = np.full((n, 1), j, dtype=np.float32)
+                    keys[:, j] = band_keys([tag, sa[:, j * ROWS_A : (j + 1) * ROWS_A], sb[:, j * ROWS_B : (j + 1) * ROWS_B]])
+                flat = pa.array(keys.view(np.int64).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), flat)
+                arrays = [pa.array(cols[0], type=batch.column(0).type), pa.array(cols[1], type=pa.binary()), pa.array(cols[2], type=pa.binary()), pa.array(cols[3], type=pa.string()), pa.array(cols[4], type=pa.string()), lists]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return df.select(F.col(id_col).alias("i"), F.col(a_col).cast("string").alias("a"), F.col(b_col).cast("string").alias("b")).mapInArrow(run, schema)
+
+
+def changed_words(x: list[str], y: list[str]) -> int:
+    """Words replaced, added or lost between two texts; order does not count, nor words run together."""
+    cx, cy = Counter(x), Counter(y)
+    rx, ry = cx - cy, cy - cx
+    if rx and ry:
+        _unjoin(x, rx, ry)
+        _unjoin(y, ry, rx)
+    return max(rx.total(), ry.total())
+
+
+def _unjoin(words: list[str], rest: Counter, other: Counter) -> None:
+    """Take out neighbours left in ``rest`` whose concatenation is a word left in ``other``."""
+    for i in range(len(words) - 1):
+        if not rest[words[i]]:
+            continue
+        joined, j = words[i], i + 1
+        while j < len(words) and rest[words[j]] and len(joined) < 400:
+            joined += words[j]
+            j += 1
+            if other[joined]:
+                other[joined] -= 1
+                rest.subtract(words[i:j])
+                break
+    for c in (rest, other):
+        for w in [w for w, k in c.items() if k <= 0]:
+            del c[w]
+
+
+def near(x: str, y: str, share: float) -> bool:
+    """At most ``share`` of the longer text's words are changed."""
+    a, b = x.split(" "), y.split(" ")
+    return changed_words(a, b) <= share * max(len(a), len(b)) + 1e-9
+
+
+@F.pandas_udf(T.BooleanType())
+def _both_near(a1: pd.Series, a2: pd.Series, b1: pd.Series, b2: pd.Series) -> pd.Series:
+    return pd.Series([near(p, q, CHANGED_A) and near(r, s, CHANGED_B) for p, q, r, s in zip(a1, a2, b1, b2)], dtype=bool)
+
+
+class NearDuplicates:
+    """Stages of the operator over one table; each is made once."""
+
+    def __init__(self, df: DataFrame, id_col: str, a_col: str, b_col: str):
+        self.rows = materialise(features(df, id_col, a_col, b_col), "neardup")
+        reps = self.rows.groupBy("class_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+        self.classes = materialise(reps, "classes")
+        #: class members; the join with the classes is by key, its hot keys are spread
+        hot = self.classes.filter(F.col("n") >= HOT_ROWS).select("class_key")
+        self.members = join_hot(self.rows.select("class_key", "letters_key", "id"), self.classes.select("class_key", "rep"), ["class_key"], hot)
+        self.reps = self.rows.join(self.classes.select(F.col("rep").alias("id")), "id", "left_semi")
+
+    def candidates(self) -> DataFrame:
+        """Distinct pairs of class representatives that share a band."""
+        keys = self.reps.select("id", F.explode("keys").alias("key"))
+        return keys.toDF("x", "key").join(keys.toDF("y", "key"), "key").filter("x < y").select("x", "y").distinct()
+
+    def links(self) -> DataFrame:
+        """Verified pairs ``x`` < ``y`` of class representatives."""
+        text = self.reps.select("id", "a", "b")
+        pairs = self.candidates().join(text.toDF("x", "a1", "b1"), "x").join(text.toDF("y", "a2", "b2"), "y")
+        return materialise(pairs.filter(_both_near("a1", "a2", "b1", "b2")).select("x", "y"), "links")
+
+    def groups(self) -> DataFrame:
+        """``id``, ``group_id`` (smallest identifier) of the records of groups with at least two records."""
+        comp = connected_components(self.links().toDF("src", "dst"))
+        out = self.members.join(comp.toDF("rep", "group"), "rep", "left").select("id", F.coalesce("group", "rep").alias("group_id"))
+        sizes = out.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_records"))
+        return out.join(sizes.filter("n_records > 1"), "group_id").select("id", "group_id", "n_records")
+
+    def pairs(self) -> DataFrame:
+        """``id_a`` < ``id_b``: every two records of linked classes whose first fields are not copies of each other."""
+        links = self.links()
+        linked = links.select(F.col("x").alias("rep")).union(links.select(F.col("y").alias("rep"))).distinct()
+        m = materialise(self.members.join(linked, "rep", "left_semi").select("rep", "id", "letters_key"), "linked")
+        hot = m.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_ROWS).select("rep")
+        left = join_hot(m.toDF("x", "id_x", "kx"), links, ["x"], hot.toDF("x"))
+        both = join_hot(left, m.toDF("y", "id_y", "ky"), ["y"], hot.toDF("y"))
+        return both.filter("kx <> ky").select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import copies
+from ..operators import copies, neardup
 from ..scratch import table
 
 
@@ -21,7 +21,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("first_id as rec_id_first", "id as rec_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    op = neardup.NearDuplicates(table(spark, sf_dir, "dwipada_augmented_dataset"), "rec_id", "poem", "telugu_meaning")
+    return op.pairs().selectExpr("id_a as rec_id_a", "id_b as rec_id_b")
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate couplet records."""
+    op = neardup.NearDuplicates(table(spark, sf_dir, "dwipada_augmented_dataset"), "rec_id", "poem", "telugu_meaning")
+    return op.groups().withColumnRenamed("id", "rec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p7_copies": p7_copies,
     "p7_found": p7_found,
 }
