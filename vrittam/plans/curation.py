@@ -5,11 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import copies, neardup
+from ..functions.names import clean_source
+from ..operators import copies, neardup, overlap
 from ..scratch import table
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = overlap.split_overlaps(table(spark, sf_dir, "ift_data"), "ift_id", "instruction", "output", "split")
+    return out.selectExpr("least(eval_id, train_id) as ift_id_a", "greatest(eval_id, train_id) as ift_id_b")
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping pairs and evaluation records by evaluation split and source."""
+    ift = table(spark, sf_dir, "ift_data")
+    found = overlap.split_overlaps(ift, "ift_id", "instruction", "output", "split")
+    side = ift.select(F.col("ift_id").alias("eval_id"), "split", clean_source(F.col("source")).alias("source"))
+    return found.join(side, "eval_id").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("eval_id").alias("n_eval_records"))
+
+
 def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per couplet and its number of copies."""
     out = copies.copy_groups(table(spark, sf_dir, "dwipada_augmented_dataset"), "rec_id", "poem")
@@ -35,6 +50,8 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_report": p6_report,
     "p7_copies": p7_copies,
     "p7_found": p7_found,
 }
