@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import clean_source
-from ..operators import copies, neardup, overlap
+from ..operators import copies, neardup, overlap, splits
 from ..scratch import table
 
 
@@ -36,6 +36,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("first_id as rec_id_first", "id as rec_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = splits.linked_records(table(spark, sf_dir, "ift_data"), "ift_id", "output")
+    return out.selectExpr("first_id as ift_id_first", "id as ift_id")
+
+
+def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New split of every instruction record."""
+    out = splits.grouped_splits(table(spark, sf_dir, "ift_data"), "ift_id", "output", "profile_id")
+    return out.selectExpr("id as ift_id", "component as ift_id_first", "split as new_split")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = neardup.NearDuplicates(table(spark, sf_dir, "dwipada_augmented_dataset"), "rec_id", "poem", "telugu_meaning")
     return op.pairs().selectExpr("id_a as rec_id_a", "id_b as rec_id_b")
@@ -48,6 +59,8 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_splits": p3_splits,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
