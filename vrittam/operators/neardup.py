@@ -37,35 +37,40 @@ def _digest(*parts: str) -> bytes:
     return hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def features(df: DataFrame, id_col: str, a_col: str, b_col: str) -> DataFrame:
-    """``id``, ``class_key``, ``letters_key``, folded words ``a``, ``b``, band ``keys``. Rows with a null or blank field are left out."""
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("class_key", T.BinaryType()), T.StructField("letters_key", T.BinaryType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+def folded(df: DataFrame, id_col: str, a_col: str, b_col: str) -> DataFrame:
+    """``id``, ``class_key``, ``letters_key``, folded words ``a``, ``b``. Rows with a null or blank field are left out."""
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("class_key", T.BinaryType()), T.StructField("letters_key", T.BinaryType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                wa, wb = folded_words(a or ""), folded_words(b or "")
+                if wa and wb:
+                    rows.append((i, _digest("".join(wa), " ".join(sorted(wb))), _digest("".join(wa)), " ".join(wa), " ".join(wb)))
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f) for c, f in zip(cols, (batch.column(0).type, pa.binary(), pa.binary(), pa.string(), pa.string()))], names=schema.names)
+
+    return df.select(F.col(id_col).alias("i"), F.col(a_col).cast("string").alias("a"), F.col(b_col).cast("string").alias("b")).mapInArrow(run, schema)
+
+
+def banded(texts: DataFrame) -> DataFrame:
+    """``id``, ``key`` of every band of texts ``id``, ``a``, ``b``."""
+    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("key", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 2000):
                 batch = big.slice(at, 2000)
-                rows = []
-                for i, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    wa, wb = folded_words(a or ""), folded_words(b or "")
-                    if wa and wb:
-                        rows.append((i, _digest("".join(wa), " ".join(sorted(wb))), _digest("".join(wa)), " ".join(wa), " ".join(wb)))
-                if not rows:
-                    continue
-                cols = [list(c) for c in zip(*rows)]
-                n = len(rows)
-                sa = signatures(*grams(cols[3], GRAM), n, BANDS * ROWS_A, seed=1)
-                sb = signatures(*grams(cols[4], GRAM), n, BANDS * ROWS_B, seed=2)
-                keys = np.empty((n, BANDS), dtype=np.uint64)
+                n = batch.num_rows
+                sa = signatures(*grams(batch.column(1).to_pylist(), GRAM), n, BANDS * ROWS_A, seed=1)
+                sb = signatures(*grams(batch.column(2).to_pylist(), GRAM), n, BANDS * ROWS_B, seed=2)
                 for j in range(BANDS):
                     tag = np.full((n, 1), j, dtype=np.float32)
-                    keys[:, j] = band_keys([tag, sa[:, j * ROWS_A : (j + 1) * ROWS_A], sb[:, j * ROWS_B : (j + 1) * ROWS_B]])
-                flat = pa.array(keys.view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), flat)
-                arrays = [pa.array(cols[0], type=batch.column(0).type), pa.array(cols[1], type=pa.binary()), pa.array(cols[2], type=pa.binary()), pa.array(cols[3], type=pa.string()), pa.array(cols[4], type=pa.string()), lists]
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                    key = band_keys([tag, sa[:, j * ROWS_A : (j + 1) * ROWS_A], sb[:, j * ROWS_B : (j + 1) * ROWS_B]])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key.view(np.int64))], names=schema.names)
 
-    return df.select(F.col(id_col).alias("i"), F.col(a_col).cast("string").alias("a"), F.col(b_col).cast("string").alias("b")).mapInArrow(run, schema)
+    return texts.select("id", "a", "b").mapInArrow(run, schema)
 
 
 def changed_words(x: list[str], y: list[str]) -> int:
@@ -111,7 +116,7 @@ class NearDuplicates:
     """Stages of the operator over one table; each is made once."""
 
     def __init__(self, df: DataFrame, id_col: str, a_col: str, b_col: str):
-        self.rows = materialise(features(df, id_col, a_col, b_col), "neardup")
+        self.rows = materialise(folded(df, id_col, a_col, b_col), "neardup")
         reps = self.rows.groupBy("class_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
         self.classes = materialise(reps, "classes")
         #: class members; the join with the classes is by key, its hot keys are spread
@@ -121,7 +126,7 @@ class NearDuplicates:
 
     def candidates(self) -> DataFrame:
         """Distinct pairs of class representatives that share a band."""
-        keys = self.reps.select("id", F.explode("keys").alias("key"))
+        keys = banded(self.reps)
         return keys.toDF("x", "key").join(keys.toDF("y", "key"), "key").filter("x < y").select("x", "y").distinct()
 
     def links(self) -> DataFrame:
