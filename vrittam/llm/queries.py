@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..scratch import table
-from . import encode, lookalikes
+from . import defects, encode, lookalikes
 
 
 def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("id_a as rec_id_a", "id_b as rec_id_b")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = defects.broken_answers(table(spark, sf_dir, "benchmark_results"), "result_id", "prompt", "raw_output")
+    return out.withColumnRenamed("id", "result_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -28,6 +33,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_canonical": p2_canonical,
     "p2_found": p2_found,
+    "p4_found": p4_found,
     "p8_ids": p8_ids,
 }
 
