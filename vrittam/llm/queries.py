@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..scratch import table
-from . import defects, encode, lookalikes
+from . import defects, encode, lookalikes, quality
 
 
 def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +30,22 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    return quality.text_quality(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_statistics(spark, sf_dir).filter("not connected").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_canonical": p2_canonical,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p8_ids": p8_ids,
+    "p10_found": p10_found,
+    "p10_statistics": p10_statistics,
 }
 
 ORACLE_SQL: dict[str, str] = {}
