@@ -46,7 +46,7 @@ _SEPARATORS = re.compile(r"[|\t·»;=<>/\\]")
 _LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _LINE_END = re.compile(r"[.?!।॥…,;:][\"'”’»)\]]*$")
 _SENTENCE = re.compile(r"[^\W\d_][^\s.?!।]*[.?!।]+(?=[\s\"'”’)]|$)")
-_BULLET = re.compile(r"(?:[-+*•·◦▪>]|\(?[0-9a-zA-Z]{1,3}[.)]|[ivx]{1,4}\.|\[\d+\])\s")
+_BULLET = re.compile(r"(?:[-–—+*•·◦▪>]|\(?[0-9a-zA-Z]{1,3}[.)]|[ivx]{1,4}\.|\[\d+\])\s")
 _PAIR = re.compile(r"\S\s+(?::|=|->|–|—|-)\s+\S|\.{3,}\s*\d+$")
 # endings of finite verbs
 _VERB = re.compile("(?:ెను|ాడు|ింది|ింది|ారు|ాయి|ున్నది|ేను|ండి|ుంది|ింది|ెద|ను|ది|ದನು|ದಳು|ದರು|ಿತು|ತ್ತು|ದೆ)$")
