@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation
+from . import curation, verse
 
-QUERIES = {**curation.QUERIES}
-ORACLE_SQL = {**curation.ORACLE_SQL}
+QUERIES = {**curation.QUERIES, **verse.QUERIES}
+ORACLE_SQL = {**curation.ORACLE_SQL, **verse.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p7_copies"](spark, sf_dir)
+    return QUERIES["source_purity"](spark, sf_dir)
