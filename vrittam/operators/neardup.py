@@ -75,12 +75,32 @@ def banded(texts: DataFrame) -> DataFrame:
 
 def changed_words(x: list[str], y: list[str]) -> int:
     """Words replaced, added or lost between two texts; order does not count, nor words run together."""
-    cx, cy = Counter(x), Counter(y)
-    rx, ry = cx - cy, cy - cx
-    if rx and ry:
-        _unjoin(x, rx, ry)
-        _unjoin(y, ry, rx)
-    return max(rx.total(), ry.total())
+    left: dict[str, int] = {}
+    for w in x:
+        left[w] = left.get(w, 0) + 1
+    extra: dict[str, int] = {}
+    n_left, n_extra = len(x), 0
+    for w in y:
+        k = left.get(w, 0)
+        if k:
+            left[w] = k - 1
+            n_left -= 1
+        else:
+            extra[w] = extra.get(w, 0) + 1
+            n_extra += 1
+    if n_left and n_extra:
+        a = {w: k for w, k in left.items() if k}
+        if _may_join(a, extra) or _may_join(extra, a):
+            a, b = Counter(a), Counter(extra)
+            _unjoin(x, a, b)
+            _unjoin(y, b, a)
+            return max(a.total(), b.total())
+    return max(n_left, n_extra)
+
+
+def _may_join(parts: dict[str, int], wholes: dict[str, int]) -> bool:
+    """Some word begins with one of the parts."""
+    return any(w[:k] in parts for w in wholes for k in range(1, len(w)))
 
 
 def _unjoin(words: list[str], rest: Counter, other: Counter) -> None:
