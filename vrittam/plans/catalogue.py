@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, verse
+from . import corpus, curation, verse
 
-QUERIES = {**curation.QUERIES, **verse.QUERIES}
-ORACLE_SQL = {**curation.ORACLE_SQL, **verse.ORACLE_SQL}
+QUERIES = {**curation.QUERIES, **verse.QUERIES, **corpus.QUERIES}
+ORACLE_SQL = {**curation.ORACLE_SQL, **verse.ORACLE_SQL, **corpus.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
