@@ -30,3 +30,12 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame |
     lhs = left.join(h, on, "left").withColumn("_salt", spread).drop("_hot")
     rhs = right.join(h, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return lhs.join(rhs, [*on, "_salt"]).drop("_salt")
+
+
+#: Rows up to which a written table of a few narrow columns is broadcast: some megabytes.
+SMALL_ROWS = 200_000
+
+
+def small(written: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A written table with a broadcast hint if it has at most ``rows`` rows, and without one beyond."""
+    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
