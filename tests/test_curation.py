@@ -1,0 +1,175 @@
+"""Copies, near-duplicates, overlaps and splits against brute force on small tables, and their edge cases."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from vrittam.functions.couplets import quoted_couplets
+from vrittam.functions.superminhash import grams, signatures
+from vrittam.functions.textfold import folded_words, letters, skeleton, tight_skeleton
+from vrittam.operators import copies, neardup, overlap, splits
+from vrittam.operators.components import connected_components
+
+SYL = "కి గూ మ రా లు త్య నం పె సో వి చా జ".split()
+
+
+def word(rng):
+    return "".join(rng.choice(SYL) for _ in range(rng.randint(2, 4)))
+
+
+def test_folding():
+    assert skeleton("ａｂ​c") == "abc"
+    assert tight_skeleton("м i") != tight_skeleton("m i")  # not alike
+    assert tight_skeleton("pа́") == tight_skeleton("pá")  # Cyrillic a with accent
+    assert letters("Ab, c!") == "abc" == letters(" a\nB-C")
+    assert letters("త౦ಲ") == letters("తంల")
+    assert folded_words("ఒక‍,రెండు") == ["ఒక", "రెండు"]
+
+
+def test_copies(spark):
+    rows = [(5, "ab c"), (3, "A-b\nC."), (9, "abd"), (1, None), (2, "  "), (4, "..."), (7, "a​bc"), (8, "abd")]
+    df = spark.createDataFrame(rows, "rec_id int, poem string").withColumn("key", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("clash"))
+    for hot in (2, 1000):  # through both ways
+        got = {tuple(r) for r in copies.copies_found(df, "rec_id", "poem", hot_rows=hot, salts=3).collect()}
+        assert got == {(3, 5), (3, 7), (8, 9)}
+        groups = {tuple(r) for r in copies.copy_groups(df, "rec_id", "poem", hot_rows=hot, salts=3).collect()}
+        assert groups == {(3, 3), (8, 2)}
+    assert copies.copies_found(df.limit(0), "rec_id", "poem").count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200), (None, 3)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "src int, dst int")).collect()}
+    assert got == {x: find(x) for x in list(parent)}
+
+
+def test_signatures_estimate_similarity():
+    a = [" ".join(f"w{i:03d}" for i in range(0, 60)), " ".join(f"w{i:03d}" for i in range(20, 80)), "", "xy"]
+    sig = signatures(*grams(a, 4), 4, 256)
+    est = float((sig[0] == sig[1]).mean())
+    assert abs(est - 40 / 80) < 0.12
+    assert np.isinf(sig[2]).all() and np.isfinite(sig[3]).all()
+
+
+def test_changed_words():
+    n = neardup.changed_words
+    assert n("a b c".split(), "c b a".split()) == 0
+    assert n("ab cd e".split(), "abcd e".split()) == 0
+    assert n("a b c".split(), "a x c y".split()) == 2
+
+
+def near_table(rng, n=120):
+    rows, k = [], 0
+    for _ in range(n):
+        p, m = [word(rng) for _ in range(8)], [word(rng) for _ in range(21)]
+        for _ in range(rng.randint(1, 3)):
+            q, o = list(p), list(m)
+            for _ in range(rng.randint(0, 4)):
+                q[rng.randrange(8)] = word(rng)
+            for _ in range(rng.randint(0, 4)):
+                o[rng.randrange(21)] = word(rng)
+            rng.shuffle(o)
+            rows.append((k, " ".join(q[:4]) + "\n" + " ".join(q[4:]), " ".join(o)))
+            k += 1
+    return rows
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rows = near_table(random.Random(1)) + [(9001, None, "x"), (9002, "a", None), (9003, "", " "), (9004, "a" * 5000, "b" * 5000), (9005, "a" * 5000, "b" * 5000)]
+    df = spark.createDataFrame(rows, "rec_id int, poem string, meaning string")
+    op = neardup.NearDuplicates(df, "rec_id", "poem", "meaning")
+    got = {tuple(r) for r in op.pairs().collect()}
+    text = {i: (" ".join(folded_words(p)), " ".join(folded_words(m))) for i, p, m in rows if p and m and p.strip()}
+    want = {
+        (a, b)
+        for a, b in itertools.combinations(sorted(text), 2)
+        if text[a][0].replace(" ", "") != text[b][0].replace(" ", "") and neardup.near(text[a][0], text[b][0], neardup.CHANGED_A) and neardup.near(text[a][1], text[b][1], neardup.CHANGED_B)
+    }
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 20
+    groups = {r.id: r.group_id for r in op.groups().collect()}
+    assert all(groups[a] == groups[b] for a, b in got) and groups[9004] == groups[9005] == 9004
+    empty = neardup.NearDuplicates(df.limit(0), "rec_id", "poem", "meaning")
+    assert empty.pairs().count() == 0 and empty.groups().count() == 0
+
+
+def test_overlaps_against_all_pairs(spark):
+    rng = random.Random(2)
+    rows, k = [], 0
+    for _ in range(260):
+        a, b = [word(rng) for _ in range(rng.choice((6, 12, 20)))], [word(rng) for _ in range(rng.choice((8, 10, 30, 45)))]
+        for _ in range(rng.randint(1, 3)):
+            x, y = list(a), list(b)
+            for t in (x, y):
+                for _ in range(rng.randint(0, len(t) // 4)):
+                    t[rng.randrange(len(t))] = word(rng)
+            if rng.random() < 0.3:
+                y = y[len(y) // 2 :] + y[: len(y) // 2]
+            rows.append((k, " ".join(x), " ".join(y), rng.choice(("train", "train", "val", "test"))))
+            k += 1
+    rows += [(9001, None, "a b", "val"), (9002, "a", " ", "train"), (9003, "p q", "r", "val"), (9004, "P, q", "r.", "train"), (9005, "p q", "r", None)]
+    df = spark.createDataFrame(rows, "ift_id int, instruction string, output string, split string")
+    got = {tuple(r) for r in overlap.split_overlaps(df, "ift_id", "instruction", "output", "split").collect()}
+    text = {i: (" ".join(folded_words(a)), " ".join(folded_words(b)), s) for i, a, b, s in rows if a and b and b.strip() and s}
+    want = {
+        (e, t)
+        for e in text
+        for t in text
+        if text[e][2] != "train" and text[t][2] == "train" and neardup.near(text[e][0], text[t][0], overlap.CHANGED) and neardup.near(text[e][1], text[t][1], overlap.CHANGED)
+    }
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 30 and (9003, 9004) in got
+    assert overlap.split_overlaps(df.limit(0), "ift_id", "instruction", "output", "split").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "n"),
+    [("అ ఆ ఇ ఈ\nక ఖ గ ఘ", 1), ("పద్యం:\nఅ ఆ ఇ ఈ / క ఖ గ ఘ\n\nభావం: ఒక రెండు. మూడు.", 1), ("మొదటి పద్యం:\nఅ ఆ ఇ ఈ\nక ఖ గ ఘ\n\nరెండవ పద్యం:\nచ ఛ జ ఝ;\n\nట ఠ డ ఢ\n\nముగింపు: సరి.", 2), ("", 0), (None, 0), ("అ ఆ", 0)],
+)
+def test_quoted_couplets(text, n):
+    assert len(quoted_couplets(text)) == n
+
+
+def test_splits(spark):
+    rng = random.Random(5)
+    couplets = [" ".join(word(rng) for _ in range(4)) + "\n" + " ".join(word(rng) for _ in range(4)) for _ in range(250)]
+    rows, k = [], 0
+    for c in couplets:
+        for _ in range(rng.randint(1, 5)):
+            rows.append((k, c if rng.random() < 0.7 else f"పద్యం:\n{c}\n\nభావం: ఒకటి.", rng.choice("ab")))
+            k += 1
+    rows += [(k, None, None), (k + 1, " ", "a"), (k + 2, f"మొదటి పద్యం:\n{couplets[0]}\n\nరెండవ పద్యం:\n{couplets[1]}", "b")]
+    df = spark.createDataFrame(rows, "ift_id int, output string, profile string")
+    got = {r.id: r for r in splits.grouped_splits(df, "ift_id", "output", "profile", block=100, large=10_000).collect()}
+    assert set(got) == {r[0] for r in rows}
+    by = {}
+    for r in got.values():
+        by.setdefault(r.component, set()).add(r.split)
+    assert all(len(s) == 1 for s in by.values())
+    n = len(got)
+    share = {s: sum(r.split == s for r in got.values()) / n for s in splits.SPLITS}
+    assert abs(share["train"] - 0.8) < 0.02 and abs(share["val"] - 0.1) < 0.02
+    links = {tuple(r) for r in splits.linked_records(df, "ift_id", "output").collect()}
+    first = {}
+    for i, o, _ in rows:
+        for q in quoted_couplets(o):
+            first.setdefault(q, i)
+    assert all(got[i].component == a for a, i in links) and got[k + 2].component == 0
+    # one component with most rows is placed whole
+    giant = spark.createDataFrame([(i, couplets[0], "a") for i in range(60)] + [(100 + i, couplets[i + 1], "a") for i in range(40)], "ift_id int, output string, profile string")
+    res = splits.grouped_splits(giant, "ift_id", "output", "profile", block=10, large=50).collect()
+    assert len({r.split for r in res if r.id < 60}) == 1 and len({r.split for r in res}) == 3
+    assert splits.grouped_splits(df.limit(0), "ift_id", "output", "profile").count() == 0

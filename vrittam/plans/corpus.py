@@ -298,7 +298,7 @@ ORACLE_SQL: dict[str, str] = {
 m AS (SELECT rec_id, list_avg(list_transform(range(1, greatest(len(w), 2)), lambda i: len(list_distinct(list_slice(w, i, i + 1))) / 2.0)) AS m FROM w WHERE len(w) > 0)
 SELECT rec_id, n AS n_words, round(v / n::DOUBLE, 6) AS ttr, round(CASE WHEN n <= 2 THEN v / n::DOUBLE ELSE m END, 6) AS mattr, round(CASE WHEN n = 1 THEN 0.0 ELSE 1e4 * (sq - n) / (n::DOUBLE * n) END, 6) AS yules_k, round({_HONORE}, 6) AS honores_h FROM a JOIN m USING (rec_id)""",
     "corpus_lexical": f"WITH f AS (SELECT word, count(*) AS k FROM (SELECT unnest({_WORDS('poem')}) AS word FROM {POEMS}) GROUP BY 1), a AS (SELECT sum(k)::BIGINT AS n, count(*) AS v, count(*) FILTER (k = 1) AS v1, count(*) FILTER (k = 2) AS v2, sum(k * k)::DOUBLE AS sq FROM f) SELECT n AS n_words, v AS n_types, v1 AS hapax, v2 AS dis, round(v / n::DOUBLE, 6) AS ttr, round(v1 / v::DOUBLE, 6) AS hapax_ratio, round(v2 / v::DOUBLE, 6) AS sichels_s, round(1e4 * (sq - n) / (n::DOUBLE * n), 6) AS yules_k, round({_HONORE}, 6) AS honores_h FROM a",
-    "corpus_mattr50": f"WITH p AS (SELECT rec_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM (SELECT rec_id, {_WORDS('poem')} AS w FROM {POEMS} WHERE poem IS NOT NULL)), f AS (SELECT word, min((rec_id, at)) AS first FROM p GROUP BY 1), s AS (SELECT row_number() OVER (ORDER BY first) AS i, word FROM p JOIN f USING (word)), d AS (SELECT i, count(DISTINCT word) OVER (ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS k FROM s) SELECT round(avg(k / 50.0), 6) AS mattr FROM d WHERE i >= 50",
+    "corpus_mattr50": f"WITH p AS (SELECT rec_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM (SELECT rec_id, {_WORDS('poem')} AS w FROM {POEMS} WHERE poem IS NOT NULL)), f AS (SELECT word, min((rec_id, pos)) AS first FROM p GROUP BY 1), s AS (SELECT row_number() OVER (ORDER BY first) AS i, word FROM p JOIN f USING (word)), d AS (SELECT i, count(DISTINCT word) OVER (ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS k FROM s) SELECT round(avg(k / 50.0), 6) AS mattr FROM d WHERE i >= 50",
     "top_words": f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS('telugu_meaning')}) AS word FROM {POEMS}) GROUP BY 1 ORDER BY n DESC, word LIMIT 25",
     "source_ttr": f"SELECT work, count(*) AS n_words, count(DISTINCT word) AS n_types, round(count(DISTINCT word) / count(*)::DOUBLE, 6) AS ttr FROM (SELECT {CLEAN_SOURCE_SQL} AS work, unnest({_WORDS('poem')}) AS word FROM {POEMS}) GROUP BY 1",
     "level2_ratio": f"WITH {_RATIO} SELECT count(*) AS n, count(*) FILTER (ratio > 0.8 AND ratio < 2.5) AS n_pass, round(avg(ratio), 6) AS mean, round(quantile_cont(ratio, 0.5), 6) AS median, round(min(ratio), 6) AS least, round(max(ratio), 6) AS most FROM r",
