@@ -8,6 +8,7 @@ measured over its whole text and judged in one narrow pass.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,28 +38,41 @@ COMMON_WORDS = frozenset(
 STATISTICS = ("n_words", "mean_word_length", "symbol_ratio", "line_end_punctuation", "common_word_share")
 FEATURES = (*STATISTICS, "digit_ratio", "separator_ratio", "letter_ratio", "replacement_ratio", "words_per_line", "short_line_share", "verse_line_share", "list_line_share", "unique_word_share", "top_word_share", "repeated_line_share", "long_word_share", "squeeze", "comma_share", "tag_ratio", "stray_mark_share", "sentences_per_word", "letter_word_share", "pair_line_share", "verb_share", "hundred_characters")
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-_MARKS = re.compile("[̀-ͯఀ-ఄా-్ౕౖౢౣಀ-ಃಾ-್ೕೖ]+")
-_DIGITS = re.compile(r"[0-9౦-౯೦-೯]+")
-_SPACES = re.compile(r"\s+")
-_PLAIN = re.compile(r"[.,?!;:'\"“”‘’()।॥\-–—…]+")
+_DIGITS = re.compile(r"[0-9౦-౯೦-೯]")
+_PLAIN = frozenset(".,?!;:'\"“”‘’()।॥-–—…")
+_SEPARATOR_SIGNS = frozenset("|\t·»;=<>/\\")
 _SEPARATORS = re.compile(r"[|\t·»;=<>/\\]")
+
+
+class _Kinds(dict):
+    """Kind of a character: letter, mark, digit, blank, plain punctuation, other; filled as characters come."""
+
+    def __missing__(self, c: str) -> str:
+        if c.isspace():
+            kind = "blank"
+        elif _DIGITS.match(c):
+            kind = "digit"
+        elif c in _PLAIN:
+            kind = "plain"
+        else:
+            kind = {"L": "letter", "M": "mark"}.get(unicodedata.category(c)[0], "other")
+        self[c] = kind
+        return kind
+
+
+_KINDS = _Kinds()
 _LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _LINE_END = re.compile(r"[.?!।॥…,;:][\"'”’»)\]]*$")
-_SENTENCE = re.compile(r"[^\W\d_][^\s.?!।]*[.?!।]+(?=[\s\"'”’)]|$)")
+_QUOTES, _STOPS = "\"'”’)]»", frozenset(".?!।")
 _BULLET = re.compile(r"(?:[-–—+*•·◦▪>]|\(?[0-9a-zA-Z]{1,3}[.)]|[ivx]{1,4}\.|\[\d+\])\s")
 _PAIR = re.compile(r"\S\s+(?::|=|->|–|—|-)\s+\S|\.{3,}\s*\d+$")
 # endings of finite verbs
-_VERB = re.compile("(?:ెను|ాడు|ింది|ింది|ారు|ాయి|ున్నది|ేను|ండి|ుంది|ింది|ెద|ను|ది|ದನು|ದಳು|ದರು|ಿತು|ತ್ತು|ದೆ)$")
+_VERB_ENDS = tuple("ెను ాడు ింది ారు ాయి ున్నది ేను ండి ుంది ెద ను ది ದನು ದಳು ದರು ಿತು ತ್ತು ದೆ".split())
 _HEAD = re.compile(r"\s*#[^\n\r]*:[^\n\r]*(?:\r\n|[\n\r]|$)|\s*[^\n\r.?!|\t]{1,40}(?:\r\n|[\n\r])\s*(?:\r\n|[\n\r])(?=\s*\S)")
-_STRAY = re.compile("(?:^|(?<=[\\s�]))[ా-్ಾ-್]")
+_STRAY = re.compile("(?<=\ufffd)[ా-్ಾ-್]")
 _WORD_EDGE = ".,?!;:'\"“”‘’()।॥-–—…*[]{}«»"
 
 
-def _size(pattern: re.Pattern, text: str) -> int:
-    return sum(map(len, pattern.findall(text)))
-
-
 def body(text: str) -> str:
     """Text without headings at its beginning: ``# key: value`` lines and a first line of up to three words parted by an empty line."""
     at = 0
@@ -73,16 +87,40 @@ def statistics(text: str) -> list[float]:
     lines = [x for x in (y.strip() for y in _LINES.split(text)) if x]
     flat = text.split()
     n, n_lines, n_words = len(text), max(len(lines), 1), max(len(flat), 1)
-    solid = max(n - _size(_SPACES, text), 1)
-    letters, marks, digits = _size(_LETTERS, text), _size(_MARKS, text), _size(_DIGITS, text)
-    plain, separators = _size(_PLAIN, text), len(_SEPARATORS.findall(text))
-    counts = Counter(w.strip(_WORD_EDGE).lower() for w in flat)
-    counts.pop("", None)
+    signs = Counter(text)
+    kinds = dict.fromkeys(("letter", "mark", "digit", "blank", "plain", "other"), 0)
+    for c, k in signs.items():
+        kinds[_KINDS[c]] += k
+    solid = max(n - kinds["blank"], 1)
+    letters, marks, digits = kinds["letter"], kinds["mark"], kinds["digit"]
+    separators = sum(k for c, k in signs.items() if c in _SEPARATOR_SIGNS)
+    counts: dict[str, int] = {}
+    sentences = 0
+    for w, k in Counter(flat).items():
+        b = w.strip(_WORD_EDGE)
+        if b:
+            b = b.lower()
+            counts[b] = counts.get(b, 0) + k
+            if w[-1] not in b and w.rstrip(_QUOTES)[-1] in _STOPS:
+                sentences += k
     said = max(sum(counts.values()), 1)
-    common = sum(k for w, k in counts.items() if w in COMMON_WORDS)
-    lengths = [len(w) for w in counts]
-    long_words = sum(k for w, k in counts.items() if len(w) > 24)
-    letter_words = sum(k for w, k in counts.items() if not any(c.isdigit() for c in w) and w[:1].isalpha())
+    common = length = long_words = letter_words = verbs = stray = 0
+    for w, k in counts.items():
+        n_w = len(w)
+        length += n_w * k
+        if w in COMMON_WORDS:
+            common += k
+        if n_w > 24:
+            long_words += k
+        kind = _KINDS[w[0]]
+        if kind == "letter" and not (digits and _DIGITS.search(w)):
+            letter_words += k
+        elif kind == "mark":
+            stray += k
+        if w.endswith(_VERB_ENDS):
+            verbs += k
+    if signs["\ufffd"]:
+        stray += len(_STRAY.findall(text))
     per_line = [len(x.split()) for x in lines]
     repeated = 1 - len(set(lines)) / n_lines
     heads = [m.group().strip().strip(_WORD_EDGE).lower() for x in lines if (m := _BULLET.match(x))]
@@ -92,14 +130,14 @@ def statistics(text: str) -> list[float]:
     raw = text.encode("utf-8", "surrogatepass")
     return [
         float(said),
-        sum(len(w) * k for w, k in counts.items()) / said if lengths else 0.0,
-        max(solid - letters - marks - digits - plain, 0) / solid,
+        length / said,
+        kinds["other"] / solid,
         sum(bool(_LINE_END.search(x)) for x in lines) / n_lines,
         common / said,
         digits / solid,
         separators / n,
         (letters + marks) / solid,
-        text.count("�") / solid,
+        signs["\ufffd"] / solid,
         min(n_words / n_lines, 60.0),
         sum(k <= 2 for k in per_line) / n_lines,
         verse / n_lines,
@@ -109,13 +147,13 @@ def statistics(text: str) -> list[float]:
         repeated,
         long_words / said,
         len(zlib.compress(raw, 1)) / max(len(raw), 1),
-        text.count(",") / said,
-        (text.count("<") + text.count("&") + text.count("{")) / solid,
-        len(_STRAY.findall(text)) / said,
-        len(_SENTENCE.findall(text)) / said,
+        signs[","] / said,
+        (signs["<"] + signs["&"] + signs["{"]) / solid,
+        stray / said,
+        sentences / said,
         letter_words / said,
         sum(bool(_PAIR.search(x)) for x in lines) / n_lines,
-        sum(k for w, k in counts.items() if _VERB.search(w)) / said,
+        verbs / said,
         min(n / 100, 40.0),
     ]
 
