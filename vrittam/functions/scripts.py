@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The Telugu letters, signs and digits that have a Kannada counterpart at the same place of its block.
-TELUGU = "అఆఇఈఉఊఋౠఌఎఏఐఒఓఔకఖగఘఙచఛజఝఞటఠడఢణతథదధనపఫబభమయరఱలళవశషసహాిీుూృౄెేైొోౌంఃఁ్౦౧౨౩౪౫౬౭౮౯"
+TELUGU = "అఆఇఈఉఊఋౠఌఎఏఐఒఓఔకఖగఘఙచఛజఝఞటఠడఢణతథదధనపఫబభమయరఱలళవశషసహఽాిీుూృౄెేైొోౌంఃఁ్౦౧౨౩౪౫౬౭౮౯"
 KANNADA = "".join(chr(ord(c) + 0x80) for c in TELUGU)
 
 

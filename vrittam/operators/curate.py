@@ -32,18 +32,15 @@ def quotas(counts: dict, total: int) -> dict:
     Larger remainders go to the groups that come first in order of their names.
     """
     left, out, open_ = total, dict.fromkeys(sorted(counts), 0), sorted(counts)
-    while left > 0 and open_:
+    while open_:
         share, more = divmod(left, len(open_))
-        given = 0
-        for k, g in enumerate(list(open_)):
-            take = min(counts[g] - out[g], share + (k < more))
-            out[g] += take
-            given += take
-            if out[g] == counts[g]:
-                open_.remove(g)
-        left -= given
-        if not given:
-            break
+        full = [g for g in open_ if counts[g] <= share]
+        if not full:
+            return out | {g: min(counts[g], share + (k < more)) for k, g in enumerate(open_)}
+        for g in full:
+            out[g] = counts[g]
+            left -= counts[g]
+            open_.remove(g)
     return out
 
 

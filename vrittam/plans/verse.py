@@ -12,6 +12,7 @@ from ..functions import prosody as P
 from ..functions.names import clean_source
 from ..operators import metre
 from ..scratch import table
+from ..streaming.streams import read_lines, token_mask
 
 POEMS = "dwipada_augmented_dataset"
 
@@ -166,9 +167,29 @@ def line_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metre.prefix_table(spark)
 
 
+def reader_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the poems for which the incremental reader and the column expressions give the same weights and verdict, and others."""
+    poems = _poems(spark, sf_dir)
+    two = metre.with_syllables(metre.with_lines(poems, "poem").filter("line2 is not null"))
+    t = F.broadcast(metre.line_table(spark).select("pattern", F.lit(True).alias("ok")))
+    want = two.select("rec_id", F.col("gana1").alias("pattern")).join(t, "pattern", "left").select("rec_id", "pattern", F.coalesce("ok", F.lit(False)).alias("by_table"))
+    first = two.select("rec_id", F.col("line1").alias("text"))
+    got = read_lines(first, "rec_id", "text").select(F.col("id").alias("rec_id"), "weights", F.col("all_valid").alias("by_reader"))
+    return want.join(got, "rec_id").groupBy((F.col("pattern") == F.col("weights")).alias("same_weights"), "by_table", "by_reader").agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Living tokens after every first word of the poems: the words of the glosses stand for the vocabulary."""
+    words = table(spark, sf_dir, POEMS).select(F.explode(F.map_keys("word_to_word_meaning")).alias("w")).filter("w is not null")
+    syl = words.select(F.explode(P.pure(P.syllables(F.col("w")))).alias("token_text")).distinct()
+    tokens = syl.select(F.hash("token_text").alias("token_id"), "token_text")
+    start = _poems(spark, sf_dir).filter("poem is not null").select(F.regexp_extract("poem", r"^[\x{0C00}-\x{0C7F}]{1,3}", 0).alias("prefix")).filter("prefix <> ''").distinct()
+    return token_mask(start, tokens).groupBy("prefix").agg(F.count(F.lit(1)).alias("n_alive"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (couplet_scores, source_purity, weight_strings, variant_confusion, syllable_counts, syllable_top25, syllable_tags, foot_usage, rhyme_pairs, alliteration_kinds, level1_rates, metre_strings, couplet_line_patterns, line_prefixes)
+    for f in (couplet_scores, source_purity, weight_strings, variant_confusion, syllable_counts, syllable_top25, syllable_tags, foot_usage, rhyme_pairs, alliteration_kinds, level1_rates, metre_strings, couplet_line_patterns, line_prefixes, reader_agreement, token_candidates)
 } | {"ragale_scores": kannada_weights}
 
 # -- SQL -------------------------------------------------------------------------------------------

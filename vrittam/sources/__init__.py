@@ -1,0 +1 @@
+"""Readers and writers of the corpus formats, with declared schemas."""

@@ -1,0 +1,95 @@
+"""Verse from stored HTML pages."""
+
+from __future__ import annotations
+
+import html
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Elements that hold no text of the work, by tag and class, and the roots of a page's content.
+NOISE = {("span", "pagenum"), ("sup", "reference"), ("span", "mw-editsection"), ("style", ""), ("script", "")}
+NOISE_CLASSES = {"ws-noexport"}
+ROOTS = ("mw-parser-output", "prp-pages-output")
+VOID = {"br", "img", "hr", "input", "meta", "link", "wbr"}
+
+
+class _Page(HTMLParser):
+    """Title, headings and the text behind each; poems and paragraphs apart."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack: list[tuple[str, set[str]]] = []
+        self.sections: list[list[str]] = [["", "", ""]]  # heading, poem text, other text
+        self.title, self.in_heading = "", False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.handle_data("\n")
+        if tag in VOID:
+            return
+        self.stack.append((tag, set((dict(attrs).get("class") or "").split())))
+        if tag in ("h2", "h3") and not self._noise():
+            self.sections.append(["", "", ""])
+            self.in_heading = True
+
+    def handle_endtag(self, tag):
+        if tag in VOID:
+            return
+        while self.stack:
+            t, _ = self.stack.pop()
+            if t == tag:
+                break
+        if tag in ("h2", "h3"):
+            self.in_heading = False
+        if tag in ("p", "div"):
+            self.sections[-1][2] += "\n"
+
+    def _noise(self) -> bool:
+        return any((t, "") in NOISE or any((t, c) in NOISE or c in NOISE_CLASSES for c in cs) for t, cs in self.stack)
+
+    def handle_data(self, data):
+        if self._noise():
+            return
+        if any(t == "title" for t, _ in self.stack):
+            self.title += data
+        elif self.in_heading:
+            self.sections[-1][0] += data
+        elif any("poem" in cs for _, cs in self.stack):
+            self.sections[-1][1] += data
+        else:
+            self.sections[-1][2] += data
+
+
+def parse_page(page: str | None) -> tuple[str, list[tuple[str, str]]]:
+    """Title, and (heading, text) of the sections: the poems of a section, or its other text if it has none."""
+    if not page:
+        return "", []
+    p = _Page()
+    p.feed(page)
+    p.close()
+    tidy = lambda t: "\n".join(x for x in (y.strip() for y in html.unescape(t).split("\n")) if x)
+    return p.title.strip(), [(h.strip(), tidy(poem) or tidy(rest)) for h, poem, rest in p.sections if tidy(poem) or tidy(rest) or h.strip()]
+
+
+def sections(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """``id``, ``title``, ``no``, ``heading``, ``text`` of the sections of stored pages; an empty page has none. Narrow."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, title, no, h, t) for i, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for title, found in [parse_page(page)] for no, (h, t) in enumerate(found, 1)]
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (b.column(0).type, pa.string(), pa.int32(), pa.string(), pa.string()))], names=["id", "title", "no", "heading", "text"])
+
+    return df.select(F.col(id_col).alias("i"), F.col(html_col).alias("h")).mapInArrow(run, f"id {kind}, title string, no int, heading string, text string")
+
+
+def plain(page):
+    """Text of flat HTML as a column expression: noise and tags cut out, breaks as line ends."""
+    t = F.regexp_replace(page, r'(?is)<(span|sup)[^>]*class="[^"]*(?:pagenum|reference|mw-editsection|ws-noexport)[^"]*"[^>]*>.*?</\1>|<(script|style)\b.*?</\2>', "")
+    t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
+    return F.regexp_replace(t, r"<[^>]*>", "")

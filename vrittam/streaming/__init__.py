@@ -1,0 +1 @@
+"""Incremental reading of verse, and its streaming form."""
