@@ -47,3 +47,15 @@ def grouped(groups: tuple[str, ...], first: str) -> tuple[str, str]:
 #: White space as Python strips it, as a regular-expression class for Spark and DuckDB alike.
 BLANKS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SEPARATOR_CLASS = r" \nఁ\x{200b}\x{200c},)14\-"
+
+
+def span(chars: str) -> str:
+    """Inside of a regular-expression class for characters, neighbours joined to ranges: a class of ranges is tested much faster than one of single letters."""
+    out, codes = [], sorted(map(ord, chars))
+    while codes:
+        k = 1
+        while k < len(codes) and codes[k] == codes[0] + k:
+            k += 1
+        out.append(chr(codes[0]) + (f"-{chr(codes[k - 1])}" if k > 1 else ""))
+        codes = codes[k:]
+    return "".join(out)

@@ -19,12 +19,13 @@ def lines(poem: Column) -> Column:
     return F.filter(F.transform(F.split(poem, "\n"), strip), lambda x: x != "")
 
 
+_C, _V, _M, _D, _H = A.span(A.CONSONANTS), A.span(A.VOWELS), A.span(A.SIGNS), A.span(A.DIACRITICS), A.VIRAMA
 SYLLABLE = (
-    f"(?:[{A.CONSONANTS}](?:{A.VIRAMA}[{A.CONSONANTS}])*{A.VIRAMA}?[{A.SIGNS}{A.DIACRITICS}]*|[{A.VOWELS}][{A.DIACRITICS}]?|[^{A.SEPARATOR_CLASS}])"
-    f"(?:[{A.CONSONANTS}]{A.VIRAMA}(?![{A.CONSONANTS}{A.SIGNS}{A.DIACRITICS}]))?|[{A.SEPARATOR_CLASS}]"
+    f"(?:[{_C}](?:{_H}[{_C}])*+{_H}?+[{_M}{_D}]*+|[{_V}][{_D}]?+|[^{A.SEPARATOR_CLASS}])(?:[{_C}]{_H}(?![{_C}{_M}{_D}]))?+"
+    f"|[{A.SEPARATOR_CLASS}]"
 )
-HEAVY = f"[{A.LONG_SIGNS}{A.DIPHTHONGS}{A.DIACRITICS}]|^[{A.LONG_VOWELS}]$|{A.VIRAMA}$"
-CLUSTER = f"[{A.CONSONANTS}]{A.VIRAMA}[{A.CONSONANTS}]"
+HEAVY = f"[{A.span(A.LONG_SIGNS + A.DIPHTHONGS + A.DIACRITICS)}]|^[{A.span(A.LONG_VOWELS)}]$|{_H}$"
+CLUSTER = f"[{_C}]{_H}[{_C}]"
 
 
 def syllables(line: Column) -> Column:
@@ -41,6 +42,29 @@ def pure(syl: Column) -> Column:
     return F.filter(syl, lambda x: ~_separator(x))
 
 
+def weighed(syl: Column, scope: str = "word") -> Column:
+    """Syllables that :func:`weigh` needs: the pure ones and the separators at which looking ahead stops."""
+    stops = STOPS[scope]
+    return F.filter(syl, lambda x: x.isin(*stops) | ~_separator(x)) if stops else pure(syl)
+
+
+STOPS = {"word": [" "], "line": [], "strict": [" ", "\n"]}
+
+
+def weigh(kept: Column, scope: str = "word") -> Column:
+    """Weights of the syllables of :func:`weighed` as a string of I and U.
+
+    Give a column, not an expression: the array is read twice, as itself and moved by one.
+    """
+    stops = STOPS[scope]
+
+    def weight(x: Column, after: Column) -> Column:
+        w = F.when(x.rlike(HEAVY) | F.coalesce(after.rlike(CLUSTER), F.lit(False)), "U").otherwise("I")
+        return F.when(x.isNull() | x.isin(*stops), "").otherwise(w) if stops else F.when(x.isNull(), "").otherwise(w)
+
+    return F.array_join(F.zip_with(kept, F.slice(kept, F.lit(2), F.greatest(F.size(kept), F.lit(0))), weight), "")
+
+
 def weights(syl: Column, scope: str = "word") -> Column:
     """Weights of the syllables as a string of I and U.
 
@@ -48,15 +72,7 @@ def weights(syl: Column, scope: str = "word") -> Column:
     cluster. ``scope`` says how far that looks: ``word`` stops at a space, ``line`` does not,
     ``strict`` stops at a space and at a line end.
     """
-    stops = {"word": [" "], "line": [], "strict": [" ", "\n"]}[scope]
-    kept = F.filter(syl, lambda x: x.isin(*stops) | ~_separator(x)) if stops else pure(syl)
-
-    def weight(x: Column, i: Column) -> Column:
-        heavy = x.rlike(HEAVY) | F.coalesce(F.get(kept, i + 1).rlike(CLUSTER), F.lit(False))
-        w = F.when(heavy, "U").otherwise("I")
-        return F.when(x.isin(*stops), "").otherwise(w) if stops else w
-
-    return F.array_join(F.transform(kept, weight), "")
+    return weigh(weighed(syl, scope), scope)
 
 
 def _in(patterns, text: str) -> str:

@@ -16,24 +16,22 @@ def with_lines(df: DataFrame, poem: str) -> DataFrame:
 
 def with_syllables(df: DataFrame, scope: str = "word") -> DataFrame:
     """``syl1``, ``syl2`` (pure syllables) and ``gana1``, ``gana2`` (weights) of the two lines."""
-    for k in "12":
-        df = df.withColumn(f"_all{k}", P.syllables(F.col(f"line{k}")))
-        df = df.withColumn(f"syl{k}", P.pure(F.col(f"_all{k}"))).withColumn(f"gana{k}", P.weights(F.col(f"_all{k}"), scope))
-    return df.drop("_all1", "_all2")
+    # each array is a column of its own, so it is made once and read by what follows
+    df = df.withColumns({f"_all{k}": P.syllables(F.col(f"line{k}")) for k in "12"})
+    df = df.withColumns({f"_kept{k}": P.weighed(F.col(f"_all{k}"), scope) for k in "12"} | {f"syl{k}": P.pure(F.col(f"_all{k}")) for k in "12"})
+    return df.withColumns({f"gana{k}": P.weigh(F.col(f"_kept{k}"), scope) for k in "12"}).drop("_all1", "_all2", "_kept1", "_kept2")
 
 
 def with_feet(df: DataFrame) -> DataFrame:
     """``feet1``, ``feet2``: the best divisions into feet."""
-    return df.withColumn("feet1", P.partition("gana1")).withColumn("feet2", P.partition("gana2"))
+    return df.withColumns({f"feet{k}": P.partition(f"gana{k}") for k in "12"})
 
 
 def with_agreement(df: DataFrame) -> DataFrame:
     """``prasa`` (rhyme), ``yati1``, ``yati2`` (kind of alliteration, null without feet)."""
     df = df.withColumn("prasa", F.coalesce(P.rhymes(F.col("syl1"), F.col("syl2")), F.lit(False)))
-    for k in "12":
-        third = F.get(F.col(f"syl{k}"), F.col(f"feet{k}.a") + F.col(f"feet{k}.b"))
-        df = df.withColumn(f"yati{k}", P.alliteration(F.get(F.col(f"syl{k}"), F.lit(0)), third))
-    return df
+    df = df.withColumns({f"_x{k}": F.get(F.col(f"syl{k}"), F.lit(0)) for k in "12"} | {f"_y{k}": F.get(F.col(f"syl{k}"), F.col(f"feet{k}.a") + F.col(f"feet{k}.b")) for k in "12"})
+    return df.withColumns({f"yati{k}": P.alliteration(F.col(f"_x{k}"), F.col(f"_y{k}")) for k in "12"}).drop("_x1", "_x2", "_y1", "_y2")
 
 
 def with_scores(df: DataFrame) -> DataFrame:

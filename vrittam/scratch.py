@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MARKED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,15 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables; Hadoop deletes it when the driver's JVM ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_dir(spark)}/vrittam-scratch/{app}"
+    if app not in _MARKED:
+        _MARKED.add(app)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return folder
+
+
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` but keeps the columns in parquet, so later readers prune
-    them, and survives the loss of executors. The files are deleted with the Spark application's
-    scratch folder or by :func:`drop`.
+    them, and survives the loss of executors. The files are deleted by :func:`drop`, or with the
+    application's folder when its driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vrittam-scratch/{label}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
