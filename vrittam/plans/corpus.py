@@ -13,7 +13,7 @@ from ..functions.names import clean_source
 from ..functions.prosody import strip
 from ..operators import curate, diversity, lines
 from ..scratch import table
-from .verse import CLEAN_SOURCE_SQL, POEMS
+from .verse import CLEAN_SOURCE_SQL, POEMS, analysis_sql
 
 _W = A.BLANKS
 
@@ -323,3 +323,11 @@ SELECT rec_id, n AS n_words, round(v / n::DOUBLE, 6) AS ttr, round(CASE WHEN n <
     "best_prompts": "SELECT prompt, count(*) AS n, round(avg(overall_score), 4) AS score FROM benchmark_results GROUP BY 1 ORDER BY score DESC, n DESC, prompt LIMIT 15",
     "score_bins": "SELECT model, CASE WHEN overall_score IS NULL THEN 'none' WHEN overall_score >= 100 THEN 'perfect' WHEN overall_score >= 75 THEN 'high' WHEN overall_score >= 50 THEN 'middle' ELSE 'low' END AS bin, count(*) AS n FROM benchmark_results GROUP BY 1, 2",
 }
+
+ORACLE_SQL["level_summary"] = f"""WITH {analysis_sql()}, {_RATIO}, d AS (SELECT min(rec_id) AS rec_id FROM {POEMS} WHERE poem IS NOT NULL GROUP BY {_KEY}),
+j AS (SELECT coalesce(is_valid, false) AS a, ratio > 0.8 AND ratio < 2.5 AS b, d.rec_id IS NOT NULL AS c FROM r LEFT JOIN scored USING (rec_id) LEFT JOIN d USING (rec_id))
+SELECT count(*) AS n, count(*) FILTER (a) AS level1, count(*) FILTER (b) AS level2, count(*) FILTER (c) AS level4, count(*) FILTER (a AND b AND c) AS all_levels, count(*) FILTER (NOT a AND b AND c) AS only_level1_fails, count(*) FILTER (a AND NOT b AND c) AS only_level2_fails, count(*) FILTER (a AND b AND NOT c) AS only_level4_fails FROM j"""
+ORACLE_SQL["stratified_sample"] = f"""WITH RECURSIVE p AS (SELECT rec_id, {CLEAN_SOURCE_SQL} AS work FROM {POEMS}), c AS (SELECT work, count(*) AS n FROM p GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n, work) AS k, sum(n) OVER (ORDER BY n, work) - n AS before, count(*) OVER () AS groups FROM c),
+cut AS (SELECT min(k) AS k FROM o WHERE n > (250 - before) // (groups - k + 1)), rest AS (SELECT o.work, row_number() OVER (ORDER BY o.work) AS i, (SELECT 250 - before FROM o x, cut WHERE x.k = cut.k) AS lft, count(*) OVER () AS m FROM o, cut WHERE o.k >= cut.k),
+q AS (SELECT work, n AS quota FROM o WHERE k < coalesce((SELECT k FROM cut), 1000000) UNION ALL SELECT work, lft // m + (i <= lft % m)::INT FROM rest)
+SELECT rec_id, work FROM (SELECT rec_id, work, quota, row_number() OVER (PARTITION BY work ORDER BY md5('42:' || rec_id), rec_id) AS k FROM p JOIN q USING (work)) WHERE k <= quota"""

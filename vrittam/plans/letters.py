@@ -13,7 +13,7 @@ from ..functions import prosody as P
 from ..functions.names import clean_source
 from ..operators import metre, profiles, tilings
 from ..scratch import table
-from .verse import _BASE, _SYL_ROWS, CLEAN_SOURCE_SQL, POEMS, analysis_sql, lines_sql
+from .verse import _BASE, _SYL_ROWS, CLEAN_SOURCE_SQL, POEMS, RAGALE_SQL, analysis_sql, lines_sql
 
 
 def articulation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,3 +119,5 @@ ORACLE_SQL: dict[str, str] = {
     "profile_feasibility": " UNION ALL ".join(f"SELECT '{p}' AS profile_id, count(*) FILTER ({' AND '.join(_HAVE[n] for n in needs)}) AS n, round(count(*) FILTER ({' AND '.join(_HAVE[n] for n in needs)}) * 100.0::DOUBLE / count(*), 4) AS pct FROM {POEMS}" for p, needs in profiles.NEEDS.items()),
     "combined_corpus": f"SELECT CASE WHEN is_synthetic_data THEN 'made' ELSE 'real' END AS kind, {CLEAN_SOURCE_SQL} AS work, count(*) AS n FROM {POEMS} GROUP BY 1, 2",
 }
+
+ORACLE_SQL["ragale_verdicts"] = f"WITH {RAGALE_SQL} SELECT regexp_matches(gana1, '^(II[IU]){{3}}IIU$') AS line1, regexp_matches(gana2, '^(II[IU]){{3}}IIU$') AS line2, rhyme, count(*) AS n FROM kr GROUP BY ALL"

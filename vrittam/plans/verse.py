@@ -284,3 +284,17 @@ def _part(start: str, size: str) -> str:
 
 
 ORACLE_SQL["metre_strings"] = f"WITH {analysis_sql()} SELECT rec_id, CASE WHEN a IS NOT NULL THEN {_part('1', 'a')} || ' | ' || {_part('(1 + a)', 'b')} || ' | ' || {_part('(1 + a + b)', 'c')} || ' | ' || {_part('(1 + a + b + c)', 'd')} END AS breakdown FROM done"
+
+ORACLE_SQL["line_prefixes"] = f"WITH t AS (SELECT pattern FROM {_TABLE_SQL}), b AS (SELECT DISTINCT substring(pattern, 1, k) AS prefix FROM t, range(0, 16) r(k) WHERE k <= length(pattern)) SELECT prefix, (CASE WHEN prefix || 'I' IN (SELECT prefix FROM b) THEN 'I' ELSE '' END) || (CASE WHEN prefix || 'U' IN (SELECT prefix FROM b) THEN 'U' ELSE '' END) AS next, prefix IN (SELECT pattern FROM t) AS complete, (SELECT min(length(pattern)) FROM t WHERE starts_with(pattern, b.prefix))::INT - length(prefix)::INT AS least_to_end FROM b"
+
+_TO_TE = "".join(chr(0xC80 + k) for k in range(0x80)), "".join(chr(0xC00 + k) for k in range(0x80))
+_KN_LINE = lambda x: f"regexp_replace(translate(regexp_replace({x}, '[^\\x{{0C80}}-\\x{{0CFF}}]', '', 'g'), '{_TO_TE[0]}', '{_TO_TE[1]}'), '[^{_C}{_V}{_M}{_D}{_H}]', '', 'g')"
+_KN_CUTS = ["substring(g, 1, a)", "substring(g, 1 + a, b)", "substring(g, 1 + a + b, c)", "substring(g, 1 + a + b + c, d)"]
+_KN_COMBOS = ", ".join(f"({a}, {b}, {c}, {d}, {a + b + c + d})" for a in (2, 3) for b in (2, 3) for c in (2, 3) for d in (2, 3))
+RAGALE_SQL = f"""{lines_sql()}, kn AS (SELECT rec_id, {_KN_LINE("l1")} AS k1, {_KN_LINE("l2")} AS k2 FROM two WHERE regexp_matches(l1, '[\\x{{0C80}}-\\x{{0CFF}}]')),
+ks AS (SELECT rec_id, 1 AS k, {_syllables_sql("k1")} AS sy FROM kn UNION ALL SELECT rec_id, 2, {_syllables_sql("k2")} FROM kn), kw AS (SELECT rec_id, k, sy, {_weights_sql("sy", False)} AS g FROM ks),
+kc(a, b, c, d, n) AS (VALUES {_KN_COMBOS}), kt AS (SELECT rec_id, k, max({" + ".join(_IN(A.RAGALE, x) for x in _KN_CUTS)}) AS best FROM kw JOIN kc ON n = length(g) GROUP BY 1, 2),
+kf AS (SELECT kw.*, least(coalesce(best, len(list_filter(list_transform(range(0, greatest((length(g) + 2) // 3, 1)), lambda i: substring(g, 1 + i * 3, 3)), lambda f: f IN ({", ".join(repr(f) for f in A.RAGALE)})))), 4) AS feet FROM kw LEFT JOIN kt USING (rec_id, k)),
+kr AS (SELECT p.rec_id, length(p.g)::BIGINT AS n1, length(q.g)::BIGINT AS n2, p.g AS gana1, q.g AS gana2, coalesce({_BASE("p.sy[2]")} = {_BASE("q.sy[2]")}, false) AS rhyme,
+ (greatest(0, 100 - abs(length(p.g) - 12) * 20) + greatest(0, 100 - abs(length(q.g) - 12) * 20)) / 2.0::DOUBLE AS syl, ((CASE WHEN p.g = '' THEN 0 ELSE p.feet END) + (CASE WHEN q.g = '' THEN 0 ELSE q.feet END)) * 12.5::DOUBLE AS gana, (ends_with(p.g, 'U')::INT + ends_with(q.g, 'U')::INT) * 50.0::DOUBLE AS guru FROM (SELECT * FROM kf WHERE k = 1) p JOIN (SELECT * FROM kf WHERE k = 2) q USING (rec_id))"""
+ORACLE_SQL["ragale_scores"] = f"WITH {RAGALE_SQL} SELECT rec_id, n1, n2, gana1, gana2, rhyme, round_even((syl * 0.20::DOUBLE + gana * 0.30::DOUBLE + guru * 0.15::DOUBLE + rhyme::INT * 100.0 * 0.35::DOUBLE)::DOUBLE, 1) AS score FROM kr"
