@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from ..scratch import materialise
 
 CAPACITY = 4096
-#: Containers that one block fills, about. A block is one task's work.
-WINDOWS = 48
+#: Containers that one block fills, about, and items it has, about, at most. A block is one task's work.
+WINDOWS, ITEMS = 48, 4000
 
 
 def differencing(sizes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,15 +105,15 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
     Only an item larger than the capacity is split: into full containers of their own and a rest,
     which is packed like an item. ``start`` is the offset of a piece in its item. Null and negative
     sizes count as 0; an item of size 0 has one empty piece. Items are dealt to blocks by hash, about
-    ``windows`` containers each, and every block is packed by itself, so no task grows with the
+    ``windows`` containers each (more blocks if items are very small), and every block is packed by itself, so no task grows with the
     data; each block leaves less than one container of space on average. Equal identifiers are
     separate items. An empty table gives no rows.
     """
     kind = items.schema[id_col].dataType
     size = F.greatest(F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)), F.lit(0))
     rows = items.select(F.col(id_col).alias("id"), size.alias("n"))
-    total = rows.agg(F.sum(F.pmod("n", F.lit(capacity)))).first()[0] or 0
-    blocks = max(1, round(total / capacity / windows))
+    n_items, total = rows.agg(F.count(F.lit(1)), F.sum(F.pmod("n", F.lit(capacity)))).first()
+    blocks = max(1, round((total or 0) / capacity / windows), n_items // ITEMS)
     block = F.pmod(F.xxhash64("id", "n"), F.lit(blocks))
     full = F.when(F.col("n") > capacity, F.floor(F.col("n") / capacity)).otherwise(F.lit(0)).cast("bigint")
     parts = rows.select("id", "n", block.alias("block"), full.alias("full"))
