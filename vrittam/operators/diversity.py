@@ -80,6 +80,6 @@ def grouped_mattr(df: DataFrame, id_col: str, text_col: str, window: int = 50) -
     border = ordered.withColumn("run", run).join(F.broadcast(before), "part").select((F.col("before") + F.col("run")).alias("b"))
     total = sums.agg(F.sum("s").alias("n"))
     held = F.least(F.col("b"), F.lit(window - 1), F.col("n") - F.col("b"), F.col("n") - window + 1)
-    body = border.crossJoin(F.broadcast(total)).filter("b < n").groupBy("n").agg(F.sum(held).alias("held"), F.count(F.lit(1)).alias("borders"))
+    body = border.crossJoin(F.broadcast(total)).filter("b < n").agg(F.coalesce(F.sum(held), F.lit(0)).alias("held"), F.count(F.lit(1)).alias("borders"))
     wins = F.col("n") - window + 1
-    return total.join(F.broadcast(body.drop("n")), how="cross").select(F.when(F.col("n") <= window, (F.col("borders") + 1) / F.col("n")).otherwise((wins + F.col("held")) / (wins * F.lit(float(window)))).alias("mattr"))
+    return total.filter("n > 0").join(F.broadcast(body), how="cross").select(F.when(F.col("n") <= window, (F.col("borders") + 1) / F.col("n")).otherwise((wins + F.col("held")) / (wins * F.lit(float(window)))).alias("mattr"))

@@ -145,7 +145,7 @@ def grouped_splits(df: DataFrame, id_col: str, text_col: str, label_col: str, sh
     chains = small.withColumn("chain", F.explode(F.array(*[F.lit(c) for c in range(CHAINS)])))
     kind = stats.schema["component"].dataType
 
-    def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         b, chain = int(key[0]), int(key[1])
         pdf = pdf.sort_values("component", kind="stable").reset_index(drop=True)
         sizes = pdf["size"].to_numpy(dtype=float)
