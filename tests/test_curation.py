@@ -173,3 +173,40 @@ def test_splits(spark):
     res = splits.grouped_splits(giant, "ift_id", "output", "profile", block=10, large=50).collect()
     assert len({r.split for r in res if r.id < 60}) == 1 and len({r.split for r in res}) == 3
     assert splits.grouped_splits(df.limit(0), "ift_id", "output", "profile").count() == 0
+
+
+def test_overlaps_with_boilerplate_and_hot_classes(spark, monkeypatch):
+    """Spans that most records share are spread over tasks; classes of many copies are salted; nothing is lost."""
+    monkeypatch.setattr(overlap, "BOILERPLATE", 64)
+    monkeypatch.setattr(overlap, "HOT_ROWS", 5)
+    rng = random.Random(8)
+    tail = [word(rng) for _ in range(9)]
+    rows, k = [], 0
+    for _ in range(120):
+        a, b = [word(rng) for _ in range(9)], [word(rng) for _ in range(10)]
+        for _ in range(rng.randint(1, 3)):
+            y = list(b)
+            y[rng.randrange(len(y))] = word(rng)
+            rows.append((k, " ".join(a), " ".join(y + tail), rng.choice(("train", "val"))))
+            k += 1
+    rows += [(10_000 + i, "same words here", " ".join(tail), "train" if i % 3 else "test") for i in range(30)]
+    df = spark.createDataFrame(rows, "ift_id int, instruction string, output string, split string")
+    got = {tuple(r) for r in overlap.split_overlaps(df, "ift_id", "instruction", "output", "split").collect()}
+    want = {
+        (e[0], t[0])
+        for e in rows
+        for t in rows
+        if e[3] != "train" and t[3] == "train" and neardup.near(e[1], t[1], overlap.CHANGED) and neardup.near(e[2], t[2], overlap.CHANGED)
+    }
+    assert got == want and len(want) > 230
+
+
+def test_near_duplicates_of_hot_classes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_ROWS", 5)
+    rng = random.Random(9)
+    p, m = [word(rng) for _ in range(8)], [word(rng) for _ in range(21)]
+    q = [*p[:7], word(rng)]
+    rows = [(i, " ".join(p), " ".join(m)) for i in range(40)] + [(100 + i, " ".join(q), " ".join(m)) for i in range(3)]
+    df = spark.createDataFrame(rows, "rec_id int, poem string, meaning string")
+    got = {tuple(r) for r in neardup.NearDuplicates(df, "rec_id", "poem", "meaning").pairs().collect()}
+    assert got == {(a, 100 + b) for a in range(40) for b in range(3)}
