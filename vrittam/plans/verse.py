@@ -183,7 +183,7 @@ def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, POEMS).select(F.explode(F.map_keys("word_to_word_meaning")).alias("w")).filter("w is not null")
     syl = words.select(F.explode(P.pure(P.syllables(F.col("w")))).alias("token_text")).distinct()
     tokens = syl.select(F.hash("token_text").alias("token_id"), "token_text")
-    start = _poems(spark, sf_dir).filter("poem is not null").select(F.regexp_extract("poem", r"^[\x{0C00}-\x{0C7F}]{1,3}", 0).alias("prefix")).filter("prefix <> ''").distinct()
+    start = _poems(spark, sf_dir).filter("poem is not null").select(F.regexp_extract("poem", r"^[\x{0C00}-\x{0C7F}]{1,2}", 0).alias("prefix")).filter("prefix <> ''").distinct()
     return token_mask(start, tokens).groupBy("prefix").agg(F.count(F.lit(1)).alias("n_alive"))
 
 
