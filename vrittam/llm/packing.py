@@ -122,7 +122,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
     rest = parts.select("id", "block", F.col("full").cast("int").alias("piece"), (F.col("full") * capacity).cast("bigint").alias("start"), (F.col("n") - F.col("full") * capacity).cast("bigint").alias("size")).filter("size > 0 or start = 0")
     schema = T.StructType([T.StructField("id", kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("size", T.LongType()), T.StructField("container", T.StringType())])
 
-    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         slot = fill_block(pdf["size"].to_numpy(dtype=np.int64), capacity)
         pdf["container"] = [f"{int(key[0]):06d}-{k}" for k in slot]
