@@ -331,3 +331,7 @@ ORACLE_SQL["stratified_sample"] = f"""WITH RECURSIVE p AS (SELECT rec_id, {CLEAN
 cut AS (SELECT min(k) AS k FROM o WHERE n > (250 - before) // (groups - k + 1)), rest AS (SELECT o.work, row_number() OVER (ORDER BY o.work) AS i, (SELECT 250 - before FROM o x, cut WHERE x.k = cut.k) AS lft, count(*) OVER () AS m FROM o, cut WHERE o.k >= cut.k),
 q AS (SELECT work, n AS quota FROM o WHERE k < coalesce((SELECT k FROM cut), 1000000) UNION ALL SELECT work, lft // m + (i <= lft % m)::INT FROM rest)
 SELECT rec_id, work FROM (SELECT rec_id, work, quota, row_number() OVER (PARTITION BY work ORDER BY md5('42:' || rec_id), rec_id) AS k FROM p JOIN q USING (work)) WHERE k <= quota"""
+
+ORACLE_SQL["training_formats"] = """SELECT ift_id, to_json({'instruction': instruction, 'input': '', 'output': output})::VARCHAR AS alpaca,
+to_json({'conversations': [{'from': 'human', 'value': instruction}, {'from': 'gpt', 'value': output}]})::VARCHAR AS sharegpt,
+to_json({'messages': [{'role': 'user', 'content': instruction}, {'role': 'assistant', 'content': output}]})::VARCHAR AS messages FROM ift_data WHERE instruction IS NOT NULL AND output IS NOT NULL"""

@@ -13,7 +13,7 @@ from ..functions import prosody as P
 from ..functions.names import clean_source
 from ..operators import metre, profiles, tilings
 from ..scratch import table
-from .verse import _BASE, _SYL_ROWS, CLEAN_SOURCE_SQL, POEMS, RAGALE_SQL, analysis_sql, lines_sql
+from .verse import _BASE, _DOUBLE, _SYL_ROWS, CLEAN_SOURCE_SQL, POEMS, RAGALE_SQL, analysis_sql, lines_sql
 
 
 def articulation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +60,13 @@ def profile_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unpivot(["total"], list(profiles.NEEDS), "profile_id", "n").select("profile_id", "n", F.round(F.col("n") * 100.0 / F.col("total"), 4).alias("pct"))
 
 
+DRAW_WEIGHTS = {"GN1": 0.2, "GN2": 0.16, "GN3": 0.1, "GN4": 0.12, "AN1": 0.14, "AN2": 0.14, "RT1": 0.07, "SP1": 0.06}
+
+
 def profile_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three profiles for every record, by weight without replacement."""
     f = profiles.feasible(table(spark, sf_dir, POEMS), "rec_id")
-    d = profiles.draw(f, {"GN1": 0.2, "GN2": 0.16, "GN3": 0.1, "GN4": 0.12, "AN1": 0.14, "AN2": 0.14, "RT1": 0.07, "SP1": 0.06}, 3, 11)
+    d = profiles.draw(f, DRAW_WEIGHTS, 3, 11)
     return d.select(F.col("id").alias("rec_id"), F.array_join("profiles", ",").alias("profiles"))
 
 
@@ -121,3 +124,18 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 ORACLE_SQL["ragale_verdicts"] = f"WITH {RAGALE_SQL} SELECT regexp_matches(gana1, '^(II[IU]){{3}}IIU$') AS line1, regexp_matches(gana2, '^(II[IU]){{3}}IIU$') AS line2, rhyme, count(*) AS n FROM kr GROUP BY ALL"
+
+_TAGS = {
+    "double": _DOUBLE,
+    "consonant": f"regexp_matches(x, '^[{A.CONSONANTS}]')",
+    "cluster": f"regexp_matches(x, '[{A.CONSONANTS}]{A.VIRAMA}[{A.CONSONANTS}]') AND NOT {_DOUBLE}",
+    "diphthong": f"regexp_matches(x, '[{A.DIPHTHONGS}]')",
+    "final": f"ends_with(x, '{A.VIRAMA}')",
+    "long": f"regexp_matches(x, '[{A.LONG_SIGNS}]|^[{A.LONG_VOWELS}]$')",
+    "nasal": "contains(x, 'ం')",
+    "breath": "contains(x, 'ః')",
+    "vowel": f"regexp_matches(x, '^[{A.VOWELS}]')",
+}
+ORACLE_SQL["dominant_tags"] = f"WITH s AS ({_SYL_ROWS}) SELECT tag, n FROM ({' UNION ALL '.join(f'SELECT {t!r} AS tag, count(*) FILTER ({c}) AS n FROM s' for t, c in _TAGS.items())}) ORDER BY n DESC, tag LIMIT 3"
+_U = lambda p: f"((('0x' || left(md5('11:' || rec_id || ':{p}'), 8))::BIGINT + 1) / 4294967297.0::DOUBLE)"
+ORACLE_SQL["profile_draws"] = "WITH k AS (" + " UNION ALL ".join(f"SELECT rec_id, '{p}' AS p, CASE WHEN {' AND '.join(_HAVE[n] for n in profiles.NEEDS[p])} THEN -ln({_U(p)}) / {w}::DOUBLE END AS key FROM {POEMS}" for p, w in DRAW_WEIGHTS.items()) + "), r AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY key, p) AS i FROM k WHERE key IS NOT NULL) SELECT d.rec_id, coalesce(string_agg(p, ',' ORDER BY i) FILTER (i <= 3), '') AS profiles FROM " + POEMS + " d LEFT JOIN r USING (rec_id) GROUP BY 1"
