@@ -210,3 +210,29 @@ def test_near_duplicates_of_hot_classes(spark, monkeypatch):
     df = spark.createDataFrame(rows, "rec_id int, poem string, meaning string")
     got = {tuple(r) for r in neardup.NearDuplicates(df, "rec_id", "poem", "meaning").pairs().collect()}
     assert got == {(a, 100 + b) for a in range(40) for b in range(3)}
+
+
+def overlap_pairs(rows):
+    text = [(i, " ".join(folded_words(a)), " ".join(folded_words(b)), s) for i, a, b, s in rows]
+    ev, tr = [x for x in text if x[3] != "train"], [x for x in text if x[3] == "train"]
+    return {(e[0], t[0]) for e in ev for t in tr if neardup.near(e[1], t[1], overlap.CHANGED) and neardup.near(e[2], t[2], overlap.CHANGED)}
+
+
+def overlaps_got(spark, rows):
+    df = spark.createDataFrame(rows, "ift_id int, instruction string, output string, split string")
+    return {tuple(r) for r in overlap.split_overlaps(df, "ift_id", "instruction", "output", "split").collect()}
+
+
+def test_overlaps_of_many_variants(spark):
+    """All pairs of 500 distinct variants of one record, one word of the output replaced in each."""
+    rng = random.Random(11)
+    a, b = [word(rng) for _ in range(7)], [word(rng) for _ in range(10)]
+    rows = []
+    for k in range(500):
+        y = list(b)
+        y[rng.randrange(len(y))] = f"{word(rng)}{k}"
+        rows.append((k, " ".join(a), " ".join(y), "train" if k % 5 else "val"))
+    rows += [(1000 + k, " ".join(a), " ".join(word(rng) for _ in range(30)), "train") for k in range(100)]
+    rng.shuffle(rows)
+    want = overlap_pairs(rows)
+    assert len(want) == 100 * 400 and overlaps_got(spark, rows) == want

@@ -1,10 +1,11 @@
 """Records of evaluation splits that occur again, exactly or almost, in the training split.
 
-The concatenated output texts are indexed by word suffixes. The suffix array is partitioned by the
-first words of the suffixes, so suffixes with a long common prefix meet in one partition; there
-they are sorted, and neighbours from different splits give the shared spans. The spans of a pair
-of records are merged into its coverage, and pairs that can still meet the limit are verified on
-both fields. Equal records are one class from the start.
+Two texts that differ in at most a fifth of their words share one of their rarest words: of ``n``
+words ordered by a global order the first ``n / 5 + 1`` are kept, and the first common word of a
+pair is among those of both, whatever the order of the words in the texts. Pairs that share such a
+word of the output are compared; a word that many records keep is combined with the kept words of
+the instruction, of which a pair shares one as well. So every pair meets, without a cap. Words
+run together count as their parts and as the whole. Equal records are one class from the start.
 """
 
 from __future__ import annotations
@@ -21,73 +22,99 @@ from pyspark.sql import types as T
 
 from ..functions.superminhash import mix, signatures
 from ..functions.textfold import folded_words
-from ..scratch import materialise, width
-from .hotkeys import HOT_ROWS, SALTS, join_hot, small
+from ..scratch import materialise
+from .hotkeys import HOT_ROWS, join_hot, small
 from .neardup import near
 
 _U = np.uint64
-#: Texts of fewer than SHORT words are indexed in sorted word order by spans of SHORT_SPAN words: with
-#: a fifth of n words changed in any order, the 0.8 n common ones lie in at most 0.4 n + 1 runs, so
-#: one run has two words. Texts of LONG or more words (0.8 x SHORT) are indexed in written order.
-SPAN, SHORT_SPAN, SHORT, LONG = 3, 2, 24, 19
-#: Suffixes of one interval that all meet. Larger intervals are parted by the words that follow,
-#: up to EXTENSION of them; in one that stays large, suffixes meet their neighbours only.
-INTERVAL, EXTENSION, NEIGHBOURS = 64, 4, 1
-#: Largest share of changed words in either field.
-CHANGED = 1 / 5
-#: One-bit minhash sketch of both fields' words. A pair at the limit has a word similarity of 2/3, so it
-#: agrees in 107 bits of 128 with a deviation of 4; pairs that differ in more than MOST_BITS are not verified.
-SKETCH, MOST_BITS = 128, 40
+#: Largest share of changed words in either field: one in PART.
+CHANGED, PART = 1 / 5, 5
+#: Records that keep one word of the output, from which it is combined with the words of the instruction.
+BOILERPLATE = 256
+#: Bits of the table of word counts that orders the words. Words of one place only cost time.
+PLACE_BITS = 22
+#: Letters from which words run together are not lengthened, as in :func:`near`.
+JOINED = 400
+#: One-bit minhash sketch of the words of each field. A field at the limit has a word similarity of 2/3, so it agrees
+#: in 53 bits of 64 with a deviation of 3; pairs that differ in more than MOST_BITS of either field are not verified.
+SKETCH, MOST_BITS = 64, 24
+_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 class _Words(dict):
-    """Hashes of words, kept for a bounded number of them."""
+    """Rolling hashes of words, kept for a bounded number of them."""
 
     def __missing__(self, w: str) -> int:
         if len(self) >= 300_000:
             self.clear()
-        h = self[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        h = 0
+        for c in w:
+            h = (h * _BASE + ord(c) + 1) & _MASK
+        self[w] = h
         return h
 
 
 _HASH = _Words()
 
 
-def _hashes(text: str) -> list[int]:
-    return [_HASH[w] for w in text.split(" ")]
+def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rolling hash, letters and index of the text of every word."""
+    words = " ".join(texts).split(" ") if texts else []
+    of = np.repeat(np.arange(len(texts)), [t.count(" ") + 1 for t in texts])
+    return np.fromiter(map(_HASH.__getitem__, words), dtype=_U, count=len(words)), np.fromiter(map(len, words), dtype=np.int64, count=len(words)), of
 
 
-def suffixes(docs: list[np.ndarray], span: int, tag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes of word-hash texts: index of the text, hash of the first ``span`` words, and the next words packed to 16 bits each.
+def _nth(of: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How many equal hashes of the same text stand before each."""
+    both = mix(h ^ mix(of))
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    new = np.concatenate(([True], both[1:] != both[:-1])) if len(h) else np.zeros(0, dtype=bool)
+    first = np.flatnonzero(new)
+    out = np.empty(len(h), dtype=_U)
+    out[order] = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    return out
 
-    The packed words order the suffixes of one hash and tell how far two of them agree. A text
-    shorter than ``span`` has one suffix, itself.
-    """
-    pad = span + EXTENSION
-    sizes = np.array([len(d) for d in docs])
-    flat = np.concatenate([np.concatenate((d, np.zeros(pad, dtype=_U))) for d in docs]) if docs else np.zeros(0, dtype=_U)
-    starts = np.concatenate(([0], np.cumsum(sizes + pad)))[:-1]
-    count = np.maximum(sizes - span + 1, np.minimum(sizes, 1))
-    of = np.repeat(np.arange(len(docs)), count)
-    at = starts[of] + (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
-    key = np.full(len(at), tag, dtype=_U)
-    for k in range(span):
-        key = mix(key ^ flat[at + k])
-    ext = np.zeros(len(at), dtype=_U)
-    for k in range(EXTENSION):
-        ext = (ext << _U(16)) | (flat[at + span + k] >> _U(48))
-    return of, key, ext
-
-
-def sketches(a: list[str], b: list[str]) -> np.ndarray:
-    """Two 64-bit words per record: the lowest bits of the SuperMinHash signature of its words."""
-    parts = [_hashes(x) for pair in zip(a, b) for x in pair]
-    sizes = np.array([len(x) for x in parts])
-    h = np.array([x for part in parts for x in part], dtype=_U)
-    field = np.repeat(np.arange(len(parts)), sizes)
-    sig = signatures(mix(h ^ (field % 2).astype(_U)), field // 2, len(a), SKETCH, seed=3)
+
+def _joins(h: np.ndarray, size: np.ndarray, of: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Neighbouring words run together to one of ``lengths`` letters: index of the text, number of words, rolling hash."""
+    if not len(h):
+        return
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.concatenate(([_U(1)], np.full(size.max(), _U(_BASE), dtype=_U))))
+    at, whole, length, k = np.arange(len(h)), h, size, 2
+    longest = len(lengths) - 1
+    while True:
+        ok = (length < min(JOINED, longest)) & (at + k - 1 < len(h))
+        at, whole, length = at[ok], whole[ok], length[ok]
+        ok = of[at + k - 1] == of[at]
+        at, whole, length = at[ok], whole[ok], length[ok]
+        if not len(at):
+            return
+        last = at + k - 1
+        with np.errstate(over="ignore"):
+            whole = whole * power[size[last]] + h[last]
+        length = length + size[last]
+        hit = lengths[np.minimum(length, longest)] & (length <= longest)
+        if hit.any():
+            yield of[at[hit]], k, whole[hit]
+        k += 1
+
+
+def _word_id(h: np.ndarray, field: int) -> np.ndarray:
+    return mix(h ^ _U(field))
+
+
+def _place(word: np.ndarray) -> np.ndarray:
+    return (word >> _U(64 - PLACE_BITS)).astype(np.int64)
+
+
+def sketches(texts: list[str]) -> np.ndarray:
+    """A 64-bit word per text: the lowest bits of the SuperMinHash signature of its words, the repeated ones numbered."""
+    h, _, of = _flat(texts)
+    sig = signatures(mix(h ^ mix(_nth(of, h))), of, len(texts), SKETCH, seed=3)
     bit = (np.modf(sig)[0] * (1 << 12)).astype(np.int64) & 1
-    return np.packbits(bit.astype(np.uint8), axis=1).view(">i8").astype(np.int64)
+    return np.packbits(bit.astype(np.uint8), axis=1).view(">i8").astype(np.int64)[:, 0]
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -110,124 +137,116 @@ def _texts(df: DataFrame, id_col: str, a_col: str, b_col: str, split_col: str, t
                     rows.append((i, t, key, " ".join(wa), " ".join(wb)))
             if rows:
                 cols = list(zip(*rows))
-                bits = sketches(cols[3], cols[4])
                 arrays = [pa.array(c, type=f) for c, f in zip(cols, (batch.column(0).type, pa.bool_(), pa.binary(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(sketches(cols[3])), pa.array(sketches(cols[4]))], names=schema.names)
 
     part = df.filter(F.col(split_col).isNotNull()).select(F.col(id_col).alias("i"), (F.col(split_col) == train).alias("t"), F.col(a_col).cast("string").alias("a"), F.col(b_col).cast("string").alias("b"))
     return part.mapInArrow(run, schema)
 
 
-def _suffix_rows(reps: DataFrame) -> DataFrame:
-    """``key``, ``ext``, ``class`` and sides of every suffix of field ``b``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 2000):
-            ids, sides = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
-            docs = [np.array(_hashes(b), dtype=_U) for b in batch.column(2).to_pylist()]
-            n = np.array([len(d) for d in docs])
-            sides = sides + 4 * np.minimum(n, 1 << 20).astype(np.int32)
-            for tag, span, where, order in ((1, SPAN, np.flatnonzero(n >= LONG), np.asarray), (2, SHORT_SPAN, np.flatnonzero(n < SHORT), np.sort)):
-                of, key, ext = suffixes([order(docs[k]) for k in where], span, tag)
-                if len(of):
-                    of = where[of]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ext.view(np.int64)), ids.take(pa.array(of)), pa.array(sides[of])], names=["key", "ext", "class", "sides"])
-
-    kind = reps.schema["class"].dataType.simpleString()
-    return reps.select("class", "sides", "b").mapInArrow(run, f"key bigint, ext bigint, class {kind}, sides int")
-
-
-def _meet(at: np.ndarray, side: np.ndarray, ext: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Cross-split pairs (evaluation suffix, training suffix) of the sorted suffixes ``at`` of one interval."""
-    ev, tr = at[(side[at] & 2) > 0], at[(side[at] & 1) > 0]
-    if not len(ev) or not len(tr):
-        return []
-    if len(at) <= INTERVAL:
-        return [(np.repeat(ev, len(tr)), np.tile(tr, len(ev)))]
-    for depth in range(1, EXTENSION + 1):
-        head = ext[at] >> _U(16 * (EXTENSION - depth))
-        if head[0] != head[-1]:
-            return [x for part in np.split(at, np.flatnonzero(head[1:] != head[:-1]) + 1) for x in _meet(part, side, ext)]
-    j = np.searchsorted(tr, ev)
-    out = []
-    for k in range(-NEIGHBOURS, NEIGHBOURS):
-        ok = (j + k >= 0) & (j + k < len(tr))
-        out.append((ev[ok], tr[j[ok] + k]))
+def _counted(found: DataFrame, size: int, kind: type) -> np.ndarray:
+    """A table of ``place``, ``n`` as an array; it has at most ``size`` rows, whatever the input."""
+    got = found.toArrow()
+    out = np.zeros(size, dtype=kind)
+    out[got["place"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def least_spans(n):
-    """Spans that a text of ``n`` words shares at least with one that has a fifth of its words changed, halved for spans in large intervals.
-
-    A change ends at most three spans. In written order (from LONG words) moved parts end some more.
-    """
-    c = F.floor(n / 5) * 3
-    return F.greatest(F.lit(1), F.floor(F.when(n < LONG, n - SHORT_SPAN + 1 - c).otherwise(n - SPAN + 1 - c - 9) / 2))
+def _vocabulary(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rarity of the words by place, most parts of which a word at a place is run together (0: none), and the lengths of words."""
+    spark = rows.sparkSession
 
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for field in (0, 1):
+                h, size, _ = _flat(batch.column(field).to_pylist())
+                w, at, n = np.unique(_word_id(h, field), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n), pa.array(size[at])], names=["w", "n", "len"])
+
+    place = F.shiftrightunsigned("w", 64 - PLACE_BITS).alias("place")
+    said = rows.select("a", "b").mapInArrow(words, "w bigint, n bigint, len bigint")
+    vocab = materialise(said.groupBy("w").agg(F.sum("n").alias("n"), F.max("len").alias("len")), "vocabulary")
+    rarity = _counted(vocab.groupBy(place).agg(F.least(F.ceil(F.log2(F.sum("n")) * 4) + 1, F.lit(255)).cast("smallint").alias("n")), 1 << PLACE_BITS, np.uint8)
+    sizes = [r["len"] for r in vocab.select("len").distinct().collect()]
+    lengths = np.zeros(max(sizes, default=0) + 1, dtype=bool)
+    lengths[sizes] = True
+    known = spark.sparkContext.broadcast((rarity, lengths))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity, lengths = known.value
+        for batch in _slices(batches, 2000):
+            for field in (0, 1):
+                for _, k, whole in _joins(*_flat(batch.column(field).to_pylist()), lengths):
+                    w = np.unique(_word_id(whole, field))
+                    w = w[rarity[_place(w)] > 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), k, dtype=np.int16))], names=["w", "k"])
 
-#: One class in so many is looked at to find the spans of boilerplate, and the suffixes from which a span is one.
-LOOK, BOILERPLATE = 32, HOT_ROWS
+    wholes = rows.select("a", "b").mapInArrow(joined, "w bigint, k smallint").groupBy("w").agg(F.max("k").alias("k")).join(vocab.select("w"), "w", "left_semi")
+    return rarity, _counted(wholes.groupBy(place).agg(F.max("k").alias("n")), 1 << PLACE_BITS, np.int16), lengths
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``spread``: 0 if they are partitioned by their span, 1 and 2 if it is boilerplate.
+def kept_words(texts: list[str], field: int, rarity: np.ndarray, parts: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    """Hashes of the rarest words of each text: as many as can be changed, and one.
 
-    The suffixes of a span that very many classes share would all go to one task. They are parted by
-    the next word, and where that is shared as widely, by all the following words and a salt, just as
-    a large interval is parted where it is met. Boilerplate is estimated from a fixed share of the
-    classes; the estimate moves rows between tasks and nothing else.
+    A repeated word counts as several, numbered. Neighbours that stand run together somewhere are a
+    word besides; then the text may lack that word and all its parts. A word that stands in parts
+    somewhere lengthens the other text, and so the number of changed words.
     """
-    head = F.shiftrightunsigned("ext", 16 * (EXTENSION - 1))
-    seen = rows.filter(F.pmod(F.xxhash64("class"), F.lit(LOOK)) == 0).groupBy("key", head.alias("head")).agg(F.count(F.lit(1)).alias("n"))
-    seen = materialise(seen.filter("n > 1"), "seen")
-    least = BOILERPLATE // LOOK // 2
-    one = small(materialise(seen.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key", F.lit(True).alias("_one")), "boilerplate"))
-    two = small(materialise(seen.filter(F.col("n") >= least).select("key", "head", F.lit(True).alias("_two")), "boilerplate"))
-    marked = rows.withColumn("head", head).join(one, "key", "left").join(two, ["key", "head"], "left")
-    spread = F.when(F.col("_two"), 2).when(F.col("_one"), 1).otherwise(0).cast("tinyint")
-    return marked.select("key", "ext", "class", "sides", spread.alias("spread"))
-
-
-def _shared_spans(rows: DataFrame) -> DataFrame:
-    """Candidate pairs ``e`` (evaluation side), ``t`` (training side) with the number of shared spans."""
-    kind = rows.schema["class"].dataType.simpleString()
-    placed = _placed(rows)
-    place = F.when(F.col("spread") == 2, F.xxhash64("key", "ext", F.pmod(F.xxhash64("class"), F.lit(SALTS)))).when(F.col("spread") == 1, F.xxhash64("key", F.shiftrightunsigned("ext", 16 * (EXTENSION - 1)))).otherwise(F.col("key"))
-    array = placed.repartition(width(rows.sparkSession), place).sortWithinPartitions("key", "ext", "class")
-
-    def meet(keys: np.ndarray, ext: np.ndarray, cls: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
-        cuts = np.flatnonzero(np.diff(keys)) + 1
-        bounds = np.concatenate(([0], cuts, [len(keys)]))
-        # only intervals with both splits
-        any_side = np.bitwise_or.reduceat(side & 3, bounds[:-1])
-        found = []
-        for k in np.flatnonzero((any_side == 3) & (np.diff(bounds) > 1)):
-            found += _meet(np.arange(bounds[k], bounds[k + 1]), side, ext)
-        e = np.concatenate([x for x, _ in found]) if found else np.zeros(0, dtype=np.int64)
-        t = np.concatenate([x for _, x in found]) if found else e
-        both = pd.DataFrame({"e": cls[e], "t": cls[t], "n": side[e] >> 2})
-        both = both[both.e != both.t].groupby(["e", "t", "n"], as_index=False).size()
-        return pa.RecordBatch.from_arrays([pa.array(both.e.to_numpy()), pa.array(both.t.to_numpy()), pa.array(both["size"].to_numpy(dtype=np.int64)), pa.array(both.n.to_numpy(dtype=np.int32))], names=["e", "t", "spans", "n"])
+    h, size, of = _flat(texts)
+    word = _word_id(h, field)
+    n = np.bincount(of, minlength=len(texts)) + np.bincount(of, weights=np.maximum(parts[_place(word)].astype(np.int64) - 1, 0), minlength=len(texts)).astype(np.int64)
+    keep = n // PART + 1
+    words, ofs = [word], [of]
+    for t, k, whole in _joins(h, size, of, lengths):
+        w = _word_id(whole, field)
+        ok = parts[_place(w)] >= k
+        words.append(w[ok])
+        ofs.append(t[ok])
+        keep += (k + 1) * np.bincount(t[ok], minlength=len(texts))
+    word, of = np.concatenate(words), np.concatenate(ofs)
+    element = mix(word ^ mix(_nth(of, word)))
+    order = np.lexsort((element, of * 256 + rarity[_place(word)]))
+    of, element = of[order], element[order]
+    size = np.bincount(of, minlength=len(texts))
+    rank = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    element = element[rank < keep[of]]
+    offsets = np.concatenate(([0], np.cumsum(np.minimum(size, keep))))
+    return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(element.view(np.int64)))
+
+
+def _met(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Distinct pairs ``e`` (evaluation side), ``t`` (training side) of classes that share kept words and whose sketches are near."""
+    tables = rows.sparkSession.sparkContext.broadcast(_vocabulary(rows))
+    kind = reps.schema["class"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held.append([cols[0], cols[1].view(np.uint64), cols[2], cols[3]])
-            if held[0][0][0] == cols[0][-1]:
-                continue  # one interval so far
-            joined = [np.concatenate(x) for x in zip(*held)]
-            end = np.searchsorted(joined[0], joined[0][-1])
-            yield meet(*(x[:end] for x in joined))
-            held = [[x[end:] for x in joined]]
-        if held:
-            yield meet(*(np.concatenate(x) for x in zip(*held)))
-
-    found = array.select("key", "ext", "class", "sides").mapInArrow(run, f"e {kind}, t {kind}, spans bigint, n int")
-    pairs = found.groupBy("e", "t").agg(F.sum("spans").alias("spans"), F.max("n").alias("n"))
-    return pairs.filter(F.col("spans") >= least_spans(F.col("n"))).select("e", "t", "spans")
+        for batch in _slices(batches, 2000):
+            kept = [kept_words(batch.column(2 + field).to_pylist(), field, *tables.value) for field in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), batch.column(5), *kept], names=["class", "sides", "s1", "s2", "ka", "kb"])
+
+    kept = reps.select("class", "sides", "a", "b", "s1", "s2").mapInArrow(run, f"class {kind}, sides tinyint, s1 bigint, s2 bigint, ka array<bigint>, kb array<bigint>")
+    kept = materialise(kept, "kept")
+    sides = [F.sum(F.col("sides").bitwiseAND(F.lit(s)).cast("boolean").cast("long")) for s in (1, 2)]
+    counts = kept.select("sides", F.explode("kb").alias("key")).groupBy("key").agg(sides[0].alias("nt"), sides[1].alias("ne"))
+    # only words with both splits
+    counts = materialise(counts.filter("nt > 0 and ne > 0").select("key", (F.col("nt") + F.col("ne") >= BOILERPLATE).alias("wide")), "counts")
+    wide = small(materialise(counts.filter("wide").select("key"), "wide"))
+    one = kept.select("class", "sides", "s1", "s2", "ka", F.explode("kb").alias("key"))
+    narrow = one.drop("ka").join(counts.filter("not wide").select("key"), "key", "left_semi")
+    both = one.join(wide, "key", "left_semi").select("key", "class", "sides", "s1", "s2", F.explode("ka").alias("k2"))
+    both = both.select(F.xxhash64("key", "k2").alias("key"), "class", "sides", "s1", "s2")
+    near_enough = F.lit(True)
+    for x, y in (("s1", "t1"), ("s2", "t2")):
+        near_enough = near_enough & (F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MOST_BITS)
+
+    def meet(keys: DataFrame, hot: DataFrame | None) -> DataFrame:
+        ev = keys.filter(F.col("sides").bitwiseAND(F.lit(2)) > 0).selectExpr("key", "class as e", "s1", "s2")
+        tr = keys.filter(F.col("sides").bitwiseAND(F.lit(1)) > 0).selectExpr("key", "class as t", "s1 as t1", "s2 as t2")
+        return join_hot(ev, tr, ["key"], hot).filter(near_enough & (F.col("e") != F.col("t"))).select("e", "t")
+
+    # exact counts: a hot key's evaluation rows get one salt each, its training rows all of them
+    hot = materialise(both.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_ROWS).select("key"), "hot")
+    return meet(narrow, None).unionByName(meet(both, hot)).distinct()
 
 
 @F.pandas_udf(T.BooleanType())
@@ -251,11 +270,8 @@ def split_overlaps(df: DataFrame, id_col: str, a_col: str, b_col: str, split_col
     others = small(materialise(members.filter("id <> class").select("id"), "others"))
     several = small(materialise(classes.filter("n > 1").select(F.col("class").alias("id"), "sides"), "several"))
     own = F.when(F.col("train"), F.lit(1)).otherwise(F.lit(2)).cast("tinyint")
-    reps = rows.select("id", "train", "b").join(others, "id", "left_anti").join(several, "id", "left").select(F.col("id").alias("class"), F.coalesce("sides", own).alias("sides"), "b")
-    bits = rows.select("id", "s1", "s2")
-    near_enough = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2"))) <= MOST_BITS
-    met = _shared_spans(_suffix_rows(reps)).join(bits.toDF("e", "s1", "s2"), "e").join(bits.toDF("t", "t1", "t2"), "t").filter(near_enough).select("e", "t")
-    met = materialise(met, "met")
+    reps = rows.select("id", "train", "a", "b", "s1", "s2").join(others, "id", "left_anti").join(several, "id", "left").select(F.col("id").alias("class"), F.coalesce("sides", own).alias("sides"), "a", "b", "s1", "s2")
+    met = materialise(_met(rows, reps), "met")
     text = lambda c: rows.select("id", "a", "b").join(small(materialise(met.select(F.col(c).alias("id")).distinct(), "ids")), "id", "left_semi")
     pairs = met.join(text("e").toDF("e", "a1", "b1"), "e").join(text("t").toDF("t", "a2", "b2"), "t")
     links = materialise(pairs.filter(_both_near("a1", "a2", "b1", "b2")).select("e", "t").unionByName(classes.filter("sides = 3").select(F.col("class").alias("e"), F.col("class").alias("t"))), "links")
