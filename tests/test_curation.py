@@ -236,3 +236,21 @@ def test_overlaps_of_many_variants(spark):
     rng.shuffle(rows)
     want = overlap_pairs(rows)
     assert len(want) == 100 * 400 and overlaps_got(spark, rows) == want
+
+
+def test_overlaps_of_few_words(spark, monkeypatch):
+    """Outputs of few different words: every kept word is hot, is combined with the instruction's and salted."""
+    monkeypatch.setattr(overlap, "BOILERPLATE", 64)
+    monkeypatch.setattr(overlap, "HOT_ROWS", 5)
+    rng = random.Random(12)
+    some = [word(rng) for _ in range(5)]
+    heads = [[word(rng) for _ in range(8)] for _ in range(12)]
+    rows = []
+    for k in range(480):
+        a, b = list(rng.choice(heads)), rng.choices(some, k=10)
+        a[rng.randrange(8)] = word(rng)
+        rows.append((k, " ".join(a), " ".join(b), "train" if k % 4 else "test"))
+    rows += [(1000 + k, "a b", " ".join(word(rng) for _ in range(30)), "train") for k in range(100)]
+    rng.shuffle(rows)
+    want = overlap_pairs(rows)
+    assert len(want) > 30 and overlaps_got(spark, rows) == want
