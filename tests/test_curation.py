@@ -254,3 +254,23 @@ def test_overlaps_of_few_words(spark, monkeypatch):
     rng.shuffle(rows)
     want = overlap_pairs(rows)
     assert len(want) > 30 and overlaps_got(spark, rows) == want
+
+
+def test_overlaps_of_long_texts_in_any_order(spark):
+    """A fifth of the words of long outputs replaced and the others shuffled; short ones with words run together."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(120):
+        a, b = [word(rng) for _ in range(9)], [word(rng) for _ in range(rng.choice((10, 20, 30, 45, 70)))]
+        rows.append((2 * k, " ".join(a), " ".join(b), "train"))
+        y = list(b)
+        if k % 3:
+            for i in rng.sample(range(len(y)), rng.randint(0, len(y) // 5)):
+                y[i] = f"{word(rng)}{k}"
+            rng.shuffle(y)
+        else:
+            for i in sorted(rng.sample(range(0, len(y) - 1, 2), len(y) // 4), reverse=True):
+                y[i : i + 2] = [y[i] + y[i + 1]]
+        rows.append((2 * k + 1, " ".join(a), " ".join(y), "val"))
+    want = overlap_pairs(rows)
+    assert len(want) >= 120 and overlaps_got(spark, rows) == want
