@@ -69,3 +69,25 @@ def test_stream(spark, tmp_path):
     for i, t in enumerate(VALID):
         last = got[str(i), len(t) // k]
         assert last.accepts and last.line_no == 2 and last.weights == VerseState().feed(t).line()
+
+
+def test_alive_counts(spark):
+    """Counts by shared states equal the mask pair by pair; whole first words and whole glossed words in the query."""
+    from vrittam.streaming.streams import alive_counts
+
+    words = sorted({w for c in VALID for w in c.split()})[:25] + ["", "ab", "మా\nమా", "క్", "ఁక", "1x"]
+    starts = sorted({w for c in VALID for w in c.split()})[::2] + ["కూ", "x", "క్"]
+    tokens = spark.createDataFrame(list(enumerate(words)), "token_id int, token_text string")
+    got = {r.prefix: r.n_alive for r in alive_counts(spark.createDataFrame([(p,) for p in starts], "prefix string"), tokens).collect()}
+    want = {p: sum(VerseState().feed(p + t).alive() for t in words) for p in starts}
+    assert got == {p: n for p, n in want.items() if n}
+
+
+def test_token_candidates_take_whole_words(spark, tmp_path):
+    from vrittam.plans.verse import token_candidates
+
+    rows = [(1, "సత్యధర్మము చేయుము\nపాల్ ద్రావి", {"సత్యము": "truth", "పాలు": "milk"}), (2, " మా x", {"సత్యము": "truth"}), (3, None, None)]
+    spark.createDataFrame(rows, "rec_id int, poem string, word_to_word_meaning map<string,string>").write.parquet(str(tmp_path / "dwipada_augmented_dataset.parquet"))
+    got = {r.prefix: r.n_alive for r in token_candidates(spark, str(tmp_path)).collect()}
+    want = {p: sum(VerseState().feed(p + t).alive() for t in ("సత్యము", "పాలు")) for p in ("సత్యధర్మము", "మా")}
+    assert got == {p: n for p, n in want.items() if n} and "సత్యధర్మము" in got

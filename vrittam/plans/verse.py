@@ -12,7 +12,7 @@ from ..functions import prosody as P
 from ..functions.names import clean_source
 from ..operators import metre
 from ..scratch import table
-from ..streaming.streams import read_lines, token_mask
+from ..streaming.streams import alive_counts, read_lines
 
 POEMS = "dwipada_augmented_dataset"
 
@@ -180,11 +180,9 @@ def reader_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Living tokens after every first word of the poems: the words of the glosses stand for the vocabulary."""
-    words = table(spark, sf_dir, POEMS).select(F.explode(F.map_keys("word_to_word_meaning")).alias("w")).filter("w is not null")
-    syl = words.select(F.explode(P.pure(P.syllables(F.col("w")))).alias("token_text")).distinct()
-    tokens = syl.select(F.hash("token_text").alias("token_id"), "token_text")
-    start = _poems(spark, sf_dir).filter("poem is not null").select(F.regexp_extract("poem", r"^[\x{0C00}-\x{0C7F}]{1,2}", 0).alias("prefix")).filter("prefix <> ''").distinct()
-    return token_mask(start, tokens).groupBy("prefix").agg(F.count(F.lit(1)).alias("n_alive"))
+    words = table(spark, sf_dir, POEMS).select(F.explode(F.map_keys("word_to_word_meaning")).alias("token_text")).filter("token_text is not null").distinct()
+    start = _poems(spark, sf_dir).filter("poem is not null").select(F.regexp_extract("poem", f"[^{A.BLANKS}]+", 0).alias("prefix")).filter("prefix <> ''").distinct()
+    return alive_counts(start, words)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

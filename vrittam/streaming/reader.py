@@ -30,6 +30,30 @@ def tables() -> tuple[frozenset[str], frozenset[str]]:
     return full, frozenset(p[:k] for p in full for k in range(len(p) + 1))
 
 
+class _Shapes(dict):
+    """Translation table: a character to the first one of the same part in syllables and weights, others to ``x``."""
+
+    def __init__(self) -> None:
+        kinds = [re.compile(f"[{x}]") for x in (A.CONSONANTS, A.VIRAMA, A.SIGNS, A.DIACRITICS, A.VOWELS, A.LONG_SIGNS, A.DIPHTHONGS, A.LONG_VOWELS, _SEP, " ", "\n")]
+        first: dict[tuple[bool, ...], str] = {}
+        for c in map(chr, range(0x10000)):
+            if any(kind := tuple(bool(k.match(c)) for k in kinds)):
+                self[ord(c)] = first.setdefault(kind, c)
+
+    def __missing__(self, cp: int) -> str:
+        return "x"
+
+
+@lru_cache(maxsize=1)
+def _shapes() -> _Shapes:
+    return _Shapes()
+
+
+def shape(text: str) -> str:
+    """A text with the same syllables and weights, equal for all texts whose letters are of the same kinds. Rhyme letters are lost."""
+    return text.translate(_shapes())
+
+
 @dataclass(frozen=True)
 class VerseState:
     """A snapshot: everything the reader knows. Feeding returns a new one, so going back is keeping the old one."""

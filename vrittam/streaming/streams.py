@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .reader import VerseState
+from .reader import VerseState, shape
 
 STATE = "settled string, tail string, seen int, second string, lines string, rhymes string"
 OUT = "stream_id string, seq bigint, line_no int, weights string, alive boolean, accepts boolean"
@@ -74,6 +75,55 @@ def token_mask(prefixes: DataFrame, tokens: DataFrame, max_tokens: int = 300_000
     return prefixes.select("prefix").mapInPandas(run, "prefix string, token_id int, accepts boolean")
 
 
+@F.pandas_udf(T.StringType())
+def _shape(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: shape(x or ""))
+
+
+@F.pandas_udf(T.StringType())
+def _weight_state(s: pd.Series) -> pd.Series:
+    """Settled weights and tail behind a shape, parted by a bar."""
+    ends = {x: VerseState().feed(x) for x in set(s)}
+    return s.map(lambda x: f"{ends[x].settled}|{ends[x].tail}")
+
+
+def alive_counts(prefixes: DataFrame, tokens: DataFrame, max_shapes: int = 300_000) -> DataFrame:
+    """``prefix``, ``n_alive``: how many rows of ``tokens`` :func:`token_mask` gives for each prefix without line ends; none has no row.
+
+    Prefixes share the work of their weight state, tokens that of their shape; only the shapes
+    (refused beyond ``max_shapes``) go to every task. Tokens with line ends, behind which rhyme
+    letters count, are masked one by one.
+    """
+    text = F.coalesce("token_text", F.lit(""))
+    rows = tokens.filter(~F.contains(text, F.lit("\n"))).groupBy(_shape("token_text").alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(max_shapes + 1).collect()
+    if len(rows) > max_shapes:
+        raise ValueError(f"more than {max_shapes} shapes of tokens")
+    shared = prefixes.sparkSession.sparkContext.broadcast(sorted((r.s, r.n) for r in rows))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = []
+            for key in pdf["state"]:
+                settled, _, tail = key.partition("|")
+                states, last, n = [VerseState(settled, tail)], "", 0
+                for s, k in shared.value:
+                    # in their order, shapes share the states of what they begin with
+                    same = next((i for i, (x, y) in enumerate(zip(s, last)) if x != y), min(len(s), len(last)))
+                    del states[same + 1 :]
+                    for c in s[same:]:
+                        states.append(states[-1].feed(c))
+                    last = s
+                    n += k * states[-1].alive()
+                got.append((key, n))
+            yield pd.DataFrame(got, columns=["state", "n"])
+
+    begun = prefixes.select("prefix", _weight_state(_shape("prefix")).alias("state"))
+    lived = begun.select("state").distinct().mapInPandas(run, "state string, n long")
+    broken = token_mask(prefixes, tokens.filter(F.contains(text, F.lit("\n"))).select(F.lit(0).alias("token_id"), "token_text"))
+    every = begun.join(lived, "state").select("prefix", "n").unionByName(broken.select("prefix", F.lit(1).cast("long").alias("n")))
+    return every.groupBy("prefix").agg(F.sum("n").alias("n_alive")).filter("n_alive > 0")
+
+
 def script_tokens(tokens: DataFrame) -> DataFrame:
     """Tokens of Telugu letters, blanks and colons only."""
     return tokens.filter(F.col("token_text").rlike(r"^[\x{0C00}-\x{0C7F} \n:]+$"))
