@@ -88,6 +88,26 @@ def test_budget(spark):
     assert budget.token_budget(df.limit(0), works).count() == 0
 
 
+def test_budget_of_repeated_poems(spark):
+    """A poem that holds a third of the rows is a third of both samples; they keep their bound; few different rows are no failure."""
+    rng = random.Random(14)
+    odd = "౧౨౩ ౪౫౬ " * 9
+    rows = [(k, odd if k % 3 == 0 else " ".join("".join(rng.choice("కగతనమలవి") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(3, 12)))) for k in range(1500)]
+    rows += [(2000 + k, "ಕನ್ನಡ ಪದ್ಯ") for k in range(400)] + [(3000 + k, " \n") for k in range(300)]
+    df = spark.createDataFrame(rows, "rec_id int, poem string")
+    count = encode.encoder().count
+    for got in (df, df.select("poem")):  # without an identifier, equal rows are one sample row
+        out = budget.estimate(got, "poem", fit_texts=5, holdout_texts=5).groupBy("_language").sum("_tokens").collect()
+        told = {r["_language"]: r["sum(_tokens)"] for r in out}
+        assert told["kn"] == pytest.approx(400 * count("ಕನ್ನಡ ಪದ್ಯ")) and told["und"] == pytest.approx(300 * count(" \n"))
+    told = budget.estimate(df, "poem", fit_texts=200, holdout_texts=200).filter("_language in ('te', 'und') and poem <> ' \n'").agg({"_tokens": "sum"}).first()[0]
+    assert abs(told / sum(count(p) for i, p in rows if i < 1500) - 1) < 0.03
+    texts = df.selectExpr("poem as t", "'te' as _language", "xxhash64(rec_id, poem) as h").filter("rec_id < 1500")
+    sample = budget._sample(texts, {"te": 1500}, 100, 200).collect()
+    assert [sum(r.part == p for r in sample) for p in (0, 1)] == [100, 200]
+    assert all(0.2 < sum(r.t == odd for r in sample if r.part == p) / n < 0.47 for p, n in ((0, 100), (1, 200)))
+
+
 def test_packing(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice([5, 80, 300, 700, 1500, 4096, 4097, 9000])) for i in range(800)] + [(900, None), (901, 0), (902, -3), (5, 12), (5, 12)]

@@ -1,7 +1,7 @@
 """Token budget: estimated tokens per text, and totals by source, language and domain.
 
 A linear model per language predicts tokens from bytes, words, digits, punctuation and letters of
-each script. Its normal equations are summed over a bounded, hashed sample that is tokenized; a
+each script. Its normal equations are summed over a bounded, hashed sample of rows that is tokenized; a
 second sample gives each language's ratio of true to predicted tokens, which corrects the bias.
 All features are column expressions.
 """
@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import clean_source
 from .encode import DEFAULT_TOKENIZER, TOKENIZER_DIR, encoder
 
-#: Texts tokenized per language for the fit and as holdout, at most.
+#: Rows tokenized per language for the fit and as holdout, at most.
 FIT_TEXTS, HOLDOUT_TEXTS = 1500, 1500
 SCRIPTS = {"telugu": r"\x{0C00}-\x{0C7F}", "kannada": r"\x{0C80}-\x{0CFF}", "latin": r"A-Za-z", "accented": r"\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}"}
 FEATURES = ("one", "bytes", "words", "digits", "punctuation", *SCRIPTS)
@@ -51,29 +51,51 @@ def _tokens(tokenizer: str, folder: str):
     return count
 
 
+def _ranked(rows: DataFrame, fit_texts: int, holdout_texts: int) -> DataFrame:
+    """The rows of least hash ``h`` per language, at most as many as wanted, with ``part``: 0 for the fit and 1 for the holdout, interleaved."""
+    want = fit_texts + holdout_texts
+    rank = F.row_number().over(Window.partitionBy("_language").orderBy("h"))
+    upto = lambda k: F.floor(k * F.lit(holdout_texts) / F.lit(want))
+    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= want).withColumn("part", (upto(F.col("_rank")) - upto(F.col("_rank") - 1)).cast("int")).drop("_rank")
+
+
+def _sample(texts: DataFrame, counts: dict[str, int], fit_texts: int, holdout_texts: int) -> DataFrame:
+    """Sample rows by a hash of the whole row: a threshold keeps some more than wanted, the rank makes it exact."""
+    want = fit_texts + holdout_texts
+    span = 2.0**64
+    keep = F.lit(False)
+    for lang, n in counts.items():
+        share = min(1.0, (want + 6 * want**0.5 + 30) / n)
+        keep = keep | ((F.col("_language") == lang) & (F.col("h").cast("double") <= F.lit(-span / 2 + span * share)))
+    return _ranked(texts.filter(keep).withColumn("w", F.lit(1.0)), fit_texts, holdout_texts)
+
+
 def estimate(df: DataFrame, text_col: str, tokenizer: str = DEFAULT_TOKENIZER, folder: str = TOKENIZER_DIR, fit_texts: int = FIT_TEXTS, holdout_texts: int = HOLDOUT_TEXTS) -> DataFrame:
     """``df`` with ``_language`` and ``_tokens``, the estimated tokens of the text (0 for null and empty ones).
 
-    Sample texts are chosen by a hash of the text. A language whose sample is too small to solve its
-    equations is predicted by its tokens per byte. Only sums over the samples reach the driver.
+    Sample rows are chosen by a hash of all columns of ``df`` (but maps), so it should have an identifier: then a
+    text counts in the samples as often as in the rows. A language without a sampled row, as of few
+    different rows, is sampled by its different rows, weighted by their number. One whose sample is too small
+    to solve its equations is predicted by its tokens per byte. Only sums over the samples reach the driver.
     """
     f = features(F.col(text_col))
     rows = df.select("*", *[v.alias(f"_f_{k}") for k, v in f.items()])
     rows = rows.withColumn("_language", language({k: F.col(f"_f_{k}") for k in f}))
     cols = [f"_f_{k}" for k in FEATURES]
-    texts = rows.filter(F.col("_f_bytes") > 0).select(F.col(text_col).alias("t"), "_language", F.xxhash64(F.col(text_col)).alias("h"), *cols)
-    # the texts of least hash per language: a hashed threshold keeps about the wanted number, the rank makes it exact
+    texts = rows.filter(F.col("_f_bytes") > 0).select(F.col(text_col).alias("t"), "_language", F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]).alias("h"), *cols)
     counts = {r["_language"]: r["n"] for r in texts.groupBy("_language").agg(F.count(F.lit(1)).alias("n")).collect()}
-    want = fit_texts + holdout_texts
-    span = 2.0**64
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        share = min(1.0, want / n)
-        keep = keep | ((F.col("_language") == lang) & (F.col("h").cast("double") <= F.lit(-span / 2 + span * share)))
-    sample = texts.filter(keep).withColumn("y", _tokens(tokenizer, folder)("t").cast("double")).withColumn("part", F.pmod(F.shiftright("h", 7), F.lit(2)))
-    cross = [F.sum(F.col(a) * F.col(b)).alias(f"{a}*{b}") for i, a in enumerate(cols) for b in cols[i:]]
-    with_y = [F.sum(F.col(a) * F.col("y")).alias(f"{a}*y") for a in cols]
-    sums = sample.groupBy("_language", "part").agg(*cross, *with_y, F.sum("y").alias("y"), *[F.sum(c).alias(c) for c in cols]).collect()
+    cross = [F.sum(F.col(a) * F.col(b) * F.col("w")).alias(f"{a}*{b}") for i, a in enumerate(cols) for b in cols[i:]]
+    with_y = [F.sum(F.col(a) * F.col("y") * F.col("w")).alias(f"{a}*y") for a in cols]
+
+    def summed(sample: DataFrame) -> list:
+        told = sample.withColumn("y", _tokens(tokenizer, folder)("t").cast("double"))
+        return told.groupBy("_language", "part").agg(*cross, *with_y, F.sum(F.col("y") * F.col("w")).alias("y"), *[F.sum(F.col(c) * F.col("w")).alias(c) for c in cols]).collect()
+
+    sums = summed(_sample(texts, counts, fit_texts, holdout_texts))
+    missed = sorted(counts.keys() - {r["_language"] for r in sums})
+    if missed:
+        few = texts.filter(F.col("_language").isin(missed)).groupBy("_language", "h").agg(*[F.first(c).alias(c) for c in ("t", *cols)], F.count(F.lit(1)).cast("double").alias("w"))
+        sums += summed(_ranked(few, fit_texts, holdout_texts))
     weights = {}
     for lang in counts:
         fit = next((r for r in sums if r["_language"] == lang and r["part"] == 0), None)
@@ -107,13 +129,13 @@ def _solve(fit, held, cols: list[str]) -> np.ndarray:
     return w
 
 
-def token_budget(df: DataFrame, works: DataFrame, text_col: str = "poem", **options) -> DataFrame:
+def token_budget(df: DataFrame, works: DataFrame, text_col: str = "poem", id_col: str = "rec_id", **options) -> DataFrame:
     """``source``, ``language``, ``domain``, ``is_synthetic_data``, ``n_texts``, ``n_tokens``: estimated totals.
 
     Sources are cleaned; one that is no work has the domain ``unknown``. Null and blank texts are
     left out. A null flag is a group of its own.
     """
-    got = estimate(df.select(text_col, "source", "is_synthetic_data").filter(F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"[\s\p{Z}\p{C}]+", "")) != ""), text_col, **options)
+    got = estimate(df.select(id_col, text_col, "source", "is_synthetic_data").filter(F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"[\s\p{Z}\p{C}]+", "")) != ""), text_col, **options)
     sums = got.groupBy(clean_source(F.col("source")).alias("source"), F.col("_language").alias("language"), "is_synthetic_data").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("_tokens").alias("n_tokens"))
     domains = works.select(F.col("work").alias("source"), F.col("genre").alias("domain"))
     return sums.join(domains, "source", "left").select("source", "language", F.coalesce("domain", F.lit("unknown")).alias("domain"), "is_synthetic_data", "n_texts", F.round("n_tokens").cast("bigint").alias("n_tokens"))
