@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vrittam.functions.textfold import tight_skeleton, without_ordinary_space
+from vrittam.llm.textfold import tight_skeleton, without_ordinary_space
 from vrittam.llm import budget, defects, encode, lookalikes, packing, quality
 from vrittam.llm.boost import BoostedTrees
 from vrittam.llm.holdout import HOLDOUT

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.textfold import shape_keys, skeleton_text
+from .textfold import shape_keys, skeleton_text
 from ..operators.hotkeys import HOT_ROWS, SALTS, join_hot
 from ..scratch import materialise
 

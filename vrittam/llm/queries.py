@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..scratch import table
-from . import budget, defects, encode, lookalikes, packing, quality
+from . import budget, curation, defects, encode, lookalikes, packing, quality
 
 
 def p1_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **curation.QUERIES,
     "p1_budget": p1_budget,
     "p1_estimates": p1_estimates,
     "p2_canonical": p2_canonical,
