@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, curation, letters, verse
+from . import corpus, letters, verse
 
-QUERIES = {**curation.QUERIES, **verse.QUERIES, **corpus.QUERIES, **letters.QUERIES}
-ORACLE_SQL = {**curation.ORACLE_SQL, **verse.ORACLE_SQL, **corpus.ORACLE_SQL, **letters.ORACLE_SQL}
+QUERIES = {**verse.QUERIES, **corpus.QUERIES, **letters.QUERIES}
+ORACLE_SQL = {**verse.ORACLE_SQL, **corpus.ORACLE_SQL, **letters.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
