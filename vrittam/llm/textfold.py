@@ -1,85 +1,131 @@
 """Folding of text to comparable forms.
 
 ``skeleton`` keeps every visible letter and mark but not the characters they are written with:
-decompose, replace each character by the prototype of its shape, decompose again.
+decompose, replace each character by the prototype of its shape, decompose again. The prototypes
+are the public Unicode table of confusable characters, as the ICU library of Spark carries it.
 ``letters`` is the skeleton in lower case without punctuation and blanks.
 """
 
 from __future__ import annotations
 
+import glob
+import os
 import re
-import sys
+import struct
 import unicodedata
+import zipfile
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Characters of the same shape (after full decomposition), from the Unicode
-# confusables data; left the character, right the prototype.
-# Cyrillic and Greek letters drawn like Latin ones:
-SHAPES_LATIN = dict(
-    zip(
-        "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧοıɑɡ",
-        "ABESIJKMHOPCTYXaesijopcyxhdqwlABEZHIKMNOPTYXoiag",
-        strict=True,
-    )
-)
-# Kannada letters drawn like the Telugu letter at the same place of its block:
-SHAPES_KANNADA = "ಂಃಅಆಇಒಓಔಜಞಣಯಱಲ"
-# Digits zero drawn like the nasal sign:
-SHAPES_NASAL = {"౦": "ం", "೦": "ం"}
-
-#: Distance of the Kannada from the Telugu block.
-KANNADA_STEP = 0x80
+#: File of the table of confusables in Spark's ICU library.
+TABLE = "com/ibm/icu/impl/data/icudata/confusables.cfu"
+#: Default-ignorable characters that are neither format nor control characters.
+IGNORABLE = ((0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF))
+#: Compatibility forms that only differ in width, font or position; raised, lowered, circled and square ones look different.
+SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<isolated>", "<initial>", "<medial>", "<final>", "<vertical>", "<small>")
+
+def _library() -> str:
+    import pyspark
+
+    for folder in (os.path.join(os.environ.get("SPARK_HOME", ""), "jars"), os.path.join(os.path.dirname(pyspark.__file__), "jars")):
+        found = sorted(glob.glob(os.path.join(folder, "icu4j-*.jar")))
+        if found:
+            return found[-1]
+    raise FileNotFoundError("Spark's ICU library, which holds the table of confusables")
+
+
+@lru_cache(maxsize=1)
+def confusables() -> dict[int, str]:
+    """Code point to prototype, of some 6,000 characters.
+
+    The file holds, after its header, sorted keys (code point, and length of the prototype less
+    one in the highest byte), a value for each (the prototype itself if it is one unit long, else its
+    place among the strings) and the strings, all big-endian.
+    """
+    with zipfile.ZipFile(_library()) as z:
+        raw = z.read(TABLE)
+    body = raw[struct.unpack(">H", raw[:2])[0] :]
+    _, _, _, keys_at, n, values_at, _, strings_at, n_units = struct.unpack(">9i", body[:36])
+    keys = struct.unpack(f">{n}I", body[keys_at : keys_at + 4 * n])
+    values = struct.unpack(f">{n}H", body[values_at : values_at + 2 * n])
+    units = body[strings_at : strings_at + 2 * n_units]
+    out = {}
+    for key, value in zip(keys, values):
+        size = (key >> 24) + 1
+        out[key & 0xFFFFFF] = chr(value) if size == 1 else units[2 * value : 2 * (value + size)].decode("utf-16-be", "surrogatepass")
+    return out
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0]
 
 
 @lru_cache(maxsize=1)
-def shape_table() -> dict[int, str | None]:
-    """Character to prototype; invisible characters to nothing, every blank to one space."""
-    table: dict[int, str | None] = {ord(a): b for a, b in SHAPES_LATIN.items()}
-    table |= {ord(c): chr(ord(c) - KANNADA_STEP) for c in SHAPES_KANNADA}
-    table |= {ord(a): b for a, b in SHAPES_NASAL.items()}
-    for cp in range(sys.maxunicode + 1):
+def prototypes() -> dict[int, str]:
+    """The confusables but for letters said to look like several of their own script, as m like rn.
+
+    Those are different letters, and texts that differ in them different texts. Characters of other
+    scripts with the same prototype look like the letter and get it.
+    """
+    table = confusables()
+    several = {cp: p for cp, p in table.items() if len(p) > 1 and unicodedata.category(chr(cp))[0] in "LM" and all(_script(x) == _script(chr(cp)) for x in p)}
+    stand: dict[str, str] = {}
+    for cp in sorted(several):
+        stand.setdefault(several[cp], chr(cp))
+    return {cp: stand.get(p, p) for cp, p in table.items()}
+
+
+class _Shapes(dict):
+    """Translation of letters, marks and digits to prototypes, made on demand; invisible characters to nothing, every blank to one space.
+
+    Punctuation is left as it is: dashes and quotation marks of the table do not look the same.
+    """
+
+    def __missing__(self, cp: int) -> str | None:
         c = chr(cp)
         if c.isspace():
-            table[cp] = " "
-        elif unicodedata.category(c) in ("Cf", "Cc"):
-            table[cp] = None
-    # default-ignorable characters that are neither format nor control characters
-    for lo, hi in ((0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF)):
-        table |= dict.fromkeys(range(lo, hi + 1))
-    return table
+            out = " "
+        elif unicodedata.category(c) in ("Cf", "Cc") or any(lo <= cp <= hi for lo, hi in IGNORABLE):
+            out = None
+        elif unicodedata.decomposition(c).startswith(SAME_LOOK):
+            out = unicodedata.normalize("NFKD", c).translate(self)
+        elif unicodedata.category(c)[0] in "LMN":
+            out = prototypes().get(cp, c)
+        else:
+            out = c
+        self[cp] = out
+        return out
+
+
+_SHAPES = _Shapes()
 
 
 def skeleton(text: str) -> str:
     """Shape-equal form of a text: letters, marks, digits and punctuation, blanks as single spaces."""
-    s = unicodedata.normalize("NFKD", text).translate(shape_table())
-    return " ".join(unicodedata.normalize("NFD", s).split())
+    return " ".join(unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_SHAPES)).split())
 
 
 def tight_skeleton(text: str) -> str:
     """:func:`skeleton` without blanks."""
-    s = unicodedata.normalize("NFKD", text).translate(shape_table())
-    return unicodedata.normalize("NFD", s).replace(" ", "")
-
-
-_KEEP: dict[str, bool] = {}
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_SHAPES)).replace(" ", "")
 
 
 class _Letters(dict):
-    """Translation table made on demand: shapes and case folded, all but letters, marks and digits a space."""
+    """Translation table made on demand: case and shapes folded, all but letters, marks and digits a space."""
 
-    def __missing__(self, cp: int):
-        table = shape_table()
-        if cp in table:
-            out = table[cp]
+    def __missing__(self, cp: int) -> str | None:
+        c = chr(cp)
+        shape = _SHAPES[cp]
+        if shape is None or shape == " ":
+            out = shape
+        elif unicodedata.category(c)[0] not in "LMN" and not any(unicodedata.category(x)[0] in "LMN" for x in unicodedata.normalize("NFKD", c)):
+            out = " "
         else:
-            c = chr(cp)
-            out = c if unicodedata.category(c)[0] in "LMN" else " "
-        if out and out != " ":
-            out = unicodedata.normalize("NFD", out.lower())
+            # case first, so that a capital is the letter it is and not one that looks like it
+            out = unicodedata.normalize("NFD", unicodedata.normalize("NFD", c.lower()).translate(_SHAPES).lower())
         self[cp] = out
         return out
 
@@ -89,7 +135,7 @@ _LETTERS = _Letters()
 
 def folded_words(text: str) -> list[str]:
     """Words of a text in folded form: shapes, case and punctuation do not matter."""
-    return unicodedata.normalize("NFKD", text).translate(_LETTERS).split()
+    return unicodedata.normalize("NFD", text).translate(_LETTERS).split()
 
 
 def letters(text: str) -> str:
