@@ -9,22 +9,30 @@ from pyspark.sql import functions as F
 HOT_ROWS = 20_000
 #: Parts into which a hot key is spread.
 SALTS = 64
+#: Rows up to which a written table of a few narrow columns is broadcast: some megabytes.
+SMALL_ROWS = 200_000
 
 
-def hot_keys(counts: DataFrame, n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys of exact counts that reach ``hot_rows``: at most total rows / ``hot_rows`` of them."""
-    return counts.filter(F.col(n) >= hot_rows)
+def hot_keys(counts: DataFrame, on: list[str], n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys ``on`` of a written table of exact counts that are hot, or nothing if none is.
+
+    A key is hot from ``hot_rows`` rows, or from total / :data:`SMALL_ROWS` where that is more; so
+    there are at most :data:`SMALL_ROWS` of them, however large the table.
+    """
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    least = max(hot_rows, (total or 0) // SMALL_ROWS)
+    return counts.filter(F.col(n) >= least).select(*on) if most and most >= least else None
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, salts: int = SALTS) -> DataFrame:
     """Inner equi-join whose hot keys are spread: left rows get one salt, right rows all of them.
 
-    ``hot`` has the columns ``on``, at most a few thousand rows. Rows of other keys get salt 0 on
-    both sides, so nothing is copied for them.
+    ``hot`` comes from :func:`hot_keys`, which bounds its size; its columns stand for ``on`` in
+    their order. Rows of other keys get salt 0 on both sides, so nothing is copied for them.
     """
     if hot is None:
         return left.join(right, on)
-    h = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
+    h = F.broadcast(hot.toDF(*on).withColumn("_hot", F.lit(True)))
     spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     lhs = left.join(h, on, "left").withColumn("_salt", spread).drop("_hot")
@@ -32,8 +40,12 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame |
     return lhs.join(rhs, [*on, "_salt"]).drop("_salt")
 
 
-#: Rows up to which a written table of a few narrow columns is broadcast: some megabytes.
-SMALL_ROWS = 200_000
+def apart(rows: DataFrame, on: list[str], hot: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and rows of the keys ``hot`` of :func:`hot_keys`, without a shuffle."""
+    if hot is None:
+        return rows, None
+    h = F.broadcast(hot.toDF(*on))
+    return rows.join(h, on, "left_anti"), rows.join(h, on, "left_semi")
 
 
 def small(written: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
