@@ -137,39 +137,85 @@ def test_differencing():
     assert {int(np.array([8, 7, 6, 5, 4])[w == k].sum()) for k in (0, 1)} == set(loads.tolist())
 
 
-TE = "తోడుగా నిలిచేను తుదిదాక చూడు\nనీడలా సాగేను నిమిషంబు విడువ"
-KN = "ತೋಡುಗಾ ನಿಲಿಚೇನು ತುದಿದಾಕ ಚೂಡು\nನೀಡಲಾ ಸಾಗೇನು ನಿಮಿಷಂಬು ವಿಡುವ"
+LIGHT, HEAVY = "కతపమలవసగ", "కా తీ పూ మే లో వా సై గం".split()
+
+
+def verse_line(rng, feet=None):
+    """A line of three feet of the first kind and one of the second, of made-up words."""
+    feet = feet or [*rng.choices(defects.FEET, k=3), rng.choice(defects.LAST_FEET)]
+    return " ".join("".join(rng.choice(LIGHT if w == "I" else HEAVY) for w in f) for f in feet)
+
+
+def kannada(text):
+    return "".join(chr(ord(c) + 0x80) if "\u0c00" <= c <= "\u0c7f" else c for c in text)
+
+
+_R = random.Random(21)
+COUPLET = verse_line(_R) + "\n" + verse_line(_R)
 ASK = "నది గురించి ద్విపద వ్రాయండి."
 CASES = [
-    (TE, None),
-    (f"Sure, here is the couplet:\n{TE}", None),
-    (f"{TE}\n\nభావం: నది నీడలా సాగుతుంది.", None),
-    (f"{TE}\n\nభావం: నది నీడలా సాగు", "truncated"),
+    (COUPLET, None),
+    (f"Sure, here is the couplet:\n{COUPLET}", None),
+    (f"{COUPLET}\n\nభావం: నది నీడలా ఒడ్డున సాగుతుంది. వాన కొండపై వచ్చెను.", None),
+    (f"{COUPLET}\n\nభావం: నది నీడలా ఒడ్డున సాగుతుంది. వాన కొండపై వ", "truncated"),
     ("", "empty"),
     (None, "empty"),
-    ("​\n", "empty"),
+    ("\u200b\n", "empty"),
     ("Poem: null", "empty"),
     ("I'm sorry, but I am unable to help with that request.", "refusal"),
     ("క్షమించండి, ఈ పద్యం వ్రాయడం నాకు సాధ్యం కాదు.", "refusal"),
     (ASK, "copy"),
     (f"{ASK} {ASK}", "copy"),
-    (TE.split("\n")[0], "truncated"),
+    (COUPLET.split("\n")[0], "truncated"),
+    (verse_line(_R, ["UII", "UIU", "IIII", "UI"]) + "\n" + verse_line(_R, ["UII", "UIU", "IIII", "U"]), "truncated"),
+    (verse_line(_R, ["UII", "UIU", "IIII", "UI"]) + "\n" + verse_line(_R, ["UII", "UIU"]), "truncated"),
     ("Certainly! The couplet in the", "truncated"),
-    (KN, "language"),
-    (f"{ASK}\n\n{TE}", None),
+    (kannada(COUPLET), "language"),
+    (f"{ASK}\n\n{COUPLET}", None),
 ]
 
 
+def defect_rows():
+    rng = random.Random(22)
+    filler = []
+    for k in range(240):
+        w = rng.choice(("నది", "వాన", "కొండ", "గుడి", "పాట"))
+        prompt, verse = f"{w} గురించి ద్విపద వ్రాయండి.", verse_line(rng) + "\n" + verse_line(rng)
+        prose = f"\n\nభావం: {w} నీడలా ఒడ్డున సాగుతుంది. అది మరియు ఊరికి {rng.choice(('వచ్చెను', 'చేరింది'))}."
+        if k % 6 == 0:
+            prompt, verse, prose = kannada(prompt), kannada(verse), ""
+        filler.append((100 + k, prompt, verse + prose * (k % 2), None))
+    return [(i, ASK, a, None) for i, (a, _) in enumerate(CASES)] + filler + [(500, None, kannada(COUPLET), None), (501, "x", "క" * 9000, None), (502, ASK, " ", COUPLET)]
+
+
 def test_defects(spark):
-    filler = [(f"{w} గురించి ద్విపద వ్రాయండి.", f"{TE}\n\nభావం: {w} నీడలా సాగుతుంది. అది మరియు వచ్చెను.") for w in ("నది", "వాన", "కొండ", "గుడి", "పాట")]
-    rows = [(i, ASK, a) for i, (a, _) in enumerate(CASES)] + [(100 + i, p, a) for i, (p, a) in enumerate(filler * 4)] + [(300, None, KN), (301, "x", "క" * 9000)]
-    df = spark.createDataFrame(rows, "result_id int, prompt string, raw_output string").selectExpr("*", "'x' as defect")
-    got = {r.id: r.defect for r in defects.broken_answers(df, "result_id", "prompt", "raw_output").collect()}
+    df = spark.createDataFrame(defect_rows(), "result_id int, prompt string, raw_output string, extracted_poem string").selectExpr("*", "'x' as defect")
+    got = {r.id: r.defect for r in defects.broken_answers(df, "result_id", "prompt", "raw_output", "extracted_poem").collect()}
     assert {i: got.get(i) for i in range(len(CASES))} == {i: d for i, (_, d) in enumerate(CASES)}
-    assert not any(100 <= i < 300 for i in got)
+    assert not any(100 <= i < 500 for i in got) and got[500] == "language" and 502 not in got
     assert defects.broken_answers(df.limit(0), "result_id", "prompt", "raw_output").count() == 0
 
 
+@pytest.mark.parametrize(("part", "lost"), [("languages", "language"), ("lines", "truncated"), ("prose", "truncated")])
+def test_defects_need_their_models(part, lost):
+    """Without one of the models, defects that it decides are missed or good answers called defective."""
+    judge = defects.fit([(p, a) for _, p, a, _ in defect_rows()])
+    full = [judge.defect(ASK, a) for a, _ in CASES]
+    assert full == [d for _, d in CASES]
+
+    class Blind:
+        def best(self, words):
+            return "te" if words else ""
+
+        def log_odds(self, tokens):
+            return 1.0
+
+    setattr(judge, part, Blind())
+    judge._prompts.clear()
+    less = [judge.defect(ASK, a) for a, _ in CASES]
+    assert [x for x, y in zip(full, less) if x != y] and lost in [x for x, y in zip(full, less) if x != y]
+
+
 def test_boosted_trees():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 5))

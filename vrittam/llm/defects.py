@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+import zlib
 from functools import lru_cache
 
 import pandas as pd
@@ -48,35 +48,54 @@ FEET = ("IIII", "IIIU", "IIUI", "UII", "UIU", "UUI")
 LAST_FEET = ("III", "UI")
 
 _MARKUP = re.compile(r"<[^<>\n]{1,40}>(?:model|user|assistant)?|\*\*|^#+|^>+", re.MULTILINE)
-_WORD = re.compile(r"[^\W_]+(?:[̀-ͯఀ-೿]+[^\W_]*)*", re.UNICODE)
 _SYLLABLE = re.compile(r"[క-హౘ-ౚ](?:్[క-హౘ-ౚ])*(?:్(?![క-హ]))?[ా-ౌౕౖ]*[ఀ-ః]*|[అ-ఔౠౡ][ఀ-ః]*")
+_DOUBLE = re.compile("[క-హ]్[క-హ]")
+_LINE_SIGNS = re.compile(r"\s*[/|।॥]\s*|\s{3,}")
+_INNER_STOP = re.compile(r"[.?!]\s+\S*\w")
+_SENTENCE = re.compile(r"([^.?!।॥]+[.?!।॥])(?=\s*[^\s.?!।॥])")
+_ANY_STOP = re.compile(r"[.?!:]")
+_CLOSING = re.compile(r"[\s\"'”’»)\]*_]+$")
+#: format characters of the plain planes; joiners, marks of direction, the byte order mark
+_FORMAT = re.compile("[\u00ad\u0600-\u0605\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb]")
 _HEAVY = re.compile(r"[ాీూేైోౌౄౖంః]|^[ఆఈఊఏఐఓఔౠ]|్$")
 
 
-@lru_cache(maxsize=20_000)
-def _script(c: str) -> str:
-    """Script of a letter or mark by its Unicode name; te and kn for short, nothing for other characters."""
-    if unicodedata.category(c)[0] not in "LM":
-        return ""
-    name = unicodedata.name(c, "").split(" ")[0].lower()
-    return {"telugu": "te", "kannada": "kn", "combining": ""}.get(name, name)
+class _Scripts(dict):
+    """Script of a letter or mark by its Unicode name; te and kn for short, nothing for other characters; filled as characters come."""
+
+    def __missing__(self, c: str) -> str:
+        out = ""
+        if unicodedata.category(c)[0] in "LM":
+            name = unicodedata.name(c, "").split(" ")[0].lower()
+            out = {"telugu": "te", "kannada": "kn", "combining": ""}.get(name, name)
+        self[c] = out
+        return out
+
+
+_SCRIPTS = _Scripts()
+
+
+class _Said(dict):
+    """Translation of all but letters, marks and digits to blanks, and of format characters to nothing; made on demand."""
+
+    def __missing__(self, cp: int) -> str:
+        kind = unicodedata.category(chr(cp))
+        out = self[cp] = chr(cp) if kind[0] in "LMN" else "" if kind == "Cf" else " "
+        return out
 
 
-def main_script(text: str) -> str:
-    """Script of most letters: te, kn, latin, ..., or nothing."""
-    seen = Counter(s for c in text if (s := _script(c)))
-    return seen.most_common(1)[0][0] if seen else ""
+_SAID = _Said()
+_TELUGU = {cp: cp - 0x80 for cp in range(0xC80, 0xD00)}
+
+
+def script_of(text: str) -> str:
+    """The script of all letters: te, kn, latin, ..., or nothing for several or none."""
+    seen = {_SCRIPTS[c] for c in set(text)} - {""}
+    return seen.pop() if len(seen) == 1 else ""
 
 
 def words(text: str) -> list[str]:
-    out, now = [], []
-    for c in text:
-        if unicodedata.category(c)[0] in "LMN":
-            now.append(c)
-        elif now and unicodedata.category(c) != "Cf":
-            out.append("".join(now))
-            now = []
-    return out + ["".join(now)] * bool(now)
+    return text.translate(_SAID).split()
 
 
 def romanise(text: str) -> str:
@@ -91,106 +110,123 @@ def romanise(text: str) -> str:
     return "".join(out)
 
 
-def foot_patterns(line: str) -> list[str]:
-    """Weights of each word of a Telugu or Kannada line."""
-    t = "".join(chr(ord(c) - 0x80) if "ಀ" <= c <= "೿" else c for c in line)
-    out = []
-    for w in words(t):
-        s = _SYLLABLE.findall(w)
-        out.append("".join("U" if _HEAVY.search(a) or re.match("[క-హ]్[క-హ]", b) else "I" for a, b in zip(s, [*s[1:], ""])))
-    return out
+@lru_cache(maxsize=50_000)
+def foot_of(word: str) -> str:
+    """Weights of the syllables of a Telugu or Kannada word, written I and U."""
+    s = _SYLLABLE.findall(word.translate(_TELUGU))
+    return "".join("U" if _HEAVY.search(a) or _DOUBLE.match(b) else "I" for a, b in zip(s, [*s[1:], ""]))
 
 
-def _cut_short(line: str) -> bool:
-    """The last word of a verse line is cut: the others are feet, and it is only the beginning of one."""
-    feet = foot_patterns(line)
-    if len(feet) != 4 or not all(f in FEET for f in feet[:3]):
-        return False
-    return feet[3] not in LAST_FEET and any(f.startswith(feet[3]) or f.startswith(feet[3][:-1] + "I") for f in LAST_FEET) and len(feet[3]) < 3
+def line_tokens(words_: list[str], language: str) -> list[str]:
+    """A verse line for the end model: number of words, number of syllables, weights of the last word (the last three of a long one).
 
+    In scripts whose weights are not known: the number of words.
+    """
+    if not words_:
+        return []
+    if language in ("te", "kn"):
+        last = foot_of(words_[-1])
+        return [f"{len(words_)} words", f"{sum(len(foot_of(w)) for w in words_)} syllables", last if len(last) < 5 else "-" + last[-3:]]
+    return [f"{len(words_)} words"]
 
-class Judge:
-    """Decides the defect of one answer with the two fitted models."""
 
-    def __init__(self, languages: NgramBayes, ends: EndModel):
-        self.languages, self.ends = languages, ends
+def prose_tokens(text: str) -> list[str]:
+    """The last characters of a run of prose for the end model, the very last by its kind if it is a mark; closing quotes and brackets do not count."""
+    t = _CLOSING.sub("", text)
+    return [*t[-4:-1], t[-1] if _SAID[ord(t[-1])] != " " else "stop" if t[-1] in ".?!।॥" else "mark"] if t else []
+
 
-    def asked(self, prompt: str | None) -> str:
-        """Script that a prompt wants its verse in: by its posterior, or by name in an English prompt."""
-        p = prompt or ""
-        post = self.languages.posterior(" ".join(words(p)))
-        best = max(post, key=post.get) if post else ""
+class _Prompt:
+    """What a prompt asks for, made once for all its answers."""
+
+    def __init__(self, judge: Judge, prompt: str):
+        w = words(prompt)
+        self.grams = set(_grams(" ".join(w)))
+        best = judge.languages.best(w)
         if best in ("en", "te-Latn"):
-            return "kn" if re.search(r"kannada|ragale", p, re.IGNORECASE) else "te"
-        return best if best in ("te", "kn") else main_script(p) or "te"
+            best = "kn" if re.search(r"kannada|ragale", prompt, re.IGNORECASE) else "te"
+        self.want = best if best in ("te", "kn") else script_of(prompt) or "te"
+
 
-    def language(self, text: str) -> str:
-        post = self.languages.posterior(" ".join(words(text)))
-        return max(post, key=post.get) if post else ""
+class Judge:
+    """Decides the defect of one answer with the two fitted models."""
+
+    def __init__(self, languages: NgramBayes, lines: EndModel, prose: EndModel):
+        self.languages, self.lines, self.prose = languages, lines, prose
+        self._prompts: dict[str, _Prompt] = {}
+
+    def prompt(self, text: str) -> _Prompt:
+        got = self._prompts.get(text)
+        if got is None:
+            if len(self._prompts) >= 20_000:
+                self._prompts.clear()
+            got = self._prompts[text] = _Prompt(self, text)
+        return got
 
     def ended(self, text: str) -> bool:
-        """A run of prose is complete: it ends where complete texts end."""
-        t = re.sub(r"[\s\"'”’»)\]*_]+$", "", text)
-        if not t or t.endswith("�"):
-            return False
-        if t[-1] in ".?!।॥":
-            return True
-        if unicodedata.category(t[-1])[0] in "LMN":
-            return self.ends.log_odds(t) > 0
-        return t[-1] not in ",;:-–—("
+        """A run of prose is complete: texts end so more often than they are cut so."""
+        return self.prose.log_odds(prose_tokens(text)) > 0
+
+    def whole(self, words_: list[str], language: str) -> bool:
+        """A verse line is complete: lines end so more often than they are cut so."""
+        return self.lines.log_odds(line_tokens(words_, language)) > 0
 
     def defect(self, prompt: str | None, raw: str | None) -> str | None:
-        text = _MARKUP.sub(" ", "".join(c for c in raw or "" if unicodedata.category(c) != "Cf").replace("\r", "\n"))
+        text = _MARKUP.sub(" ", _FORMAT.sub("", raw or "").replace("\r", "\n"))
         lines = [x for x in (y.strip() for y in text.split("\n")) if x]
         said = [w for w in words(text) if w.lower() not in LABEL_WORDS and w.lower() not in PLACEHOLDERS]
-        if not said and "�" not in text:
+        if not said and "\ufffd" not in text:
             return "empty"
-        p_grams = set(_grams(" ".join(words(prompt or ""))))
-        want = self.asked(prompt)
-        units = []  # (line, script) of verse lines, None for other text
+        asked = self.prompt(prompt or "")
+        units = []  # (text, language or None for what is no verse, complete)
         for line in lines:
-            units += self._parts(line, p_grams)
-        at = next((i for i in range(len(units) - 1) if units[i][1] == units[i + 1][1] == want and units[i][2] and units[i + 1][2]), None)
+            units += self._parts(line, asked.grams)
+        at = next((i for i in range(len(units) - 1) if units[i][1] == units[i + 1][1] == asked.want and units[i][2] and units[i + 1][2]), None)
         if at is not None:
             return self._after(units, at + 2)
         if REFUSALS.search(text):
             return "refusal"
-        g = _grams(" ".join(said))
-        if g and sum(x in p_grams for x in g) / len(g) >= COPIED:
+        if _copied(said, asked.grams):
             return "copy"
-        return self._other(lines, units, want)
+        return self._other(lines, units, asked.want)
 
     def _parts(self, line: str, p_grams: set[str]) -> list[tuple[str, str | None, bool]]:
-        """(text, script or None, complete) of the verse lines written in one line of text, or of its prose."""
+        """(text, language or None, complete) of the verse lines written in one line of text, or of its prose."""
         body = line.strip("\"'“”‘’«»[]() ")
         out = []
-        pieces = [x for x in re.split(r"\s*[/|।॥]\s*|\s{3,}", body) if words(x)]
+        pieces = [x for x in _LINE_SIGNS.split(body) if words(x)]
         if len(pieces) > 1 and not all(2 < len(words(x)) < 7 for x in pieces):
             pieces = [body]
         for piece in pieces:
             w = words(piece)
             if all(x.lower() in LABEL_WORDS for x in w):
                 continue
-            script = main_script(piece)
-            g = _grams(" ".join(w))
-            copied = g and sum(x in p_grams for x in g) / len(g) >= COPIED
-            feet = foot_patterns(piece) if script in ("te", "kn") else []
+            language = self.languages.best(w)
+            feet = [foot_of(x) for x in w] if language in ("te", "kn") else []
             metrical = len(feet) == 4 and all(f in FEET for f in feet[:3]) and feet[3] in LAST_FEET
-            plain = script in ("", "latin") or PROSE_LABEL.match(piece) or REFUSALS.search(piece) or copied or (piece.rstrip().endswith(":") and not metrical)
-            if plain or len(w) > 8 or re.search(r"[.?!]\s+\S*\w", piece) or (len(w) != 4 and piece.rstrip().endswith(".")):
+            stop = piece.rstrip().endswith(".")
+            if (
+                len(w) > 8
+                or language in ("en", "te-Latn")
+                or (len(w) != 4 and stop)
+                or (piece.rstrip().endswith(":") and not metrical)
+                or PROSE_LABEL.match(piece)
+                or _INNER_STOP.search(piece)
+                or REFUSALS.search(piece)
+                or _copied(w, p_grams)
+            ):
                 out.append((piece, None, False))
                 continue
-            if script not in ("te", "kn"):  # a script whose weights are not known: lines of about four words
-                out.append((piece, script if 3 <= len(w) <= 6 else None, "\ufffd" not in piece and len(w) >= 3))
+            clean = "\ufffd" not in piece
+            if not feet:
+                out.append((piece, language if 3 <= len(w) <= 6 else None, clean and self.whole(w, language)))
                 continue
             good = sum(f in FEET or f in LAST_FEET for f in feet)
-            syllables = sum(map(len, feet))
-            if len(w) in (7, 8) and syllables >= 20 and good >= 6:  # both lines in one
-                out += [(" ".join(w[:4]), script, True), (" ".join(w[4:]), script, not _cut_short(" ".join(w[4:])))]
+            if len(w) in (7, 8) and sum(map(len, feet)) >= 20 and good >= 6:  # both lines in one
+                out += [(" ".join(w[:4]), language, True), (" ".join(w[4:]), language, clean and self.whole(w[4:], language))]
                 continue
-            whole = (len(w) in (4, 5) or (len(w) == 3 and syllables >= 11)) and 8 <= syllables <= 20 and "\ufffd" not in piece and not _cut_short(piece)
-            verse = good * 2 >= len(feet) or whole
-            out.append((piece, script if verse else None, whole))
+            whole = clean and self.whole(w, language)
+            out.append((piece, language if whole or good * 2 >= len(feet) else None, whole))
         return out
 
     def _after(self, units: list, start: int) -> str | None:
@@ -198,20 +234,20 @@ class Judge:
         rest = units[start:]
         if not rest:
             return None
-        text, script, whole = rest[-1]
-        if script and not (text.rstrip().endswith(".") and len(rest) == 1):
+        text, language, whole = rest[-1]
+        if language and not (text.rstrip().endswith(".") and len(rest) == 1):
             return None if whole and len([u for u in rest if u[1]]) % 2 == 0 else "truncated"
         return None if self.ended(text) else "truncated"
 
     def _other(self, lines: list[str], units: list, want: str) -> str:
-        """No couplet in the script asked for: complete verse in another language, or an answer broken off."""
+        """No couplet in the language asked for: complete verse in another language, or an answer broken off."""
         for i in range(len(units) - 1):
             if units[i][1] and units[i][1] == units[i + 1][1] != want and units[i][2] and units[i + 1][2]:
                 return self._after(units, i + 2) or "language"
-        foreign = [x for x in lines if not x.endswith(":") and len(words(x)) > 2 and main_script(x) == "latin"]
-        if len(foreign) >= 2 and self.language(" ".join(foreign)) in ("en", "te-Latn"):
+        foreign = [x for x in lines if not x.endswith(":") and len(words(x)) > 2 and self.languages.best(words(x)) in ("en", "te-Latn")]
+        if len(foreign) >= 2:
             last = lines[-1]
-            if self.ended(last) or (self.language(last) == "te-Latn" and len(words(last)) >= 4):
+            if self.ended(last) or (self.languages.best(words(last)) == "te-Latn" and len(words(last)) >= 4):
                 return "language"
         return "truncated"
 
@@ -221,43 +257,71 @@ def _grams(text: str) -> list[str]:
     return [t[i : i + 3] for i in range(len(t) - 2)]
 
 
+def _copied(words_: list[str], p_grams: set[str]) -> bool:
+    g = _grams(" ".join(words_)) if p_grams and words_ else ()
+    return bool(g) and sum(x in p_grams for x in g) >= COPIED * len(g)
+
+
+def _cuts(text: str, n: int) -> list[str]:
+    """``n`` beginnings of a text, cut at places that depend on it only."""
+    return [text[: 1 + zlib.crc32(f"{k}{text}".encode("utf-8", "surrogatepass")) % (len(text) - 1)] for k in range(n)] if len(text) > 1 else []
+
+
 def fit(rows: list[tuple[str | None, str | None]]) -> Judge:
-    """Models from (prompt, answer) rows. Lines in one script label themselves; romanised Telugu is made from the Telugu lines."""
-    languages, ends = NgramBayes(), EndModel()
+    """Models from (prompt, answer) rows.
+
+    Lines in one script label themselves for the language model; romanised Telugu is made from the
+    Telugu lines. A verse line before another line is complete, and so is a sentence before another
+    sentence; the end models compare both with the same texts cut at random places.
+    """
+    languages, verse, prose = NgramBayes(), EndModel(), EndModel()
     for prompt, raw in rows:
         for text in (prompt, raw):
             for line in (text or "").split("\n"):
-                w = words(line)
-                script = main_script(line)
-                if len(w) < 3 or not script or {_script(c) for c in line} - {"", script}:
+                w, script = words(line), script_of(line)
+                if len(w) < 3 or not script:
                     continue
-                languages.add("en" if script == "latin" else script, " ".join(w))
+                languages.add("en" if script == "latin" else script, w)
                 if script == "te":
-                    languages.add("te-Latn", romanise(" ".join(w)))
-                # sentences inside a line show where prose ends and where it does not
-                for sentence in re.findall(r"[^.?!।]+[.?!।]+", line):
-                    if len(words(sentence)) >= 4:
-                        ends.add(sentence)
-    return Judge(languages, ends)
+                    languages.add("te-Latn", [romanise(x) for x in w])
+        lines = [x for x in (y.strip() for y in _FORMAT.sub("", raw or "").replace("\r", "\n").split("\n")) if x]
+        for line in lines[:-1]:
+            w, script = words(line), script_of(line)
+            if 3 <= len(w) <= 6 and script not in ("", "latin") and not _ANY_STOP.search(line):
+                # as it stands, and with any two words run together
+                for said in (line, *(" ".join([*w[:k], w[k] + w[k + 1], *w[k + 2 :]]) for k in range(len(w) - 1))):
+                    verse.add(line_tokens(words(said), script), True)
+                    for cut in _cuts(said, 3):
+                        verse.add(line_tokens(words(cut), script), False)
+        for line in lines:
+            # a sentence before another one is complete
+            for m in _SENTENCE.finditer(line):
+                if len(words(m.group())) >= 4:
+                    prose.add(prose_tokens(m.group(1)), True)
+                    for cut in _cuts(m.group(1), 6):
+                        prose.add(prose_tokens(cut), False)
+    return Judge(languages, verse, prose)
 
 
-def broken_answers(df: DataFrame, id_col: str, prompt_col: str, answer_col: str, fit_rows: int = FIT_ROWS) -> DataFrame:
+def broken_answers(df: DataFrame, id_col: str, prompt_col: str, answer_col: str, extract_col: str | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``id``, ``defect`` of every defective answer, the first fitting of :data:`DEFECTS`.
 
-    An answer that holds a complete couplet in the script asked for is defective only if text
-    behind it breaks off. Null and blank answers are empty; a null prompt asks for Telugu. The models
-    see ``fit_rows`` rows chosen by hash; the decision is made for all rows in one narrow pass. An
-    empty table gives no rows.
+    An answer that holds a complete couplet in the language asked for is defective only if text
+    behind it breaks off. A null or blank answer is judged by its extract, if there is one, and is
+    empty otherwise; a null prompt asks for Telugu. The models see ``fit_rows`` rows chosen by hash;
+    the decision is made for all rows in one narrow pass. An empty table gives no rows.
     """
     spark = df.sparkSession
-    sample = df.select(id_col, prompt_col, answer_col).filter(F.col(prompt_col).isNotNull()).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(fit_rows)
-    judge = fit([(r[1], r[2]) for r in sample.collect()])
-    shared = spark.sparkContext.broadcast(judge)
+    answer = F.col(answer_col)
+    if extract_col:
+        answer = F.when(F.trim(F.coalesce(answer, F.lit(""))) == "", F.col(extract_col)).otherwise(answer)
+    rows = df.select(F.col(id_col).alias("id"), F.col(prompt_col).alias("prompt"), answer.alias("answer"))
+    sample = rows.filter(F.col("prompt").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    shared = spark.sparkContext.broadcast(fit([(r[1], r[2]) for r in sample.collect()]))
 
     @F.pandas_udf(T.StringType())
     def decide(prompt: pd.Series, raw: pd.Series) -> pd.Series:
         j = shared.value
         return pd.Series([j.defect(p, r) for p, r in zip(prompt, raw)], dtype=object)
 
-    out = df.select(F.col(id_col).alias("id"), decide(F.col(prompt_col), F.col(answer_col)).alias("defect"))
-    return out.filter(F.col("defect").isNotNull())
+    return rows.select("id", decide("prompt", "answer").alias("defect")).filter(F.col("defect").isNotNull())

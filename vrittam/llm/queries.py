@@ -33,7 +33,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = defects.broken_answers(table(spark, sf_dir, "benchmark_results"), "result_id", "prompt", "raw_output")
+    out = defects.broken_answers(table(spark, sf_dir, "benchmark_results"), "result_id", "prompt", "raw_output", "extracted_poem")
     return out.withColumnRenamed("id", "result_id")
 
 
