@@ -25,7 +25,25 @@ def test_folding():
     assert tight_skeleton("pа́") == tight_skeleton("pá")  # Cyrillic a with accent
     assert letters("Ab, c!") == "abc" == letters(" a\nB-C")
     assert letters("త౦ಲ") == letters("తంల")
-    assert folded_words("ఒక‍,రెండు") == ["ఒక", "రెండు"]
+    assert folded_words("ఒక‍,రెండు") == [letters("ఒక"), letters("రెండు")]
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "same"),
+    [
+        *[(a, b, True) for a, b in ("αa", "ιi", "νv", "ρp", "Il", "O0", "ѵv", "ᎠD", "օo", "೧౧", "೨౨", "ಅఅ", "౦ం", "೦ం", "ａa")],
+        ("é", "e\u0301", True),
+        ("ﬁ", "fi", True),
+        ("a\u200db", "ab", True),
+        ("a\u00a0b", "a b", True),
+        *[(a, b, False) for a, b in ("ab", "మవ", "–-", "\"'", "Aa")],
+        ("x²", "x2", False),
+        ("m", "rn", False),
+        ("మ", "వు", False),
+    ],
+)
+def test_skeleton_of_the_public_table(a, b, same):
+    assert (skeleton(a) == skeleton(b)) is same
 
 
 def test_copies(spark):

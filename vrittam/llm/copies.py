@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textfold import letters_key
+from ..operators.hotkeys import HOT_ROWS, SALTS, apart, hot_keys
 from ..scratch import materialise
-from ..operators.hotkeys import HOT_ROWS, SALTS
+from .textfold import letters_key
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``key``: the digest of the folded letters. Null and blank texts and texts without letters are left out."""
-    return df.select(F.col(id_col).alias("id"), letters_key(F.col(text_col)).alias("key")).filter("key is not null")
+    """``id``, ``key``: the digest of the folded letters, written once. Null and blank texts and texts without letters are left out."""
+    keys = df.select(F.col(id_col).alias("id"), letters_key(F.col(text_col)).alias("key"))
+    return materialise(keys, "letters").filter("key is not null")
+
 
+def _split(keys: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary and of hot keys, the latter found by exact counts: partial counts move, not rows."""
+    counts = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    return apart(keys, ["key"], hot_keys(counts, ["key"], hot_rows=hot_rows))
 
-def _split(keys: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary and of hot keys, the latter found by exact counts (partial counts are merged, not rows)."""
-    hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows).select("key")
-    # the hot keys are at most rows / hot_rows; the join below is a broadcast while that is small
-    # and a shuffle of the key otherwise, by the session's size limit
-    flagged = keys.join(hot.withColumn("hot", F.lit(True)), "key", "left")
-    flagged = materialise(flagged.withColumn("hot", F.coalesce("hot", F.lit(False))), "copies")
-    return flagged.filter("not hot").drop("hot"), flagged.filter("hot").drop("hot")
+
+def _two_levels(hot: DataFrame, salts: int) -> DataFrame:
+    """``key``, ``first_id``, ``copies`` of hot keys, by key and salt and then by key."""
+    salted = hot.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(F.min("id").alias("i"), F.count(F.lit(1)).alias("n"))
+    return salted.groupBy("key").agg(F.min("i").alias("first_id"), F.sum("n").alias("copies"))
 
 
 def copy_groups(df: DataFrame, id_col: str, text_col: str, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
@@ -35,9 +38,8 @@ def copy_groups(df: DataFrame, id_col: str, text_col: str, hot_rows: int = HOT_R
     """
     cold, hot = _split(keyed(df, id_col, text_col), hot_rows)
     one = cold.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    salted = hot.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(F.min("id").alias("i"), F.count(F.lit(1)).alias("n"))
-    two = salted.groupBy("key").agg(F.min("i").alias("first_id"), F.sum("n").alias("copies"))
-    return one.unionByName(two).select("first_id", "copies")
+    out = one if hot is None else one.unionByName(_two_levels(hot, salts))
+    return out.select("first_id", "copies")
 
 
 def copies_found(df: DataFrame, id_col: str, text_col: str, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
@@ -45,7 +47,7 @@ def copies_found(df: DataFrame, id_col: str, text_col: str, hot_rows: int = HOT_
 
     The identifiers of an ordinary group (fewer than ``hot_rows``) are gathered with its minimum, so
     one shuffle does. Rows of hot groups stay where they are and get their representative by a
-    join with the few two-level results.
+    broadcast of the two-level results, one row for each of the bounded number of hot keys.
     """
     cold, hot = _split(keyed(df, id_col, text_col), hot_rows)
     one = (
@@ -54,7 +56,6 @@ def copies_found(df: DataFrame, id_col: str, text_col: str, hot_rows: int = HOT_
         .filter(F.size("ids") > 1)
         .select("first_id", F.explode("ids").alias("id"))
     )
-    salted = hot.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(F.min("id").alias("i"))
-    reps = salted.groupBy("key").agg(F.min("i").alias("first_id"))
-    two = hot.join(reps, "key").select("first_id", "id")
-    return one.unionByName(two).filter("id > first_id")
+    if hot is not None:
+        one = one.unionByName(hot.join(F.broadcast(_two_levels(hot, salts)), "key").select("first_id", "id"))
+    return one.filter("id > first_id")

@@ -21,12 +21,14 @@ from .superminhash import band_keys, grams, signatures
 from .textfold import folded_words
 from ..scratch import materialise
 from .components import connected_components
-from ..operators.hotkeys import HOT_ROWS, join_hot
+from ..operators.hotkeys import HOT_ROWS, hot_keys, join_hot, small
 
 #: Characters of a gram; bands; rows of the first and of the second field in a band. A pair at the
 #: limit (three words of eight and one of seven replaced) has word similarities of about 0.45 and
 #: 0.75, so a band holds it together with probability 0.15 and all bands miss it with 0.001.
 GRAM, BANDS, ROWS_A, ROWS_B = 4, 40, 2, 1
+#: Classes of one first field from which they are kept from meeting each other; rows from which a band is spread; buckets of the first count.
+POPULAR, HOT_BAND, BUCKETS = 200, 2000, 1 << 18
 #: Largest shares of changed words in the two fields.
 CHANGED_A, CHANGED_B = 3 / 8, 1 / 7
 
@@ -54,9 +56,9 @@ def folded(df: DataFrame, id_col: str, a_col: str, b_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("i"), F.col(a_col).cast("string").alias("a"), F.col(b_col).cast("string").alias("b")).mapInArrow(run, schema)
 
 
-def banded(texts: DataFrame) -> DataFrame:
-    """``id``, ``key`` of every band of texts ``id``, ``a``, ``b``."""
-    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("key", T.LongType())])
+def banded(texts: DataFrame, *kept: str) -> DataFrame:
+    """``id``, ``key`` and the columns ``kept`` of every band of texts ``id``, ``a``, ``b``."""
+    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("key", T.LongType()), *[texts.schema[c] for c in kept]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -68,9 +70,9 @@ def banded(texts: DataFrame) -> DataFrame:
                 for j in range(BANDS):
                     tag = np.full((n, 1), j, dtype=np.float32)
                     key = band_keys([tag, sa[:, j * ROWS_A : (j + 1) * ROWS_A], sb[:, j * ROWS_B : (j + 1) * ROWS_B]])
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key.view(np.int64))], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key.view(np.int64)), *batch.columns[3:]], names=schema.names)
 
-    return texts.select("id", "a", "b").mapInArrow(run, schema)
+    return texts.select("id", "a", "b", *kept).mapInArrow(run, schema)
 
 
 def changed_words(x: list[str], y: list[str]) -> int:
@@ -133,21 +135,59 @@ def _both_near(a1: pd.Series, a2: pd.Series, b1: pd.Series, b2: pd.Series) -> pd
 
 
 class NearDuplicates:
-    """Stages of the operator over one table; each is made once."""
+    """Stages of the operator over one table; each is made once.
+
+    The result is the classes of exact copies with their sizes, their members, and links between
+    classes; only :meth:`pairs` lists every two records.
+    """
 
     def __init__(self, df: DataFrame, id_col: str, a_col: str, b_col: str):
         self.rows = materialise(folded(df, id_col, a_col, b_col), "neardup")
         reps = self.rows.groupBy("class_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
         self.classes = materialise(reps, "classes")
         #: class members; the join with the classes is by key, its hot keys are spread
-        hot = self.classes.filter(F.col("n") >= HOT_ROWS).select("class_key")
+        hot = hot_keys(self.classes, ["class_key"], hot_rows=HOT_ROWS)
         self.members = join_hot(self.rows.select("class_key", "letters_key", "id"), self.classes.select("class_key", "rep"), ["class_key"], hot)
         self.reps = self.rows.join(self.classes.select(F.col("rep").alias("id")), "id", "left_semi")
 
     def candidates(self) -> DataFrame:
-        """Distinct pairs of class representatives that share a band."""
-        keys = banded(self.reps)
-        return keys.toDF("x", "key").join(keys.toDF("y", "key"), "key").filter("x < y").select("x", "y").distinct()
+        """Distinct pairs of class representatives that share a band.
+
+        Two records of one first field are no pair. Those of a first field that many classes have
+        would still meet each other in their bands, so they meet the others and, by groups
+        of equal first fields, one another.
+        """
+        popular = self.reps.groupBy("letters_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= POPULAR)
+        popular = materialise(popular.select("letters_key"), "popular")
+        if popular.isEmpty():
+            return self._meet(banded(self.reps)).filter("x < y").distinct()
+        cold = banded(self.reps.join(small(popular), "letters_key", "left_anti"))
+        many = materialise(banded(self.reps.join(small(popular), "letters_key", "left_semi"), "letters_key"), "many")
+        groups = many.select("key", "letters_key").distinct()
+        two = groups.toDF("key", "lx").join(groups.toDF("key", "ly"), "key").filter("lx < ly")
+        among = two.join(many.toDF("x", "key", "lx"), ["key", "lx"]).join(many.toDF("y", "key", "ly"), ["key", "ly"])
+        out = self._meet(cold).filter("x < y").union(self._meet(cold, many)).union(among.select("x", "y"))
+        return out.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+    def _meet(self, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+        """``x``, ``y`` of equal band key; keys of many rows are spread."""
+        hot = self._hot_bands(left)
+        right = left if right is None else right
+        a, b = left.select(F.col("id").alias("x"), "key"), right.select(F.col("id").alias("y"), "key")
+        return join_hot(a, b, ["key"], hot).select("x", "y")
+
+    def _hot_bands(self, keys: DataFrame) -> DataFrame | None:
+        """Band keys of :data:`HOT_BAND` or more rows.
+
+        Exact in two passes: keys are counted by :data:`BUCKETS` buckets, which merge on the map
+        side, and only keys of buckets that reach the number are counted one by one.
+        """
+        bucket = F.pmod("key", F.lit(BUCKETS))
+        full = materialise(keys.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_BAND).select("bucket"), "buckets")
+        if full.isEmpty():
+            return None
+        counts = keys.withColumn("bucket", bucket).join(F.broadcast(full), "bucket", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        return hot_keys(materialise(counts.filter(F.col("n") >= HOT_BAND), "bands"), ["key"], hot_rows=HOT_BAND)
 
     def links(self) -> DataFrame:
         """Verified pairs ``x`` < ``y`` of class representatives."""
@@ -158,16 +198,21 @@ class NearDuplicates:
     def groups(self) -> DataFrame:
         """``id``, ``group_id`` (smallest identifier) of the records of groups with at least two records."""
         comp = connected_components(self.links().toDF("src", "dst"))
-        out = self.members.join(comp.toDF("rep", "group"), "rep", "left").select("id", F.coalesce("group", "rep").alias("group_id"))
-        sizes = out.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_records"))
-        return out.join(sizes.filter("n_records > 1"), "group_id").select("id", "group_id", "n_records")
+        of = self.classes.select("rep", "n").join(comp.toDF("rep", "group"), "rep", "left").select("rep", "n", F.coalesce("group", "rep").alias("group_id"))
+        of = materialise(of, "groups")
+        sizes = of.groupBy("group_id").agg(F.sum("n").alias("n_records")).filter("n_records > 1")
+        of = of.join(sizes, "group_id").select("rep", "group_id", "n_records")
+        return join_hot(self.members.select("rep", "id"), of, ["rep"], self._hot_classes()).select("id", "group_id", "n_records")
+
+    def _hot_classes(self) -> DataFrame | None:
+        return hot_keys(self.classes.select("rep", "n"), ["rep"], hot_rows=HOT_ROWS)
 
     def pairs(self) -> DataFrame:
         """``id_a`` < ``id_b``: every two records of linked classes whose first fields are not copies of each other."""
         links = self.links()
         linked = links.select(F.col("x").alias("rep")).union(links.select(F.col("y").alias("rep"))).distinct()
-        m = materialise(self.members.join(linked, "rep", "left_semi").select("rep", "id", "letters_key"), "linked")
-        hot = m.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_ROWS).select("rep")
-        left = join_hot(m.toDF("x", "id_x", "kx"), links, ["x"], hot.toDF("x"))
-        both = join_hot(left, m.toDF("y", "id_y", "ky"), ["y"], hot.toDF("y"))
+        hot = self._hot_classes()
+        m = materialise(join_hot(self.members, linked, ["rep"], hot).select("rep", "id", "letters_key"), "linked")
+        left = join_hot(m.toDF("x", "id_x", "kx"), links, ["x"], hot)
+        both = join_hot(left, m.toDF("y", "id_y", "ky"), ["y"], hot)
         return both.filter("kx <> ky").select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"))

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import materialise
+from ..scratch import materialise, width
 
 CAPACITY = 4096
 #: Containers that one block fills, about, and items it has, about, at most. A block is one task's work.
 WINDOWS, ITEMS = 48, 4000
+MOST_TASKS = 20_000
 
 
 def differencing(sizes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +100,11 @@ def fill_block(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return np.unique(window, return_inverse=True)[1]
 
 
+def tasks(blocks: int, least: int) -> int:
+    """Tasks that pack ``blocks`` blocks: about 16 each, ``least`` or more, a bounded number."""
+    return max(1, min(max(blocks // 16, least), blocks, MOST_TASKS))
+
+
 def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY, windows: int = WINDOWS) -> DataFrame:
     """``id``, ``piece``, ``start``, ``size``, ``container``: every item in a container of ``capacity``.
 
@@ -128,7 +134,9 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
         pdf["container"] = [f"{int(key[0]):06d}-{k}" for k in slot]
         return pdf[["id", "piece", "start", "size", "container"]]
 
-    return whole.unionByName(rest.groupBy("block").applyInPandas(fill, schema))
+    # a fixed number of partitions: small shuffles are not merged into one task, whose work is not in its bytes
+    spread = rest.repartition(tasks(blocks, width(items.sparkSession)), "block")
+    return whole.unionByName(spread.groupBy("block").applyInPandas(fill, schema))
 
 
 def pack_documents(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY) -> DataFrame:

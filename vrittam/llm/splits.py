@@ -17,14 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .couplets import quoted_couplets
-from ..scratch import materialise
+from .packing import tasks
+from ..scratch import materialise, width
 from .components import connected_components
-from ..operators.hotkeys import HOT_ROWS, join_hot
+from ..operators.hotkeys import hot_keys, join_hot
 
 SPLITS = ("train", "val", "test")
 SHARES = (0.8, 0.1, 0.1)
 #: Components of a block, chains per block, steps per component, and records from which a component is placed ahead of the blocks.
 BLOCK, CHAINS, STEPS, LARGE = 4000, 4, 6, 20_000
+#: Components placed ahead, at most: beyond so many the size from which one is placed ahead rises with the table.
+MOST_LARGE = 10_000
 
 
 def _digests(extract: Callable[[str | None], list[str]]):
@@ -47,7 +50,7 @@ def components_of(df: DataFrame, id_col: str, text_col: str, extract: Callable[[
     rows = materialise(df.select(F.col(id_col).alias("id"), _digests(extract)(F.col(text_col)).alias("keys")), "quotes")
     quotes = rows.select("id", F.explode("keys").alias("key"))
     firsts = materialise(quotes.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-    hot = firsts.filter(F.col("n") >= HOT_ROWS).select("key")
+    hot = hot_keys(firsts, ["key"])
     seen = materialise(join_hot(quotes, firsts.select("key", "first"), ["key"], hot).select("id", "first"), "seen")
     # records with several quotes link the first records of those
     several = rows.filter(F.size("keys") > 1).select("id")
@@ -124,7 +127,7 @@ def grouped_splits(df: DataFrame, id_col: str, text_col: str, label_col: str, sh
     """``id``, ``component``, ``split``: splits of the given shares in which no component is divided.
 
     Labels (null counts as one of its own) keep about the same shares in each split. Components of
-    ``large`` or more records, at most total / ``large`` of them, are placed first and the others
+    ``large`` or more records, at most :data:`MOST_LARGE` of them, are placed first and the others
     fill up what they leave. The result depends on the data and ``seed`` only. An empty table
     gives no rows; a single component lands whole in one split.
     """
@@ -133,20 +136,21 @@ def grouped_splits(df: DataFrame, id_col: str, text_col: str, label_col: str, sh
     counts = comps.join(label, "id").groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
     stats = counts.groupBy("component").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("labels"))
     stats = materialise(stats, "sizes")
-    total, big_rows = stats.agg(F.sum("size"), F.sum(F.when(F.col("size") >= large, F.col("size")))).first()
-    total, rest = int(total or 0), int((total or 0) - (big_rows or 0))
-    big = [(r[0], int(r[1])) for r in stats.filter(F.col("size") >= large).select("component", "size").collect()]
+    total, most = stats.agg(F.sum("size"), F.max("size")).first()
+    total = int(total or 0)
+    large = max(large, total // MOST_LARGE)
+    big = [(r[0], int(r[1])) for r in stats.filter(F.col("size") >= large).select("component", "size").collect()] if (most or 0) >= large else []
     fixed, left = _place_large(big, total, shares)
     left = [max(x, 0.0) for x in left]
     share = np.array([x / sum(left) for x in left]) if sum(left) else np.array(shares)
     n_small = max(stats.count() - len(big), 0)
     blocks = max(1, -(-n_small // block))
+    # the hashed start: a uniform number of each component, and its block
+    u = (F.shiftrightunsigned(F.xxhash64("component", F.lit(seed + 1)), 11) / F.lit(2.0**53)).alias("u")
     small = stats.filter(F.col("size") < large).withColumn("block", F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(blocks)))
-    chains = small.withColumn("chain", F.explode(F.array(*[F.lit(c) for c in range(CHAINS)])))
     kind = stats.schema["component"].dataType
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        b, chain = int(key[0]), int(key[1])
         pdf = pdf.sort_values("component", kind="stable").reset_index(drop=True)
         sizes = pdf["size"].to_numpy(dtype=float)
         maps = [dict(m) for m in pdf["labels"]]
@@ -155,18 +159,17 @@ def grouped_splits(df: DataFrame, id_col: str, text_col: str, label_col: str, sh
         for i, m in enumerate(maps):
             for v, n in m.items():
                 labels[i, kinds[v]] = n
-        rng = np.random.default_rng([seed, b])
-        start = rng.choice(len(share), size=len(pdf), p=share)  # the hashed assignment
-        got, value = _anneal(sizes, labels, share * sizes.sum(), start, STEPS * len(pdf) + 200, seed * 1000 + chain)
-        return pd.DataFrame({"block": b, "chain": chain, "cost": value, "component": pdf["component"], "k": got.astype("int32")})
-
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("chain", T.IntegerType()), T.StructField("cost", T.DoubleType()), T.StructField("component", kind), T.StructField("k", T.IntegerType())])
-    tried = materialise(chains.groupBy("block", "chain").applyInPandas(search, schema), "chains")
-    best = tried.groupBy("block").agg(F.min(F.struct("cost", "chain")).alias("b")).select("block", F.col("b.chain").alias("chain"))
-    chosen = tried.join(best, ["block", "chain"]).select("component", "k")
+        start = np.minimum(np.searchsorted(np.cumsum(share), pdf["u"].to_numpy(), side="right"), len(share) - 1)
+        tried = [_anneal(sizes, labels, share * sizes.sum(), start, STEPS * len(pdf) + 200, seed * 1000 + chain) for chain in range(CHAINS)]
+        got, _ = min(tried, key=lambda x: x[1])
+        return pd.DataFrame({"component": pdf["component"], "k": got.astype("int32")})
+
+    schema = T.StructType([T.StructField("component", kind), T.StructField("k", T.IntegerType())])
+    dealt = small.select("component", "size", "labels", "block", u).repartition(tasks(blocks, width(df.sparkSession)), "block")
+    chosen = materialise(dealt.groupBy("block").applyInPandas(search, schema), "chosen")
     if fixed:
         spark = df.sparkSession
         chosen = chosen.unionByName(spark.createDataFrame(list(fixed.items()), T.StructType([T.StructField("component", kind), T.StructField("k", T.IntegerType())])))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("k") + 1)
-    hot = stats.filter(F.col("size") >= HOT_ROWS).select("component")
+    hot = hot_keys(stats, ["component"], "size")
     return join_hot(comps, chosen, ["component"], hot).select("id", "component", name.alias("split"))
