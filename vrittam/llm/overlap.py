@@ -1,11 +1,14 @@
 """Records of evaluation splits that occur again, exactly or almost, in the training split.
 
-Two texts that differ in at most a fifth of their words share one of their rarest words: of ``n``
-words ordered by a global order the first ``n / 5 + 1`` are kept, and the first common word of a
-pair is among those of both, whatever the order of the words in the texts. Pairs that share such a
-word of the output are compared; a word that many records keep is combined with the kept words of
-the instruction, of which a pair shares one as well. So every pair meets, without a cap. Words
-run together count as their parts and as the whole. Equal records are one class from the start.
+The words of every text stand in one global order, rarest first, so that their order in the text
+does not count, and the suffixes of these sequences are sorted and compared across the splits. Two texts
+that differ in at most a fifth of their words share one of their rarest words: of ``n`` words
+the first ``n / 5 + 1`` are kept, and the first common word of a pair is among those of both. So
+only the suffixes that begin at a kept word are needed, and suffixes with a common prefix of one word or
+more meet. A word that very many records keep is combined with the kept words of the instruction,
+of which a pair shares one as well. So every pair meets, without a cap; kept words of the
+instruction and numbers of words then rule out most, by bounds that are exact. Words run together
+count as their parts and as the whole. Equal records are one class from the start.
 """
 
 from __future__ import annotations
@@ -16,28 +19,29 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .superminhash import mix, signatures
-from .textfold import folded_words
-from ..scratch import materialise
-from ..operators.hotkeys import HOT_ROWS, join_hot, small
+from ..operators.hotkeys import HOT_ROWS, hot_keys, join_hot, small
+from ..scratch import drop, materialise
 from .neardup import near
+from .superminhash import mix
+from .textfold import folded_words
 
 _U = np.uint64
 #: Largest share of changed words in either field: one in PART.
 CHANGED, PART = 1 / 5, 5
 #: Records that keep one word of the output, from which it is combined with the words of the instruction.
 BOILERPLATE = 256
+#: Kept words that a pair must share at least, of as many more that are compared.
+SHARED = 4
+#: Kept words up to which those of both splits are broadcast: some megabytes.
+KEYS = 1_000_000
 #: Bits of the table of word counts that orders the words. Words of one place only cost time.
 PLACE_BITS = 22
 #: Letters from which words run together are not lengthened, as in :func:`near`.
 JOINED = 400
-#: One-bit minhash sketch of the words of each field. A field at the limit has a word similarity of 2/3, so it agrees
-#: in 53 bits of 64 with a deviation of 3; pairs that differ in more than MOST_BITS of either field are not verified.
-SKETCH, MOST_BITS = 64, 24
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -109,14 +113,6 @@ def _place(word: np.ndarray) -> np.ndarray:
     return (word >> _U(64 - PLACE_BITS)).astype(np.int64)
 
 
-def sketches(texts: list[str]) -> np.ndarray:
-    """A 64-bit word per text: the lowest bits of the SuperMinHash signature of its words, the repeated ones numbered."""
-    h, _, of = _flat(texts)
-    sig = signatures(mix(h ^ mix(_nth(of, h))), of, len(texts), SKETCH, seed=3)
-    bit = (np.modf(sig)[0] * (1 << 12)).astype(np.int64) & 1
-    return np.packbits(bit.astype(np.uint8), axis=1).view(">i8").astype(np.int64)[:, 0]
-
-
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -125,10 +121,10 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 
 def _texts(df: DataFrame, id_col: str, a_col: str, b_col: str, split_col: str, train: str) -> DataFrame:
     """``id``, ``train``, ``class_key``, folded words ``a`` and ``b``; rows without words in either field or without a split are left out."""
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("train", T.BooleanType()), T.StructField("class_key", T.BinaryType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())])
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("train", T.BooleanType()), T.StructField("class_key", T.BinaryType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 2000):
+        for batch in batches:
             rows = []
             for i, t, a, b in zip(*(c.to_pylist() for c in batch.columns)):
                 wa, wb = folded_words(a or ""), folded_words(b or "")
@@ -136,9 +132,7 @@ def _texts(df: DataFrame, id_col: str, a_col: str, b_col: str, split_col: str, t
                     key = hashlib.blake2b("\x00".join(sorted(wa) + [""] + sorted(wb)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
                     rows.append((i, t, key, " ".join(wa), " ".join(wb)))
             if rows:
-                cols = list(zip(*rows))
-                arrays = [pa.array(c, type=f) for c, f in zip(cols, (batch.column(0).type, pa.bool_(), pa.binary(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(sketches(cols[3])), pa.array(sketches(cols[4]))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f) for c, f in zip(zip(*rows), (batch.column(0).type, pa.bool_(), pa.binary(), pa.string(), pa.string()))], names=schema.names)
 
     part = df.filter(F.col(split_col).isNotNull()).select(F.col(id_col).alias("i"), (F.col(split_col) == train).alias("t"), F.col(a_col).cast("string").alias("a"), F.col(b_col).cast("string").alias("b"))
     return part.mapInArrow(run, schema)
@@ -182,11 +176,17 @@ def _vocabulary(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                     yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), k, dtype=np.int16))], names=["w", "k"])
 
     wholes = rows.select("a", "b").mapInArrow(joined, "w bigint, k smallint").groupBy("w").agg(F.max("k").alias("k")).join(vocab.select("w"), "w", "left_semi")
-    return rarity, _counted(wholes.groupBy(place).agg(F.max("k").alias("n")), 1 << PLACE_BITS, np.int16), lengths
+    parts = _counted(wholes.groupBy(place).agg(F.max("k").alias("n")), 1 << PLACE_BITS, np.int16)
+    drop(vocab)
+    return rarity, parts, lengths
 
 
-def kept_words(texts: list[str], field: int, rarity: np.ndarray, parts: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
-    """Hashes of the rarest words of each text: as many as can be changed, and one.
+def kept_words(texts: list[str], field: int, rarity: np.ndarray, parts: np.ndarray, lengths: np.ndarray) -> tuple[pa.ListArray, dict[str, np.ndarray]]:
+    """Hashes of the rarest words of each text, as many as can be changed, and :data:`SHARED`; and numbers for each text.
+
+    ``k``: how many are kept: as many as can be changed, and one. ``n``, ``m``: words as written, and with those
+    run together parted. ``s``: how many of the hashes it shares with any text near it, at least, even
+    if only their upper halves are compared and some of the text are equal there.
 
     A repeated word counts as several, numbered. Neighbours that stand run together somewhere are a
     word besides; then the text may lack that word and all its parts. A word that stands in parts
@@ -195,6 +195,7 @@ def kept_words(texts: list[str], field: int, rarity: np.ndarray, parts: np.ndarr
     h, size, of = _flat(texts)
     word = _word_id(h, field)
     n = np.bincount(of, minlength=len(texts)) + np.bincount(of, weights=np.maximum(parts[_place(word)].astype(np.int64) - 1, 0), minlength=len(texts)).astype(np.int64)
+    said, most = np.bincount(of, minlength=len(texts)), n
     keep = n // PART + 1
     words, ofs = [word], [of]
     for t, k, whole in _joins(h, size, of, lengths):
@@ -209,49 +210,121 @@ def kept_words(texts: list[str], field: int, rarity: np.ndarray, parts: np.ndarr
     of, element = of[order], element[order]
     size = np.bincount(of, minlength=len(texts))
     rank = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-    element = element[rank < keep[of]]
-    offsets = np.concatenate(([0], np.cumsum(np.minimum(size, keep))))
-    return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(element.view(np.int64)))
+    upto = np.minimum(size, keep - 1 + SHARED)
+    element = element[rank < upto[of]]
+    offsets = np.concatenate(([0], np.cumsum(upto)))
+    left = of[rank < upto[of]]
+    again = np.bincount(left, minlength=len(texts)) - np.bincount(np.unique(left.astype(_U) << _U(32) | element >> _U(32)).astype(np.int64) >> 32, minlength=len(texts))
+    numbers = {"k": np.minimum(keep, size), "n": said, "m": most, "s": np.maximum(np.minimum(size - keep + 1, SHARED) - again, 0)}
+    return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(element.view(np.int64))), numbers
+
+
+def _firsts(lists: pa.ListArray, n: np.ndarray) -> pa.ListArray:
+    """The first ``n`` elements of each list."""
+    start = lists.offsets.to_numpy()[:-1]
+    ends = np.cumsum(n)
+    at = np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n, n) + np.repeat(start, n)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), type=pa.int32()), lists.values.take(pa.array(at)))
+
+
+def _may_be_near(field: str) -> Column:
+    """Numbers of words and rarest words of a field let at most a fifth be changed, whatever words are run together."""
+    e, t = (lambda c: F.col(f"e_{c}_{field}")), (lambda c: F.col(f"t_{c}_{field}"))
+    limit = F.greatest(e("n"), t("n")) * F.lit(CHANGED) + F.lit(1e-9)
+    shared = F.size(F.array_intersect(F.col(f"e_x{field}"), F.col(f"t_x{field}"))) >= F.least(e("s"), t("s"))
+    return (e("n") - t("m") <= limit) & (t("n") - e("m") <= limit) & shared
 
 
 def _met(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Distinct pairs ``e`` (evaluation side), ``t`` (training side) of classes that share kept words and whose sketches are near."""
+    """Distinct pairs ``e`` (evaluation side), ``t`` (training side) of classes that share kept words and may be near."""
     tables = rows.sparkSession.sparkContext.broadcast(_vocabulary(rows))
-    kind = reps.schema["class"].dataType.simpleString()
+    told = [f"{c}_{field}" for field in "ab" for c in "knms"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, 2000):
-            kept = [kept_words(batch.column(2 + field).to_pylist(), field, *tables.value) for field in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), batch.column(5), *kept], names=["class", "sides", "s1", "s2", "ka", "kb"])
+            (xa, na), (xb, nb) = (kept_words(batch.column(2 + field).to_pylist(), field, *tables.value) for field in (0, 1))
+            numbers = [pa.array(x[c], type=pa.int32()) for x in (na, nb) for c in "knms"]
+            short = [pa.ListArray.from_arrays(x.offsets, pa.array((x.values.to_numpy() >> 32).astype(np.int32))) for x in (xa, xb)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, *short, _firsts(xb, nb["k"])], names=["class", "sides", *told, "xa", "xb", "kb"])
 
-    kept = reps.select("class", "sides", "a", "b", "s1", "s2").mapInArrow(run, f"class {kind}, sides tinyint, s1 bigint, s2 bigint, ka array<bigint>, kb array<bigint>")
+    kind = reps.schema["class"].dataType.simpleString()
+    kept = reps.select("class", "sides", "a", "b").mapInArrow(run, f"class {kind}, sides tinyint, {', '.join(f'{c} int' for c in told)}, xa array<int>, xb array<int>, kb array<bigint>")
     kept = materialise(kept, "kept")
     sides = [F.sum(F.col("sides").bitwiseAND(F.lit(s)).cast("boolean").cast("long")) for s in (1, 2)]
-    counts = kept.select("sides", F.explode("kb").alias("key")).groupBy("key").agg(sides[0].alias("nt"), sides[1].alias("ne"))
+    firsts = F.explode("kb").alias("key")
+    counts = kept.select("sides", firsts).groupBy("key").agg(sides[0].alias("nt"), sides[1].alias("ne"))
     # only words with both splits
     counts = materialise(counts.filter("nt > 0 and ne > 0").select("key", (F.col("nt") + F.col("ne") >= BOILERPLATE).alias("wide")), "counts")
-    wide = small(materialise(counts.filter("wide").select("key"), "wide"))
-    one = kept.select("class", "sides", "s1", "s2", "ka", F.explode("kb").alias("key"))
-    narrow = one.drop("ka").join(counts.filter("not wide").select("key"), "key", "left_semi")
-    both = one.join(wide, "key", "left_semi").select("key", "class", "sides", "s1", "s2", F.explode("ka").alias("k2"))
-    both = both.select(F.xxhash64("key", "k2").alias("key"), "class", "sides", "s1", "s2")
-    near_enough = F.lit(True)
-    for x, y in (("s1", "t1"), ("s2", "t2")):
-        near_enough = near_enough & (F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MOST_BITS)
+    suffixes = kept.select(*[c for c in kept.columns if c not in ("kb", "k_b")], firsts)
+    narrow = suffixes.join(small(counts.filter("not wide").select("key"), KEYS), "key", "left_semi")
+    both = suffixes.join(small(counts.filter("wide").select("key"), KEYS), "key", "left_semi")
+    both = both.withColumn("k2", F.explode(F.slice("xa", F.lit(1), F.col("k_a")))).withColumn("key", F.xxhash64("key", "k2")).drop("k2")
 
     def meet(keys: DataFrame, hot: DataFrame | None) -> DataFrame:
-        ev = keys.filter(F.col("sides").bitwiseAND(F.lit(2)) > 0).selectExpr("key", "class as e", "s1", "s2")
-        tr = keys.filter(F.col("sides").bitwiseAND(F.lit(1)) > 0).selectExpr("key", "class as t", "s1 as t1", "s2 as t2")
-        return join_hot(ev, tr, ["key"], hot).filter(near_enough & (F.col("e") != F.col("t"))).select("e", "t")
+        def side(bit: int, name: str) -> DataFrame:
+            cols = [F.col(c).alias(f"{name}_{c}") for c in (*told, "xa", "xb") if c[0] != "k"]
+            return keys.filter(F.col("sides").bitwiseAND(F.lit(bit)) > 0).select("key", F.col("class").alias(name), *cols)
+
+        pairs = join_hot(side(2, "e"), side(1, "t"), ["key"], hot).filter(F.col("e") != F.col("t"))
+        return pairs.filter(_may_be_near("a") & _may_be_near("b")).select("e", "t")
 
     # exact counts: a hot key's evaluation rows get one salt each, its training rows all of them
-    hot = materialise(both.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_ROWS).select("key"), "hot")
-    return meet(narrow, None).unionByName(meet(both, hot)).distinct()
+    n_both = materialise(both.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_ROWS), "hot")
+    out = materialise(meet(narrow, None).unionByName(meet(both, hot_keys(n_both, ["key"], hot_rows=HOT_ROWS))).distinct(), "met")
+    drop(kept, counts, n_both)
+    return out
 
 
 @F.pandas_udf(T.BooleanType())
 def _both_near(a1: pd.Series, a2: pd.Series, b1: pd.Series, b2: pd.Series) -> pd.Series:
-    return pd.Series([near(r, s, CHANGED) and near(p, q, CHANGED) for p, q, r, s in zip(a1, a2, b1, b2)], dtype=bool)
+    return pd.Series([near(p, q, CHANGED) and near(r, s, CHANGED) for p, q, r, s in zip(a1, a2, b1, b2)], dtype=bool)
+
+
+class Overlaps:
+    """Classes of equal records, their members, and links between classes across the splits; only :meth:`pairs` lists every two records."""
+
+    def __init__(self, df: DataFrame, id_col: str, a_col: str, b_col: str, split_col: str, train: str = "train"):
+        self.rows = rows = materialise(_texts(df, id_col, a_col, b_col, split_col, train), "overlap")
+        number = lambda c: F.sum(c.cast("long"))
+        counted = rows.groupBy("class_key").agg(F.min("id").alias("class"), number(F.col("train")).alias("n_train"), number(~F.col("train")).alias("n_eval"))
+        #: ``class`` (smallest identifier), ``n_train``, ``n_eval``
+        self.classes = materialise(counted.withColumn("n", F.col("n_train") + F.col("n_eval")), "classes")
+        hot = hot_keys(self.classes, ["class_key"], hot_rows=HOT_ROWS)
+        #: ``class``, ``id``, ``train``
+        self.members = materialise(join_hot(rows.select("class_key", "id", "train"), self.classes.select("class_key", "class"), ["class_key"], hot).select("class", "id", "train"), "members")
+
+    def links(self) -> DataFrame:
+        """``e``, ``t``: classes with an evaluation record and with a training record that nearly agree in both fields; a class of both splits is linked with itself."""
+        rows, classes, members = self.rows, self.classes, self.members
+        # one record stands for its class; only the classes of several records need to be looked up for that
+        others = small(materialise(members.filter("id <> class").select("id"), "others"))
+        bits = (F.when(F.col("n_train") > 0, 1).otherwise(0) + F.when(F.col("n_eval") > 0, 2).otherwise(0)).cast("tinyint").alias("sides")
+        several = small(materialise(classes.filter("n > 1").select(F.col("class").alias("id"), bits), "several"))
+        own = F.when(F.col("train"), F.lit(1)).otherwise(F.lit(2)).cast("tinyint")
+        reps = rows.select("id", "train", "a", "b").join(others, "id", "left_anti").join(several, "id", "left").select(F.col("id").alias("class"), F.coalesce("sides", own).alias("sides"), "a", "b")
+        met = _met(rows, reps)
+        text = lambda c: rows.select("id", "a", "b").join(small(materialise(met.select(F.col(c).alias("id")).distinct(), "ids")), "id", "left_semi")
+        pairs = met.join(text("e").toDF("e", "a1", "b1"), "e").join(text("t").toDF("t", "a2", "b2"), "t")
+        same = classes.filter("n_train > 0 and n_eval > 0").select(F.col("class").alias("e"), F.col("class").alias("t"))
+        out = materialise(pairs.filter(_both_near("a1", "a2", "b1", "b2")).select("e", "t").unionByName(same), "links")
+        drop(met)
+        return out
+
+    def pairs(self) -> DataFrame:
+        """``eval_id``, ``train_id`` of every two records of linked classes."""
+        hot = hot_keys(self.classes, ["class"], hot_rows=HOT_ROWS)
+        ev = self.members.filter("not train").select(F.col("class").alias("e"), F.col("id").alias("eval_id"))
+        tr = self.members.filter("train").select(F.col("class").alias("t"), F.col("id").alias("train_id"))
+        half = join_hot(ev, self.links(), ["e"], hot)
+        return join_hot(half, tr, ["t"], hot).select("eval_id", "train_id")
+
+    def counts(self) -> DataFrame:
+        """``eval_id``, ``n_train``: evaluation records that occur again and the number of training records they are found in, from the class sizes."""
+        sizes = self.classes.select(F.col("class").alias("t"), "n_train")
+        n = self.links().join(sizes, "t").groupBy("e").agg(F.sum("n_train").alias("n_train"))
+        hot = hot_keys(self.classes, ["class"], hot_rows=HOT_ROWS)
+        ev = self.members.filter("not train").select(F.col("class").alias("e"), F.col("id").alias("eval_id"))
+        return join_hot(ev, n, ["e"], hot).select("eval_id", "n_train")
 
 
 def split_overlaps(df: DataFrame, id_col: str, a_col: str, b_col: str, split_col: str, train: str = "train") -> DataFrame:
@@ -261,22 +334,4 @@ def split_overlaps(df: DataFrame, id_col: str, a_col: str, b_col: str, split_col
     field may be changed. Records with a null or blank field or a null split give no pair. Repeated
     rows each give their pairs; an empty table gives none.
     """
-    rows = materialise(_texts(df, id_col, a_col, b_col, split_col, train), "overlap")
-    bits = F.bit_or(F.when(F.col("train"), F.lit(1)).otherwise(F.lit(2))).cast("tinyint").alias("sides")
-    classes = materialise(rows.groupBy("class_key").agg(F.min("id").alias("class"), bits, F.count(F.lit(1)).alias("n")), "classes")
-    hot = classes.filter(F.col("n") >= HOT_ROWS).select("class_key")
-    members = materialise(join_hot(rows.select("class_key", "id", "train"), classes.select("class_key", "class"), ["class_key"], hot).select("class", "id", "train"), "members")
-    # one record stands for its class; only the classes of several records need to be looked up for that
-    others = small(materialise(members.filter("id <> class").select("id"), "others"))
-    several = small(materialise(classes.filter("n > 1").select(F.col("class").alias("id"), "sides"), "several"))
-    own = F.when(F.col("train"), F.lit(1)).otherwise(F.lit(2)).cast("tinyint")
-    reps = rows.select("id", "train", "a", "b", "s1", "s2").join(others, "id", "left_anti").join(several, "id", "left").select(F.col("id").alias("class"), F.coalesce("sides", own).alias("sides"), "a", "b", "s1", "s2")
-    met = materialise(_met(rows, reps), "met")
-    text = lambda c: rows.select("id", "a", "b").join(small(materialise(met.select(F.col(c).alias("id")).distinct(), "ids")), "id", "left_semi")
-    pairs = met.join(text("e").toDF("e", "a1", "b1"), "e").join(text("t").toDF("t", "a2", "b2"), "t")
-    links = materialise(pairs.filter(_both_near("a1", "a2", "b1", "b2")).select("e", "t").unionByName(classes.filter("sides = 3").select(F.col("class").alias("e"), F.col("class").alias("t"))), "links")
-    hot_class = classes.filter(F.col("n") >= HOT_ROWS).select("class")
-    ev = members.filter("not train").select(F.col("class").alias("e"), F.col("id").alias("eval_id"))
-    tr = members.filter("train").select(F.col("class").alias("t"), F.col("id").alias("train_id"))
-    half = join_hot(ev, links, ["e"], hot_class.toDF("e"))
-    return join_hot(half, tr, ["t"], hot_class.toDF("t")).select("eval_id", "train_id")
+    return Overlaps(df, id_col, a_col, b_col, split_col, train).pairs()

@@ -14,6 +14,7 @@ import re
 import struct
 import unicodedata
 import zipfile
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -103,14 +104,33 @@ class _Shapes(dict):
 _SHAPES = _Shapes()
 
 
+class _Folded(dict):
+    """Forms of words, kept for a bounded number of them: texts of a corpus repeat their words."""
+
+    KEPT = 300_000
+
+    def __init__(self, form: Callable[[str], str]):
+        super().__init__()
+        self.form = form
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.KEPT:
+            self.clear()
+        out = self[word] = self.form(word)
+        return out
+
+
+_SKELETONS = _Folded(lambda w: unicodedata.normalize("NFD", unicodedata.normalize("NFD", w).translate(_SHAPES)))
+
+
 def skeleton(text: str) -> str:
     """Shape-equal form of a text: letters, marks, digits and punctuation, blanks as single spaces."""
-    return " ".join(unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_SHAPES)).split())
+    return " ".join(w for w in map(_SKELETONS.__getitem__, text.split()) if w)
 
 
 def tight_skeleton(text: str) -> str:
     """:func:`skeleton` without blanks."""
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_SHAPES)).replace(" ", "")
+    return "".join(map(_SKELETONS.__getitem__, text.split()))
 
 
 class _Letters(dict):
@@ -131,11 +151,12 @@ class _Letters(dict):
 
 
 _LETTERS = _Letters()
+_WORDS = _Folded(lambda w: unicodedata.normalize("NFD", w).translate(_LETTERS))
 
 
 def folded_words(text: str) -> list[str]:
     """Words of a text in folded form: shapes, case and punctuation do not matter."""
-    return unicodedata.normalize("NFD", text).translate(_LETTERS).split()
+    return " ".join(map(_WORDS.__getitem__, text.split())).split()
 
 
 def letters(text: str) -> str:
