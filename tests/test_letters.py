@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vrittam import reports
 from vrittam.functions import letters as L
-from vrittam.operators import diversity, metre, profiles, tilings
+from vrittam.operators import diversity, metre, tilings
 
 
 def one(spark, col):
@@ -46,22 +46,6 @@ def test_divisions():
     assert len(tilings.divisions("I" * 60)) == tilings.MOST and tilings.divisions("") == []
 
 
-def test_profiles(spark):
-    from vrittam.sources.formats import RECORD
-
-    rows = [("p", "poem", {"a": "b", "c": "d", "e + f": "g"}, "te", None, None, "s", True), (None, "poem", {}, " ", "en", None, None, None), (None, None, None, None, None, None, None, None)]
-    df = spark.createDataFrame(rows, RECORD).withColumn("id", F.monotonically_increasing_id())
-    f = {r.id: r for r in profiles.feasible(df, "id").collect()}
-    first, second, third = (f[k] for k in sorted(f))
-    assert first.GN1 and first.GN3 and not first.GN2 and second.GN2 and second.GN4 and not second.GN1 and not any(third[p] for p in profiles.NEEDS)
-    d = profiles.draw(profiles.feasible(df, "id"), {"GN1": 0.5, "GN3": 0.3, "GN4": 0.2}, 2, 1).orderBy("id").collect()
-    assert len(d[0].profiles) == 2 and d[1].profiles == ["GN4"] and d[2].profiles == []
-    many = spark.range(4000).select(F.col("id"), *[F.lit(True).alias(p) for p in ("GN1", "GN4")])
-    n = profiles.draw(many, {"GN1": 0.75, "GN4": 0.25}, 1, 5).filter(F.col("profiles")[0] == "GN1").count()
-    assert abs(n / 4000 - 0.75) < 0.03
-    assert profiles.keywords(df, "id").orderBy("id").first().keywords == ["a", "c", "e"]
-
-
 @pytest.mark.parametrize("words", [["a"], ["a", "b"], ["a", "b", "a", "c"], ["a", "a", "a"]])
 def test_diversity(spark, words):
     df = spark.createDataFrame([(1, " \n".join(words)), (2, None), (3, " ")], "id int, poem string")

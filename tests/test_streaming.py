@@ -3,7 +3,7 @@
 
 from pyspark.sql import functions as F
 
-from tests.test_metre import PARSED, VALID
+from tests.test_metre import COUPLETS
 from vrittam.functions import prosody as P
 from vrittam.operators import metre
 from vrittam.streaming.reader import VerseState
@@ -20,7 +20,7 @@ def test_split_points():
 
 
 def test_reader_equals_expressions(spark):
-    rows = [(i, t) for i, t in enumerate([*VALID, *PARSED, TEXT])]
+    rows = [(i, t) for i, t in enumerate([*COUPLETS, *COUPLETS, TEXT])]
     df = spark.createDataFrame(rows, "id int, poem string")
     two = metre.with_lines(df, "poem").select("id", *[P.weights(P.syllables(F.col(f"line{k}"))).alias(f"g{k}") for k in "12"])
     want = {r.id: f"{r.g1}|{r.g2}" for r in two.collect()}
@@ -30,7 +30,7 @@ def test_reader_equals_expressions(spark):
 
 
 def test_alive_never_drops_a_valid_line():
-    for couplet in VALID:
+    for couplet in COUPLETS:
         s = VerseState()
         for c in couplet:
             s = s.feed(c)
@@ -55,7 +55,7 @@ def test_mask(spark):
 
 def test_stream(spark, tmp_path):
     src, k = tmp_path / "in", 5
-    rows = [(str(i), j, t[j * k : (j + 1) * k]) for i, t in enumerate(VALID) for j in range(len(t) // k + 1)]
+    rows = [(str(i), j, t[j * k : (j + 1) * k]) for i, t in enumerate(COUPLETS) for j in range(len(t) // k + 1)]
     half = len(rows) // 2
     schema = "stream_id string, seq bigint, chunk string"
     for part in (rows[:half], rows[half:]):
@@ -66,7 +66,7 @@ def test_stream(spark, tmp_path):
     q.stop()
     got = {(r.stream_id, r.seq): r for r in spark.sql("select * from verse").collect()}
     assert len(got) == len(rows)
-    for i, t in enumerate(VALID):
+    for i, t in enumerate(COUPLETS):
         last = got[str(i), len(t) // k]
         assert last.accepts and last.line_no == 2 and last.weights == VerseState().feed(t).line()
 
@@ -75,8 +75,8 @@ def test_alive_counts(spark):
     """Counts by shared states equal the mask pair by pair; whole first words and whole glossed words in the query."""
     from vrittam.streaming.streams import alive_counts
 
-    words = sorted({w for c in VALID for w in c.split()})[:25] + ["", "ab", "మా\nమా", "క్", "ఁక", "1x"]
-    starts = sorted({w for c in VALID for w in c.split()})[::2] + ["కూ", "x", "క్"]
+    words = sorted({w for c in COUPLETS for w in c.split()})[:25] + ["", "ab", "మా\nమా", "క్", "ఁక", "1x"]
+    starts = sorted({w for c in COUPLETS for w in c.split()})[::2] + ["కూ", "x", "క్"]
     tokens = spark.createDataFrame(list(enumerate(words)), "token_id int, token_text string")
     got = {r.prefix: r.n_alive for r in alive_counts(spark.createDataFrame([(p,) for p in starts], "prefix string"), tokens).collect()}
     want = {p: sum(VerseState().feed(p + t).alive() for t in words) for p in starts}

@@ -11,8 +11,8 @@ from .prosody import strip
 # The characters that cleaning deletes.
 REMOVED = "'‘’\"“”„`´«»,?!–—ఁ ;:.()[]"
 
-#: Per-source settings of :func:`clean_line`: characters deleted besides, trailing digits deleted.
-SOURCES = {"basava": ("", False), "palanati": ("", True), "bhagavatam": ("", True), "srirama": ("-", False)}
+# Settings of the sources: characters deleted besides, trailing digits deleted, lines parted at hyphens.
+SOURCES = {"basava": ("", False, True), "palanati": ("", True, False), "bhagavatam": ("", True, False), "srirama": ("-", False, False)}
 
 
 def clean_line(line: Column, extra: str = "", trailing_digits: bool = False) -> Column:
@@ -43,3 +43,22 @@ def squeezed(text: Column) -> Column:
 def file_name(name: Column, longest: int = 50) -> Column:
     """Name without characters that file systems refuse, blanks as underscores, at most ``longest`` characters."""
     return F.substring(F.regexp_replace(strip(F.regexp_replace(name, r'[<>:"/\\|?*]', "")), f"[{BLANKS}]+", "_"), 1, longest)
+
+
+def clean_text(text: Column, extra: str = "", trailing_digits: bool = False, part_hyphens: bool = False) -> Column:
+    """``text``, ``lines`` and ``removed`` (characters less than before) of a whole text cleaned line by line.
+
+    With ``part_hyphens`` a line with hyphens that is no ``#`` line becomes several, empty ones left out;
+    other empty lines stay. Null stays null.
+    """
+
+    def one(line: Column) -> Column:
+        cleaned = clean_line(line, extra, trailing_digits)
+        if not part_hyphens:
+            return F.array(cleaned)
+        pieces = F.filter(F.transform(F.split(cleaned, "-"), strip), lambda x: x != "")
+        return F.when(~F.startswith(line, F.lit("#")) & F.contains(cleaned, F.lit("-")), pieces).otherwise(F.array(cleaned))
+
+    before = F.split(text, "\n")
+    after = F.array_join(F.flatten(F.transform(before, one)), "\n")
+    return F.when(text.isNotNull(), F.struct(after.alias("text"), F.size(before).alias("lines"), (F.length(text) - F.length(after)).alias("removed")))

@@ -90,3 +90,27 @@ def longest_run(a: Column, b: Column) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     best = F.transform(starts, lambda i: F.array_max(F.transform(F.sequence(F.lit(0), n - i + 1), lambda k: F.when(F.instr(b, F.substring(a, i, k)) > 0, k).otherwise(0))))
     return F.when((n == 0) | (F.length(b) == 0), 0).otherwise(F.array_max(best))
+
+
+def alliteration_text(first: Column, third: Column, matches: Column) -> Column:
+    """Written result of the alliteration of a line; null without both letters."""
+    return F.concat(F.when(matches, "Matches: '").otherwise("No match: '"), first, F.lit("' and '"), third, F.lit("'."))
+
+
+def rhyme_text(own: Column, other: Column, matches: Column) -> Column:
+    """Written result of the rhyme for one line; null without both syllables."""
+    return F.when(matches, F.concat(F.lit("2nd Letter '"), own, F.lit("' matches '"), other, F.lit("'."))).otherwise(F.concat(F.lit("No match: '"), own, F.lit("' and '"), other, F.lit("'.")))
+
+
+def alliteration_read(text: Column) -> Column:
+    """``first``, ``third``, ``matches`` read back from a written result; null where it names fewer than two letters."""
+    letters = F.regexp_extract_all(text, F.lit(r"'([^']+)'"), F.lit(1))
+    low = F.lower(text)
+    matches = F.contains(low, F.lit("match")) & ~F.contains(low, F.lit("no match"))
+    return F.when(F.size(letters) >= 2, F.struct(F.get(letters, F.lit(0)).alias("first"), F.get(letters, F.lit(1)).alias("third"), matches.alias("matches")))
+
+
+def verse_of_prompt(prompt: Column) -> Column:
+    """The couplet a prompt quotes: two neighbouring lines of Telugu behind a line that ends in a colon; null without them."""
+    got = F.regexp_extract(prompt, rf"(?s):\s*\n([{TELUGU} ]+\n[{TELUGU} ]+)", 1)
+    return F.when(got != "", got)

@@ -108,3 +108,117 @@ def prompt_and_poem(text: Column) -> Column:
     at = F.instr(text, "Poem:\n")
     poem = F.regexp_replace(F.substring(text, at + 6, F.length(text)), "\n", " \n")
     return F.struct(F.when(at > 0, P.strip(F.substring(text, F.lit(1), at - 1))).otherwise(text).alias("prompt"), F.when(at > 0, poem).alias("poem"))
+
+
+# The classes of a code point, tested in this order, and the classes of letters a syllable is tagged with.
+CODE_POINTS = {
+    "CONSONANT": "కఖగఘఙచఛజఝఞటఠడఢణతథదధనపఫబభమయరలవశషసహళఱ",
+    "INDEPENDENT_VOWEL": "అఆఇఈఉఊఋౠఎఏఐఒఓఔ",
+    "MATRA": "ాిీుూృెేైొోౌౖ",
+    "VIRAMA": "్",
+    "DIACRITIC": "ంః",
+    "SPACE": " ",
+    "NEWLINE": "\n",
+    "SKIP": "\u200c\u200bఁ",
+}
+LETTER_CLASSES = {
+    "pluta": "ఐఔ",
+    "sarala": "గజడదబ",
+    "parusha": "కచటతప",
+    "sthira": "ఖఘఙఛఝఞఠఢణథధనఫభమయరఱలళవశషసహ",
+    "ka_varga": "కఖగఘఙ",
+    "cha_varga": "చౘఛజౙఝఞ",
+    "ta_varga": "టఠడఢణ",
+    "tha_varga": "తథదధన",
+    "pa_varga": "పఫబభమ",
+    "sparsha": "కఖగఘఙచౘఛజౙఝఞటఠడఢణతథదధనపఫబభమ",
+    "ushma": "శసషహ",
+    "antastha": "యరఱలళవ",
+    "kanthya": "అఆకఖగఘఙహ",
+    "talavya": "ఇఈచఛజఝయశ",
+    "murdhanya": "ఋౠటఠడఢణషఱర",
+    "dantya": "ఌౡతథదధౘౙలస",
+    "oshthya": "ఉఊపఫబభమ",
+    "anunasika": "ఙఞణనమ",
+    "kanthatalavya": "ఎఏఐ",
+    "kanthoshthya": "ఒఓఔ",
+    "dantoshthya": "వ",
+}
+
+
+def code_point_class(char: Column) -> Column:
+    """Class of one character; ``OTHER`` for one of none."""
+    out = None
+    for name, members in CODE_POINTS.items():
+        cond = char.isin(*members)
+        out = F.when(cond, name) if out is None else out.when(cond, name)
+    return out.otherwise("OTHER")
+
+
+def only_script(text: Column, first: str = r"\x{0C00}", last: str = r"\x{0C7F}") -> Column:
+    """A text, or token, of letters of one block, blanks, line ends and colons only; false for an empty one."""
+    return text.rlike(f"^[{first}-{last} \\n:]+$")
+
+
+def syllable_classes(syllable: Column) -> Column:
+    """All properties of a syllable as a sorted array: kinds (``vowel``, ``consonant``, ``long``, ``short``, ...) and classes of its letters.
+
+    A vowel sign counts as its vowel besides; a consonant without a sign has the inherent one.
+    """
+    cons, marks = f"[{A.CONSONANTS}]", f"[{A.SIGNS}]"
+    first = F.substring(syllable, 1, 1)
+    vowel = first.isin(*A.VOWELS) | syllable.isin(*A.DIACRITICS)
+    has_cons = syllable.rlike(cons)
+    long = syllable.rlike(f"[{A.LONG_SIGNS}]") | syllable.isin(*A.LONG_VOWELS)
+    breath, nasal = F.contains(syllable, F.lit("ః")), F.contains(syllable, F.lit("ం"))
+    double = syllable.rlike(f"({cons}){A.VIRAMA}\\1")
+    # overlapping pairs: a cluster of different consonants stands somewhere
+    other = syllable.rlike(f"({cons}){A.VIRAMA}(?!\\1){cons}")
+    signs = F.translate(F.array_join(F.regexp_extract_all(syllable, F.lit(marks), F.lit(0)), ""), A.SIGNS, A.SIGN_VOWELS)
+    inherent = F.when(has_cons & ~syllable.rlike(marks) & ~F.endswith(syllable, F.lit(A.VIRAMA)), "అ").otherwise("")
+    all_letters = F.concat(syllable, signs, inherent)
+    found = [
+        F.when(vowel, "vowel"),
+        F.when(has_cons, "consonant"),
+        F.when(long, "long"),
+        F.when(breath, "breath"),
+        F.when(nasal, "nasal"),
+        F.when(other, "cluster"),
+        F.when(double, "double"),
+        F.when((has_cons | vowel) & ~long & ~nasal & ~breath, "short"),
+        *[F.when(all_letters.rlike(f"[{members}]"), name) for name, members in LETTER_CLASSES.items()],
+    ]
+    return F.array_sort(F.array_compact(F.array(*found)))
+
+
+def positions(syllables: Column) -> Column:
+    """Map from each different syllable to its places, from 0."""
+    return F.map_from_arrays(
+        F.array_distinct(syllables),
+        F.transform(F.array_distinct(syllables), lambda s: F.filter(F.transform(syllables, lambda x, i: F.when(x == s, i)), lambda i: i.isNotNull())),
+    )
+
+
+def text_profile(text: Column) -> Column:
+    """Counts, shares and most frequent classes of one text: the whole description as one struct.
+
+    Characters that are no Telugu letters, blanks or line ends are taken out first. Percentages are
+    null for a text without syllables.
+    """
+    kept = F.regexp_replace(text, r"[^\x{0C00}-\x{0C7F}\s\x{200B}]+", "")
+    syl = P.pure(P.syllables(kept))
+    weights = P.weights(P.syllables(kept))
+    heavy = F.length(F.translate(weights, "I", ""))
+    n = F.size(syl)
+    parts = lambda x, sep: F.size(F.filter(F.split(x, sep), lambda y: F.regexp_replace(y, f"[{A.BLANKS}]", "") != "")).cast("bigint")
+    return F.struct(
+        F.length(kept).cast("bigint").alias("characters"),
+        parts(kept, f"[{A.BLANKS}]+").alias("words"),
+        parts(kept, r"[।॥.?!]").alias("sentences"),
+        parts(kept, "\n").alias("paragraphs"),
+        n.cast("bigint").alias("syllables"),
+        F.size(F.array_distinct(syl)).cast("bigint").alias("different"),
+        F.size(F.filter(syl, lambda x: x.rlike(P.CLUSTER))).cast("bigint").alias("clusters"),
+        heavy.cast("bigint").alias("heavy"),
+        F.round(F.when(n > 0, heavy * 100.0 / n), 2).alias("heavy_pct"),
+    )

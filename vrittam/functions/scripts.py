@@ -31,3 +31,10 @@ def quality(text: Column) -> Column:
     cluster = count_in(text, r"\x{0C4D}")
     n = plain + sign + cluster
     return F.when(n > 0, (plain * 0.99 + sign * 0.85 + cluster * 0.70) / n)
+
+
+def converted_map(m: Column) -> Column:
+    """Map with keys and values in Kannada spelling; of keys that become equal the last stays."""
+    entries = F.transform(F.map_entries(m), lambda e: F.struct(telugu_to_kannada(e["key"]).alias("key"), telugu_to_kannada(e["value"]).alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + F.lit(2), F.size(entries)), lambda z: z["key"] == e["key"]))
+    return F.map_from_entries(last)

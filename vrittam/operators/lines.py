@@ -59,3 +59,19 @@ def counters(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bad = F.col("line").rlike(DAMAGED) | F.col("line2").rlike(DAMAGED)
     per = g.groupBy("id", "grp").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("line2").isNotNull() & bad).alias("bad"), F.count_if(F.col("line2").isNotNull() & ~bad).alias("good"))
     return per.agg(F.count_if(F.col("n") == 1).alias("singletons"), F.count_if(F.col("n") == 3).alias("triplets"), F.coalesce(F.sum("good"), F.lit(0)).alias("couplets"), F.coalesce(F.sum("bad"), F.lit(0)).alias("discarded"))
+
+
+def zones(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``no``, ``zone``, ``line``: every line of a text, none dropped.
+
+    Zones: ``header`` (leading ``#`` lines), ``footnote`` (from the first ``---`` line on), ``note`` (other
+    ``#`` lines) and ``body``, whose lines alone are meant for cleaning. Narrow: a text is one row.
+    """
+    ls = F.split(F.col(text_col), "\n")
+    far = F.lit(1 << 30)
+    first = lambda cond: F.coalesce(F.array_min(F.transform(ls, lambda x, i: F.when(cond(x), i))), far)
+    body = first(lambda x: ~F.startswith(x, F.lit("#")))
+    tail = first(lambda x: strip(x) == "---")
+    rows = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), body.alias("_body"), tail.alias("_tail"), F.posexplode(ls).alias("p", "line"))
+    zone = F.when(F.col("p") < F.col("_body"), "header").when(F.col("p") >= F.col("_tail"), "footnote").when(F.startswith("line", F.lit("#")), "note").otherwise("body")
+    return rows.select("id", (F.col("p") + 1).alias("no"), zone.alias("zone"), "line")

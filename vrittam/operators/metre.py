@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
 from ..functions import prosody as P
+from ..functions.extract import bigrams, jaccard, longest_run
+from ..functions.letters import syllable_classes
 
 
 def with_lines(df: DataFrame, poem: str) -> DataFrame:
@@ -57,6 +59,18 @@ def analyse(df: DataFrame, poem: str, scope: str = "word") -> DataFrame:
     return with_scores(with_agreement(with_feet(with_syllables(two, scope))))
 
 
+def analysed(df: DataFrame, poem: str, scope: str = "word") -> DataFrame:
+    """:func:`analyse` without leaving out rows: a text of fewer than two lines has ``error`` and null verdicts (its one line is analysed)."""
+    got = with_scores(with_agreement(with_feet(with_syllables(with_lines(df, poem), scope))))
+    short = F.col("line2").isNull()
+    return got.withColumn("error", F.when(short, "fewer than two lines")).withColumns({c: F.when(~short, F.col(c)) for c in ("prasa", "overall", "is_valid")})
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` behind a step that expressions are not pushed through: a filter on long expressions would make them again for every use."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
+
+
 def foot_names(feet: str, gana: str):
     """Names of the four feet of a line as an array; null for a foot without a name."""
     names = F.create_map(*[F.lit(x) for kv in {**A.INDRA, **A.SURYA}.items() for x in kv])
@@ -76,3 +90,29 @@ def prefix_table(spark) -> DataFrame:
     begun = {p[:k] for p in full for k in range(len(p) + 1)}
     rows = [(b, "".join(x for x in "IU" if b + x in begun), b in full, min(len(p) for p in full if p.startswith(b)) - len(b)) for b in sorted(begun)]
     return spark.createDataFrame(rows, "prefix string, next string, complete boolean, least_to_end int")
+
+
+def compared_words(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``df`` with two words side by side: ``common``, ``only_first``, ``only_second`` classes, ``class_similarity``, ``weight_similarity``, ``longest_run``.
+
+    Similarities are Jaccard's, of classes and of neighbouring weights. Words without any class have
+    the class similarity 0, words without neighbouring weights the other similarity 1; the longest
+    common run is one of weights. Null words give nulls.
+    """
+    made = {}
+    for k, word in (("1", a), ("2", b)):
+        syl = P.syllables(F.col(word))
+        made |= {f"_c{k}": F.array_sort(F.array_distinct(F.flatten(F.transform(P.pure(syl), syllable_classes)))), f"_w{k}": P.weights(syl)}
+    got = once(df.withColumns(made))
+    c1, c2 = F.col("_c1"), F.col("_c2")
+    union = F.size(F.array_union(c1, c2))
+    return got.withColumns(
+        {
+            "common": F.array_sort(F.array_intersect(c1, c2)),
+            "only_first": F.array_sort(F.array_except(c1, c2)),
+            "only_second": F.array_sort(F.array_except(c2, c1)),
+            "class_similarity": F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(c1, c2)) / union),
+            "weight_similarity": jaccard(F.array_distinct(bigrams(F.col("_w1"))), F.array_distinct(bigrams(F.col("_w2")))),
+            "longest_run": longest_run(F.col("_w1"), F.col("_w2")).cast("int"),
+        }
+    ).drop("_c1", "_c2", "_w1", "_w2")

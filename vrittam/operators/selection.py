@@ -19,7 +19,7 @@ def content_tags(tags: Column, stop_words: tuple[str, ...] = ()) -> Column:
 def first_nouns(tags: Column, gloss: Column, n: int = 3) -> Column:
     """The first ``n`` nouns of a tagged text, or else its first glossed words, cut at ``+``."""
     nouns = F.transform(F.filter(F.coalesce(tags, F.array().cast("array<struct<token:string,pos:string>>")), lambda t: t["pos"].isin("NOUN", "PROPN")), lambda t: t["token"])
-    keys = F.transform(F.array_sort(F.map_keys(gloss)), lambda k: F.trim(F.substring_index(k, "+", 1)))
+    keys = F.transform(F.map_keys(gloss), lambda k: F.trim(F.substring_index(k, "+", 1)))
     return F.slice(F.when(F.size(nouns) > 0, nouns).otherwise(F.coalesce(keys, F.array().cast("array<string>"))), 1, n)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,25 +17,23 @@ def divisions(weights: str, feet: tuple[str, ...] = tuple(GENERAL), most: int =
     A division is only begun if the rest can be divided, so the limit bounds the work.
     """
     order = sorted(feet, key=lambda f: (len(f), f))
-
-    @lru_cache(maxsize=None)
-    def can(at: int) -> bool:
-        return at == len(weights) or any(weights.startswith(f, at) and can(at + len(f)) for f in order)
-
+    n = len(weights)
+    can = [False] * n + [True]
+    for at in range(n - 1, -1, -1):
+        can[at] = any(weights.startswith(f, at) and can[at + len(f)] for f in order)
     out: list[str] = []
-
-    def walk(at: int, so_far: list[str]) -> None:
-        if len(out) >= most:
-            return
-        if at == len(weights):
-            out.append(" ".join(so_far))
-            return
-        for f in order:
-            if weights.startswith(f, at) and can(at + len(f)):
-                walk(at + len(f), [*so_far, f])
-
-    if weights and len(weights) < 400:
-        walk(0, [])
+    # depth first with a stack of its own, so that a text may be of any length
+    todo = [(0, ())] if n else []
+    while todo and len(out) < most:
+        at, so_far = todo.pop()
+        if at == n:
+            feet_, node = [], so_far
+            while node:
+                node, foot = node
+                feet_.append(foot)
+            out.append(" ".join(reversed(feet_)))
+            continue
+        todo += [(at + len(f), (so_far, f)) for f in reversed(order) if weights.startswith(f, at) and can[at + len(f)]]
     return out
 
 

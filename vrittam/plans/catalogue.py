@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, letters, verse
+from . import corpus, letters, records, verse
 
-QUERIES = {**verse.QUERIES, **corpus.QUERIES, **letters.QUERIES}
-ORACLE_SQL = {**verse.ORACLE_SQL, **corpus.ORACLE_SQL, **letters.ORACLE_SQL}
+QUERIES = {**verse.QUERIES, **corpus.QUERIES, **letters.QUERIES, **records.QUERIES}
+ORACLE_SQL = {**verse.ORACLE_SQL, **corpus.ORACLE_SQL, **letters.ORACLE_SQL, **records.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,23 +141,6 @@ def lowest20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired_cosine(spark, sf_dir).orderBy("similarity", "pair").limit(20)
 
 
-FIELDS = ("prompt", "poem", "telugu_meaning", "english_meaning", "source", "source_file")
-
-
-def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of records with each field, and a verdict: full from 80 %, partial from 40 %, sparse below."""
-    df = _t(spark, sf_dir, POEMS)
-    have = {f: F.count_if(F.coalesce(strip(F.col(f)), F.lit("")) != "") for f in FIELDS}
-    have |= {"word_to_word_meaning": F.count_if(F.size(F.coalesce(F.map_keys("word_to_word_meaning"), F.array())) > 0), "chandassu_analysis": F.count_if(F.col("chandassu_analysis").isNotNull()), "is_synthetic_data": F.count_if(F.col("is_synthetic_data").isNotNull())}
-    one = df.agg(F.count(F.lit(1)).alias("total"), *[c.alias(n) for n, c in have.items()])
-    long = one.unpivot(["total"], list(have), "field", "n")
-    pct = F.col("n") * 100.0 / F.col("total")
-    return long.select("field", "n", F.round(pct, 4).alias("pct"), F.when(pct >= 80, "full").when(pct >= 40, "partial").otherwise("sparse").alias("verdict"))
-
-
-# -- scripts and glosses ---------------------------------------------------------------------------
-
-
 def telugu_kannada(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poems in Kannada letters, whether they come back unchanged, and the expected quality."""
     p = _t(spark, sf_dir, POEMS, "rec_id", "poem").filter("poem is not null")
@@ -269,7 +252,7 @@ def level_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (clean_lines, header_values, couplets_from_lines, couplet_counters, word_metrics, corpus_lexical, corpus_mattr50, top_words, source_ttr, level2_ratio, ratio_outliers, ratio_histogram, near_key_groups, exact_copy_groups, paired_cosine, similarity_stats, lowest20, field_coverage, telugu_kannada, gloss_terms, block_letters, source_lookup, first_wins_dedup, stratified_sample, split_80_10_10, profile_counts, profile_choice, training_formats, poem_lines_of_answers, benchmark_summary, best_prompts, score_bins, level_summary)
+    for f in (clean_lines, header_values, couplets_from_lines, couplet_counters, word_metrics, corpus_lexical, corpus_mattr50, top_words, source_ttr, level2_ratio, ratio_outliers, ratio_histogram, near_key_groups, exact_copy_groups, paired_cosine, similarity_stats, lowest20, telugu_kannada, gloss_terms, block_letters, source_lookup, first_wins_dedup, stratified_sample, split_80_10_10, profile_counts, profile_choice, training_formats, poem_lines_of_answers, benchmark_summary, best_prompts, score_bins, level_summary)
 }
 
 # -- SQL -------------------------------------------------------------------------------------------
@@ -309,7 +292,6 @@ SELECT rec_id, n AS n_words, round(v / n::DOUBLE, 6) AS ttr, round(CASE WHEN n <
     "paired_cosine": f"WITH {_COS} SELECT pair, similarity FROM s",
     "similarity_stats": f"WITH {_COS} SELECT count(*) AS n, round(avg(similarity), 4) AS mean, round(quantile_cont(similarity, 0.5), 4) AS median, min(similarity) AS least, max(similarity) AS most, count(*) FILTER (similarity >= 0.65) AS n_pass FROM s",
     "lowest20": f"WITH {_COS} SELECT pair, similarity FROM s ORDER BY similarity, pair LIMIT 20",
-    "field_coverage": "WITH t AS (SELECT count(*) AS total FROM " + POEMS + "), c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER (coalesce({_STRIP(f)}, '') <> '') AS n FROM {POEMS}" for f in FIELDS) + f" UNION ALL SELECT 'word_to_word_meaning', count(*) FILTER (coalesce(cardinality(word_to_word_meaning), 0) > 0) FROM {POEMS} UNION ALL SELECT 'chandassu_analysis', count(*) FILTER (chandassu_analysis IS NOT NULL) FROM {POEMS} UNION ALL SELECT 'is_synthetic_data', count(is_synthetic_data) FROM {POEMS}) SELECT field, n, round(n * 100.0::DOUBLE / total, 4) AS pct, CASE WHEN n * 100.0 / total >= 80 THEN 'full' WHEN n * 100.0 / total >= 40 THEN 'partial' ELSE 'sparse' END AS verdict FROM c, t",
     "telugu_kannada": f"SELECT rec_id, translate(poem, '{scripts.TELUGU}', '{scripts.KANNADA}') AS kannada, translate(translate(poem, '{scripts.TELUGU}', '{scripts.KANNADA}'), '{scripts.KANNADA}', '{scripts.TELUGU}') = translate(poem, '{scripts.KANNADA}', '{scripts.TELUGU}') AS comes_back, round((a * 0.99::DOUBLE + b * 0.85::DOUBLE + c * 0.70::DOUBLE) / nullif(a + b + c, 0), 6) AS quality FROM (SELECT rec_id, poem, len(regexp_extract_all(poem, '[\\x{{0C05}}-\\x{{0C39}}]')) AS a, len(regexp_extract_all(poem, '[\\x{{0C3E}}-\\x{{0C4C}}\\x{{0C02}}\\x{{0C03}}]')) AS b, len(regexp_extract_all(poem, '\\x{{0C4D}}')) AS c FROM {POEMS} WHERE poem IS NOT NULL)",
     "gloss_terms": f"SELECT word, count(*) AS n, count(DISTINCT meaning) AS n_meanings FROM (SELECT unnest(map_keys(word_to_word_meaning)) AS word, unnest(map_values(word_to_word_meaning)) AS meaning FROM {POEMS}) GROUP BY 1",
     "block_letters": f"SELECT code FROM range({0x0C00}, {0x0C80}) r(code) WHERE chr(code::INT) NOT IN (SELECT DISTINCT unnest(string_split(poem, '')) FROM {POEMS} WHERE poem IS NOT NULL)",

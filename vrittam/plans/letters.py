@@ -11,7 +11,7 @@ from ..functions import alphabet as A
 from ..functions import letters as L
 from ..functions import prosody as P
 from ..functions.names import clean_source
-from ..operators import metre, profiles, tilings
+from ..operators import metre, tilings
 from ..scratch import table
 from .verse import _BASE, _DOUBLE, _SYL_ROWS, CLEAN_SOURCE_SQL, POEMS, RAGALE_SQL, analysis_sql, lines_sql
 
@@ -53,28 +53,11 @@ def poem_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, POEMS).filter("telugu_meaning is not null").select("rec_id", L.text_counts(F.col("telugu_meaning")).alias("c")).select("rec_id", *[F.col(f"c.{k}").cast("bigint").alias(k) for k in ("characters", "telugu", "words", "sentences", "paragraphs")])
 
 
-def profile_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that can serve each profile."""
-    f = profiles.feasible(table(spark, sf_dir, POEMS), "rec_id")
-    one = f.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(p).alias(p) for p in profiles.NEEDS])
-    return one.unpivot(["total"], list(profiles.NEEDS), "profile_id", "n").select("profile_id", "n", F.round(F.col("n") * 100.0 / F.col("total"), 4).alias("pct"))
-
-
-DRAW_WEIGHTS = {"GN1": 0.2, "GN2": 0.16, "GN3": 0.1, "GN4": 0.12, "AN1": 0.14, "AN2": 0.14, "RT1": 0.07, "SP1": 0.06}
-
-
-def profile_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three profiles for every record, by weight without replacement."""
-    f = profiles.feasible(table(spark, sf_dir, POEMS), "rec_id")
-    d = profiles.draw(f, DRAW_WEIGHTS, 3, 11)
-    return d.select(F.col("id").alias("rec_id"), F.array_join("profiles", ",").alias("profiles"))
-
-
 def foot_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of divisions of the first lines into feet of the general metres (50 are listed at most)."""
+    """Number of divisions of the lines of the couplets into feet of the general metres (50 are listed at most)."""
     two = metre.with_syllables(metre.with_lines(table(spark, sf_dir, POEMS).select("rec_id", "poem"), "poem").filter("line2 is not null"))
-    g = two.groupBy("gana1").agg(F.count(F.lit(1)).alias("n_lines"))
-    return g.select("gana1", "n_lines", F.size(tilings.all_divisions(F.col("gana1"))).cast("bigint").alias("n_divisions"))
+    lines = two.select(F.explode(F.array("gana1", "gana2")).alias("gana")).groupBy("gana").agg(F.count(F.lit(1)).alias("n_lines"))
+    return lines.select("gana", F.size(tilings.all_divisions(F.col("gana"))).cast("bigint").alias("n_divisions"), "n_lines")
 
 
 def combined_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,23 +77,11 @@ def ragale_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (articulation_counts, dominant_tags, rhyme_verdicts, strict_verdicts, line_shapes, poem_counts, profile_feasibility, profile_draws, foot_divisions, combined_corpus, ragale_verdicts)
+    f.__name__: f for f in (articulation_counts, dominant_tags, rhyme_verdicts, strict_verdicts, line_shapes, poem_counts, foot_divisions, combined_corpus, ragale_verdicts)
 }
 
 _PLACE = "CASE " + " ".join(f"WHEN contains('{m}', {_BASE('x')}) THEN '{p}'" for p, m in A.ARTICULATION.items()) + " ELSE 'none' END"
 _W = A.BLANKS
-_FIELD = lambda c: f"coalesce(regexp_replace({c}, '^[{_W}]+|[{_W}]+$', '', 'g'), '') <> ''"
-_HAVE = {
-    "poem": _FIELD("poem"),
-    "telugu": _FIELD("telugu_meaning"),
-    "english": _FIELD("english_meaning"),
-    "gloss": "coalesce(cardinality(word_to_word_meaning), 0) > 0",
-    "rich_gloss": "coalesce(cardinality(word_to_word_meaning), 0) >= 3",
-    "analysis": "chandassu_analysis IS NOT NULL",
-    "rhyme_letter": "coalesce(regexp_matches(chandassu_analysis.line_1.prasa_check, '''.'''), false)",
-    "alliteration_letter": "coalesce(regexp_matches(chandassu_analysis.line_1.yati_check, '''.'''), false)",
-    "feet": r"coalesce(regexp_matches(chandassu_analysis.line_1.breakdown, '\([A-Za-z/]+ - [IU]+'), false)",
-}
 _PARTS = lambda x, sep: f"len(list_filter(regexp_split_to_array({x}, '{sep}'), lambda q: regexp_replace(q, '[{_W}]', '', 'g') <> ''))::BIGINT"
 
 ORACLE_SQL: dict[str, str] = {
@@ -119,7 +90,6 @@ ORACLE_SQL: dict[str, str] = {
     "strict_verdicts": f"WITH {analysis_sql()}, v AS (SELECT is_valid, coalesce(valid1 = 4 AND valid2 = 4, false) AND rhyme AS loose, coalesce(yati1 <> 'no_match' AND yati2 <> 'no_match', false) AS y FROM scored) SELECT is_valid, loose, loose AND y AS strict, count(*) AS n FROM v GROUP BY ALL",
     "line_shapes": f"WITH {lines_sql()} SELECT regexp_matches(l2, '^[{A.CONSONANTS}]{A.VIRAMA}[{A.CONSONANTS}]') AS cluster_second, ends_with(l1, 'ు') AS first_in_u, count(*) AS n FROM two GROUP BY ALL",
     "poem_counts": f"SELECT rec_id, length(telugu_meaning)::BIGINT AS characters, length(regexp_replace(telugu_meaning, '[^\\x{{0C00}}-\\x{{0C7F}}]', '', 'g'))::BIGINT AS telugu, {_PARTS('telugu_meaning', f'[{_W}]+')} AS words, {_PARTS('telugu_meaning', '[.!?।॥]+')} AS sentences, {_PARTS('telugu_meaning', chr(92) + 'n' + chr(92) + 's*' + chr(92) + 'n')} AS paragraphs FROM {POEMS} WHERE telugu_meaning IS NOT NULL",
-    "profile_feasibility": " UNION ALL ".join(f"SELECT '{p}' AS profile_id, count(*) FILTER ({' AND '.join(_HAVE[n] for n in needs)}) AS n, round(count(*) FILTER ({' AND '.join(_HAVE[n] for n in needs)}) * 100.0::DOUBLE / count(*), 4) AS pct FROM {POEMS}" for p, needs in profiles.NEEDS.items()),
     "combined_corpus": f"SELECT CASE WHEN is_synthetic_data THEN 'made' ELSE 'real' END AS kind, {CLEAN_SOURCE_SQL} AS work, count(*) AS n FROM {POEMS} GROUP BY 1, 2",
 }
 
@@ -137,5 +107,6 @@ _TAGS = {
     "vowel": f"regexp_matches(x, '^[{A.VOWELS}]')",
 }
 ORACLE_SQL["dominant_tags"] = f"WITH s AS ({_SYL_ROWS}) SELECT tag, n FROM ({' UNION ALL '.join(f'SELECT {t!r} AS tag, count(*) FILTER ({c}) AS n FROM s' for t, c in _TAGS.items())}) ORDER BY n DESC, tag LIMIT 3"
-_U = lambda p: f"((('0x' || left(md5('11:' || rec_id || ':{p}'), 8))::BIGINT + 1) / 4294967297.0::DOUBLE)"
-ORACLE_SQL["profile_draws"] = "WITH k AS (" + " UNION ALL ".join(f"SELECT rec_id, '{p}' AS p, CASE WHEN {' AND '.join(_HAVE[n] for n in profiles.NEEDS[p])} THEN -ln({_U(p)}) / {w}::DOUBLE END AS key FROM {POEMS}" for p, w in DRAW_WEIGHTS.items()) + "), r AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY key, p) AS i FROM k WHERE key IS NOT NULL) SELECT d.rec_id, coalesce(string_agg(p, ',' ORDER BY i) FILTER (i <= 3), '') AS profiles FROM " + POEMS + " d LEFT JOIN r USING (rec_id) GROUP BY 1"
+# counts of divisions from the end of a line backwards: the list holds those of every later place
+_WAYS = " + ".join(f"CASE WHEN substring(gana, length(gana) - len(acc) + 1, {len(f)}) = '{f}' THEN coalesce(acc[{len(f)}], 0) ELSE 0 END" for f in tilings.GENERAL)
+ORACLE_SQL["foot_divisions"] = f"WITH {analysis_sql()}, g AS (SELECT gana, count(*) AS n_lines FROM (SELECT unnest([gana1, gana2]) AS gana FROM done) GROUP BY 1) SELECT gana, CASE WHEN gana = '' THEN 0 ELSE least(50, list_reduce(list_concat([[1::BIGINT]], list_transform(range(length(gana)), lambda k: [k])), lambda acc, e: list_prepend(({_WAYS})::BIGINT, acc))[1])::BIGINT END AS n_divisions, n_lines FROM g"

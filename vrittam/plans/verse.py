@@ -168,13 +168,13 @@ def line_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reader_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the poems for which the incremental reader and the column expressions give the same weights and verdict, and others."""
-    poems = _poems(spark, sf_dir)
-    two = metre.with_syllables(metre.with_lines(poems, "poem").filter("line2 is not null"))
-    t = F.broadcast(metre.line_table(spark).select("pattern", F.lit(True).alias("ok")))
-    want = two.select("rec_id", F.col("gana1").alias("pattern")).join(t, "pattern", "left").select("rec_id", "pattern", F.coalesce("ok", F.lit(False)).alias("by_table"))
-    first = two.select("rec_id", F.col("line1").alias("text"))
-    got = read_lines(first, "rec_id", "text").select(F.col("id").alias("rec_id"), "weights", F.col("all_valid").alias("by_reader"))
+    """Couplets for which the incremental reader, fed both lines, and the column expressions give the same weights and verdict, and others; a line without syllables is none to the reader."""
+    two = metre.with_syllables(metre.with_lines(_poems(spark, sf_dir), "poem").filter("line2 is not null"))
+    t = F.broadcast(metre.line_table(spark).select("pattern"))
+    flag = lambda k: t.select(F.col("pattern").alias(f"gana{k}"), F.lit(True).alias(f"ok{k}"))
+    want = two.select("rec_id", "line1", "line2", "gana1", "gana2").join(flag(1), "gana1", "left").join(flag(2), "gana2", "left")
+    want = want.select("rec_id", F.concat_ws("|", *[F.nullif(F.col(g), F.lit("")) for g in ("gana1", "gana2")]).alias("pattern"), F.coalesce(F.col("ok1") & F.col("ok2"), F.lit(False)).alias("by_table"))
+    got = read_lines(two.select("rec_id", F.concat_ws("\n", "line1", "line2").alias("text")), "rec_id", "text").select(F.col("id").alias("rec_id"), "weights", F.col("all_valid").alias("by_reader"))
     return want.join(got, "rec_id").groupBy((F.col("pattern") == F.col("weights")).alias("same_weights"), "by_table", "by_reader").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -281,6 +281,7 @@ def _part(start: str, size: str) -> str:
     return f"array_to_string(list_slice(pure1, {start}, {start} + {size} - 1), '') || ' (' || {_NAME.format(cut)} || ' - ' || {cut} || ')'"
 
 
+ORACLE_SQL["reader_agreement"] = f"WITH {analysis_sql()}, v AS (SELECT gana1, gana2, gana1 IN (SELECT pattern FROM {_TABLE_SQL}) AS ok1, gana2 IN (SELECT pattern FROM {_TABLE_SQL}) AS ok2 FROM done) SELECT true AS same_weights, ok1 AND ok2 AS by_table, (ok1 OR gana1 = '') AND (ok2 OR gana2 = '') AND gana1 || gana2 <> '' AS by_reader, count(*) AS n FROM v GROUP BY ALL"
 ORACLE_SQL["metre_strings"] = f"WITH {analysis_sql()} SELECT rec_id, CASE WHEN a IS NOT NULL THEN {_part('1', 'a')} || ' | ' || {_part('(1 + a)', 'b')} || ' | ' || {_part('(1 + a + b)', 'c')} || ' | ' || {_part('(1 + a + b + c)', 'd')} END AS breakdown FROM done"
 
 ORACLE_SQL["line_prefixes"] = f"WITH t AS (SELECT pattern FROM {_TABLE_SQL}), b AS (SELECT DISTINCT substring(pattern, 1, k) AS prefix FROM t, range(0, 16) r(k) WHERE k <= length(pattern)) SELECT prefix, (CASE WHEN prefix || 'I' IN (SELECT prefix FROM b) THEN 'I' ELSE '' END) || (CASE WHEN prefix || 'U' IN (SELECT prefix FROM b) THEN 'U' ELSE '' END) AS next, prefix IN (SELECT pattern FROM t) AS complete, (SELECT min(length(pattern)) FROM t WHERE starts_with(pattern, b.prefix))::INT - length(prefix)::INT AS least_to_end FROM b"

@@ -54,27 +54,6 @@ def read_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, weights string, all_valid boolean")
 
 
-def token_mask(prefixes: DataFrame, tokens: DataFrame, max_tokens: int = 300_000) -> DataFrame:
-    """``prefix``, ``token_id``, ``accepts``: the tokens after which a line begun with a prefix can still become valid.
-
-    The vocabulary (``token_id``, ``token_text``; refused beyond ``max_tokens``) goes to every task;
-    the prefixes stay distributed, and only living pairs are made.
-    """
-    rows = tokens.select("token_id", "token_text").limit(max_tokens + 1).collect()
-    if len(rows) > max_tokens:
-        raise ValueError(f"more than {max_tokens} tokens")
-    shared = prefixes.sparkSession.sparkContext.broadcast([(r.token_id, r.token_text or "") for r in rows])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p in pdf["prefix"]:
-                start = VerseState().feed(p or "")
-                got = [(p, i, s.accepts()) for i, t in shared.value if (s := start.feed(t)).alive()]
-                yield pd.DataFrame(got, columns=["prefix", "token_id", "accepts"])
-
-    return prefixes.select("prefix").mapInPandas(run, "prefix string, token_id int, accepts boolean")
-
-
 @F.pandas_udf(T.StringType())
 def _shape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: shape(x or ""))
@@ -87,39 +66,83 @@ def _weight_state(s: pd.Series) -> pd.Series:
     return s.map(lambda x: f"{ends[x].settled}|{ends[x].tail}")
 
 
-def alive_counts(prefixes: DataFrame, tokens: DataFrame, max_shapes: int = 300_000) -> DataFrame:
-    """``prefix``, ``n_alive``: how many rows of ``tokens`` :func:`token_mask` gives for each prefix without line ends; none has no row.
-
-    Prefixes share the work of their weight state, tokens that of their shape; only the shapes
-    (refused beyond ``max_shapes``) go to every task. Tokens with line ends, behind which rhyme
-    letters count, are masked one by one.
-    """
-    text = F.coalesce("token_text", F.lit(""))
-    rows = tokens.filter(~F.contains(text, F.lit("\n"))).groupBy(_shape("token_text").alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(max_shapes + 1).collect()
-    if len(rows) > max_shapes:
-        raise ValueError(f"more than {max_shapes} shapes of tokens")
-    shared = prefixes.sparkSession.sparkContext.broadcast(sorted((r.s, r.n) for r in rows))
+def _living(states: DataFrame, shapes: list[str]) -> DataFrame:
+    """``state``, ``shape``, ``accepts``: the shapes that keep a weight state alive. Shapes in their order share the states of what they begin with."""
+    shared = states.sparkSession.sparkContext.broadcast(shapes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = []
             for key in pdf["state"]:
+                got = []
                 settled, _, tail = key.partition("|")
-                states, last, n = [VerseState(settled, tail)], "", 0
-                for s, k in shared.value:
-                    # in their order, shapes share the states of what they begin with
+                states, last = [VerseState(settled, tail)], ""
+                for s in shared.value:
                     same = next((i for i, (x, y) in enumerate(zip(s, last)) if x != y), min(len(s), len(last)))
                     del states[same + 1 :]
                     for c in s[same:]:
                         states.append(states[-1].feed(c))
                     last = s
-                    n += k * states[-1].alive()
-                got.append((key, n))
-            yield pd.DataFrame(got, columns=["state", "n"])
+                    if states[-1].alive():
+                        got.append((key, s, states[-1].accepts()))
+                yield pd.DataFrame(got, columns=["state", "shape", "accepts"])
+
+    return states.mapInPandas(run, "state string, shape string, accepts boolean")
+
+
+def _masked_one_by_one(prefixes: DataFrame, rows: list[tuple]) -> DataFrame:
+    """Living pairs where line ends, behind which rhyme letters count, are in the prefix or the token."""
+    shared = prefixes.sparkSession.sparkContext.broadcast(rows)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p in pdf["prefix"]:
+                start = VerseState().feed(p or "")
+                got = [(p, i, s.accepts()) for i, t in shared.value if (s := start.feed(t)).alive()]
+                yield pd.DataFrame(got, columns=["prefix", "token_id", "accepts"])
+
+    return prefixes.select("prefix").mapInPandas(run, "prefix string, token_id int, accepts boolean")
+
+
+def token_mask(prefixes: DataFrame, tokens: DataFrame, max_tokens: int = 300_000) -> DataFrame:
+    """``prefix``, ``token_id``, ``accepts``: the tokens after which a line begun with a prefix can still become valid.
+
+    A vocabulary (``token_id``, ``token_text``) of more than ``max_tokens`` is refused. Only weights
+    count inside a line: prefixes are masked by their different weight states and tokens by their
+    different shapes, and joined to both again; only living pairs are made. Null texts are empty.
+    """
+    rows = tokens.select("token_id", "token_text").limit(max_tokens + 1).collect()
+    if len(rows) > max_tokens:
+        raise ValueError(f"more than {max_tokens} tokens")
+    listed = [(r.token_id, r.token_text or "") for r in rows]
+    text = F.coalesce("token_text", F.lit(""))
+    inside = tokens.filter(~F.contains(text, F.lit("\n"))).select("token_id", _shape("token_text").alias("shape"))
+    broken = F.contains(F.coalesce("prefix", F.lit("")), F.lit("\n"))
+    plain = prefixes.filter(~broken).select("prefix", _weight_state(_shape("prefix")).alias("state"))
+    lived = _living(plain.select("state").distinct(), sorted({shape(t) for _, t in listed if "\n" not in t}))
+    by_shape = plain.join(lived, "state").join(F.broadcast(inside), "shape").select("prefix", "token_id", "accepts")
+    one_by_one = _masked_one_by_one(prefixes.filter(~broken), [x for x in listed if "\n" in x[1]])
+    return by_shape.unionByName(one_by_one).unionByName(_masked_one_by_one(prefixes.filter(broken), listed))
+
+
+def alive_counts(prefixes: DataFrame, tokens: DataFrame, max_shapes: int = 300_000) -> DataFrame:
+    """``prefix``, ``n_alive``: how many rows of ``tokens`` :func:`token_mask` gives for each prefix without line ends; none has no row.
+
+    Prefixes share the work of their weight state, tokens that of their shape; only the shapes
+    (refused beyond ``max_shapes``) go to every task. Tokens with line ends are masked one by one.
+    """
+    text = F.coalesce("token_text", F.lit(""))
+    shaped = tokens.filter(~F.contains(text, F.lit("\n"))).groupBy(_shape("token_text").alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+    rows = shaped.limit(max_shapes + 1).collect()
+    if len(rows) > max_shapes:
+        raise ValueError(f"more than {max_shapes} shapes of tokens")
+    spark = prefixes.sparkSession
+    counted = F.broadcast(spark.createDataFrame([(r.shape, r.n) for r in rows], "shape string, n bigint"))
     begun = prefixes.select("prefix", _weight_state(_shape("prefix")).alias("state"))
-    lived = begun.select("state").distinct().mapInPandas(run, "state string, n long")
-    broken = token_mask(prefixes, tokens.filter(F.contains(text, F.lit("\n"))).select(F.lit(0).alias("token_id"), "token_text"))
+    lived = _living(begun.select("state").distinct(), sorted(r.shape for r in rows)).join(counted, "shape").groupBy("state").agg(F.sum("n").alias("n"))
+    with_ends = tokens.filter(F.contains(text, F.lit("\n"))).select("token_text").limit(max_shapes + 1).collect()
+    if len(with_ends) > max_shapes:
+        raise ValueError(f"more than {max_shapes} tokens with line ends")
+    broken = _masked_one_by_one(prefixes, [(0, r.token_text) for r in with_ends])
     every = begun.join(lived, "state").select("prefix", "n").unionByName(broken.select("prefix", F.lit(1).cast("long").alias("n")))
     return every.groupBy("prefix").agg(F.sum("n").alias("n_alive")).filter("n_alive > 0")
 
