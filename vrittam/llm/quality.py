@@ -73,17 +73,26 @@ _STRAY = re.compile("(?<=\ufffd)[ా-్ಾ-್]")
 _WORD_EDGE = ".,?!;:'\"“”‘’()।॥-–—…*[]{}«»"
 
 
+# blanks and characters that show nothing
+_NOTHING = "".join(c for c in map(chr, range(0x10000)) if c.isspace() or unicodedata.category(c) in ("Cf", "Cc")) + "\u034f\ufe0f"
+
+
+def blank(text: str | None) -> bool:
+    """Null, empty, or of blanks and invisible characters only."""
+    return not (text and text.strip(_NOTHING))
+
+
 def body(text: str) -> str:
     """Text without headings at its beginning: ``# key: value`` lines and a first line of up to three words parted by an empty line."""
     at = 0
     while (m := _HEAD.match(text, at)) and len(m.group().split()) <= (12 if m.group().lstrip().startswith("#") else 3):
         at = m.end()
     rest = text[at:]
-    return rest if rest.strip() else text
+    return text if blank(rest) else rest
 
 
 def statistics(text: str) -> list[float]:
-    """Values of :data:`FEATURES` over a whole text, which must not be blank."""
+    """Values of :data:`FEATURES` over a whole text, which must not be blank (see :func:`blank`)."""
     lines = [x for x in (y.strip() for y in _LINES.split(text)) if x]
     flat = text.split()
     n, n_lines, n_words = len(text), max(len(lines), 1), max(len(flat), 1)
@@ -185,23 +194,35 @@ def weak_label(s: list[float]) -> int | None:
 
 
 def structural_junk(text: str, k: int) -> str:
-    """One piece of a text over and over, or a small table of its words, by turns."""
-    w = [x for x in (y.strip(_WORD_EDGE) for y in text.split()) if x][:40] or ["x"]
+    """By turns: one piece of a text over and over, a small table, pairs, a column, a row or a list of its words; half of the last ones behind an opening sentence."""
+    w = [x for x in (y.strip(_WORD_EDGE) for y in text.split()) if x][:60] or ["x"]
     many = 8 + 7 * (k % 9)
-    if k % 4 == 0:
+    word = lambda i: w[(i * 7 + k) % len(w)]
+    kind = k % 8
+    if kind == 0:
         return " ".join([w[0]] * many)
-    if k % 4 == 1:
-        return "\n".join([" ".join([w[k % len(w)]] * 12)] * (1 + many // 12))
-    gap = "\t|,;"[(k // 4) % 4] if k % 3 else "   "
-    rows = [gap.join(w[(r * 5 + c) % len(w)] if (r + c + k) % 3 == 0 else f"{(r * 37 + c * 11 + k) % 997}{'.5' * (c % 2)}" for c in range(3 + k % 4)) for r in range(4 + k % 12)]
-    return "\n".join([" ".join(w[:8]) + "."] * (k % 4 == 3) + rows)
+    if kind == 1:
+        return "\n".join([" ".join([word(0)] * 12)] * (1 + many // 12))
+    if kind in (2, 3):
+        gap = "\t|,;"[(k // 8) % 4] if k % 3 else "   "
+        rows = [gap.join(word(r * 5 + c) if (r + c + k) % 3 == 0 else f"{(r * 37 + c * 11 + k) % 997}{'.5' * (c % 2)}" for c in range(3 + k % 4)) for r in range(4 + k % 12)]
+    elif kind == 4:
+        sign = ":=-"[(k // 8) % 3]
+        rows = [f"{word(3 * r)} {sign} {word(3 * r + 1)}{' ' + word(3 * r + 2) if r % 2 else ''}" for r in range(4 + k % 9)]
+    elif kind == 5:
+        rows = [word(r) for r in range(6 + k % 15)]
+    elif kind == 6:
+        rows = [", ".join(word(r) for r in range(8 + k % 20))]
+    else:
+        rows = [f"{('-', '•', f'{r + 1}.')[(k // 8) % 3]} {word(2 * r)}{' ' + word(2 * r + 1) if r % 2 else ''}" for r in range(4 + k % 12)]
+    return "\n".join([" ".join(w[:9]) + "."] * ((k // 8) % 2) + rows)
 
 
-def fit(texts: list[str]) -> BoostedTrees:
+def fit(texts: list[str], holdout: tuple[tuple[str, int], ...] = HOLDOUT) -> BoostedTrees:
     """Trees from the weakly labelled ones of the texts, calibrated on the hand-checked holdout."""
-    held = [(statistics(body(t)), y) for t, y in HOLDOUT]
+    held = [(statistics(body(t)), y) for t, y in holdout]
     rows = [(s, y) for s in map(statistics, map(body, texts)) if (y := weak_label(s)) is not None]
-    rows += [(statistics(structural_junk(t, k)), 1) for k, t in enumerate(texts[::16])]
+    rows += [(statistics(structural_junk(t, k)), 1) for k, t in enumerate(texts[::8])]
     if len({y for _, y in rows}) < 2:
         rows += held  # a sample of one kind only
     x, y = np.array([s for s, _ in rows]), np.array([k for _, k in rows], dtype=float)
@@ -212,7 +233,7 @@ def fit(texts: list[str]) -> BoostedTrees:
 def text_quality(df: DataFrame, id_col: str, text_col: str, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``id``, the statistics, ``junk_probability`` and ``connected`` of every document.
 
-    Null and blank texts have zero statistics and null for the last two. The sample for the fit is
+    Null and blank texts, and those of invisible characters only, have zero statistics and null for the last two. The sample for the fit is
     chosen by hash of the identifier, ``fit_rows`` rows at most; nothing else depends on it.
     """
     spark = df.sparkSession
@@ -222,7 +243,7 @@ def text_quality(df: DataFrame, id_col: str, text_col: str, fit_rows: int = FIT_
     texts: list[str] = []
     if cut is not None:
         wanted = spark.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("i", df.schema[id_col].dataType)]))
-        texts = [r.t for r in present.join(F.broadcast(wanted), "i", "left_semi").select("t").toLocalIterator() if r.t.strip()]
+        texts = [r.t for r in present.join(F.broadcast(wanted), "i", "left_semi").select("t").toLocalIterator() if not blank(r.t)]
     model = spark.sparkContext.broadcast(fit(texts))
     kind = df.schema[id_col].dataType
     fields = [T.StructField("id", kind)] + [T.StructField(n, T.DoubleType()) for n in STATISTICS] + [T.StructField("junk_probability", T.DoubleType()), T.StructField("connected", T.BooleanType())]
@@ -233,14 +254,14 @@ def text_quality(df: DataFrame, id_col: str, text_col: str, fit_rows: int = FIT_
             if not batch.num_rows:
                 continue
             given = batch.column(1).to_pylist()
-            blank = np.array([not (t and t.strip()) for t in given])
-            main = ["" if b else body(t) for t, b in zip(given, blank)]
-            x = np.array([[0.0] * len(FEATURES) if b else statistics(t) for t, b in zip(main, blank)])
+            none = np.array([blank(t) for t in given])
+            main = ["" if b else body(t) for t, b in zip(given, none)]
+            x = np.array([[0.0] * len(FEATURES) if b else statistics(t) for t, b in zip(main, none)])
             p = m.probability(x)
-            for k in np.flatnonzero([not b and len(a) < len(t) for a, t, b in zip(main, given, blank)]):
+            for k in np.flatnonzero([not b and len(a) < len(t) for a, t, b in zip(main, given, none)]):
                 x[k] = statistics(given[k])  # the published ones are over the whole text
             cols = [batch.column(0)] + [pa.array(x[:, k]) for k in range(len(STATISTICS))]
-            cols += [pa.array(p, mask=blank), pa.array(p < 0.5, mask=blank)]
+            cols += [pa.array(p, mask=none), pa.array(p < 0.5, mask=none)]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
     return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, T.StructType(fields))
