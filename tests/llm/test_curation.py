@@ -180,12 +180,17 @@ def test_splits(spark):
     n = len(got)
     share = {s: sum(r.split == s for r in got.values()) / n for s in splits.SPLITS}
     assert abs(share["train"] - 0.8) < 0.02 and abs(share["val"] - 0.1) < 0.02
-    links = {tuple(r) for r in splits.linked_records(df, "ift_id", "output").collect()}
+    links = {tuple(r) for r in splits.linked_records(df, "ift_id", "output", "profile").collect()}
     first = {}
     for i, o, _ in rows:
         for q in quoted_couplets(o):
             first.setdefault(q, i)
     assert all(got[i].component == a for a, i in links) and got[k + 2].component == 0
+    # labels keep their shares, and every linked record is in the split of its first
+    for label in {r[2] for r in rows}:
+        of = [got[r[0]].split for r in rows if r[2] == label]
+        assert len(of) < 100 or abs(of.count("train") / len(of) - 0.8) < 0.05
+    assert all(got[i].split == got[a].split for a, i in links)
     # one component with most rows is placed whole
     giant = spark.createDataFrame([(i, couplets[0], "a") for i in range(60)] + [(100 + i, couplets[i + 1], "a") for i in range(40)], "ift_id int, output string, profile string")
     res = splits.grouped_splits(giant, "ift_id", "output", "profile", block=10, large=50).collect()

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vrittam.llm.textfold import tight_skeleton, without_ordinary_space
 from vrittam.llm import budget, defects, encode, lookalikes, packing, quality
@@ -108,6 +109,38 @@ def test_budget_of_repeated_poems(spark):
     assert all(0.2 < sum(r.t == odd for r in sample if r.part == p) / n < 0.47 for p, n in ((0, 100), (1, 200)))
 
 
+def test_budget_by_source_and_domain(spark):
+    """Totals by source, language and domain against the tokenizer, where the sources write differently."""
+    rng = random.Random(31)
+    syllables = {"one": "క కా కి ల లా త".split(), "two": "గ్మ త్ర్య ష్ట ప్రా క్షీ న్ద్ర".split()}
+    rows = []
+    for k in range(3000):
+        source = ("one", "two")[k % 2]
+        kannada_text = k % 5 == 0
+        text = "\n".join(" ".join("".join(rng.choice(syllables[source]) for _ in range(rng.randint(2, 5))) for _ in range(4)) for _ in range(2))
+        rows.append((k, kannada(text) if kannada_text else text, source, k % 3 == 0))
+    rows += [(9000 + k, "the king is in the hall and sings", "one", None) for k in range(50)]
+    df = spark.createDataFrame(rows, "rec_id int, poem string, source string, is_synthetic_data boolean")
+    works = spark.createDataFrame([("one", "epic"), ("two", "song")], "work string, genre string")
+    out = budget.token_budget(df, works, fit_texts=400, holdout_texts=400).collect()
+    count = encode.encoder().count
+    for source, domain in (("one", "epic"), ("two", "song")):
+        told = sum(r.n_tokens for r in out if r.source == source)
+        assert told == sum(r.n_tokens for r in out if r.domain == domain)
+        assert abs(told / sum(count(r[1]) for r in rows if r[2] == source) - 1) < 0.02
+    assert {r.language for r in out} == {"te", "kn", "en"}
+    english = sum(r.n_tokens for r in out if r.language == "en")
+    assert english == pytest.approx(50 * count("the king is in the hall and sings"), abs=2)
+
+
+def test_packing_is_spread(spark):
+    """Blocks are dealt to a fixed number of tasks, though their rows are few."""
+    items = spark.range(3000).selectExpr("id", "cast(pmod(id * 7919, 3000) as int) as n")
+    parts = packing.pack(items, "id", "n", windows=8).select("container", F.spark_partition_id().alias("p")).distinct()
+    assert parts.select("p").distinct().count() >= 3
+    assert packing.tasks(1, 200) == 1 and packing.tasks(160, 4) == 10 and packing.tasks(10**9, 4) == packing.MOST_TASKS
+
+
 def test_packing(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice([5, 80, 300, 700, 1500, 4096, 4097, 9000])) for i in range(800)] + [(900, None), (901, 0), (902, -3), (5, 12), (5, 12)]

@@ -35,11 +35,16 @@ def features(text: Column) -> dict[str, Column]:
     return out | {name: _count(t, span) for name, span in SCRIPTS.items()}
 
 
-def language(f: dict[str, Column]) -> Column:
-    """Language by the script of most letters: te, kn, te-Latn (accented or plain Latin letters); ``und`` without letters."""
+# Words that two of tell English from romanised Telugu.
+ENGLISH = "the|of|and|is|are|was|to|in|that|with|for|his|her|he|she|it|on"
+
+
+def language(f: dict[str, Column], text: Column) -> Column:
+    """Language by the script of most letters: te, kn, and of Latin letters en (two English function words, no accents) or te-Latn; ``und`` without letters."""
+    english = (f["accented"] == 0) & F.coalesce(text, F.lit("")).rlike(rf"(?is)\b({ENGLISH})\b.*\b({ENGLISH})\b")
     latin = f["latin"] + f["accented"]
     top = F.greatest(f["telugu"], f["kannada"], latin)
-    return F.when(top == 0, "und").when(f["telugu"] == top, "te").when(f["kannada"] == top, "kn").otherwise("te-Latn")
+    return F.when(top == 0, "und").when(f["telugu"] == top, "te").when(f["kannada"] == top, "kn").when(english, "en").otherwise("te-Latn")
 
 
 def _tokens(tokenizer: str, folder: str):
@@ -80,7 +85,7 @@ def estimate(df: DataFrame, text_col: str, tokenizer: str = DEFAULT_TOKENIZER, f
     """
     f = features(F.col(text_col))
     rows = df.select("*", *[v.alias(f"_f_{k}") for k, v in f.items()])
-    rows = rows.withColumn("_language", language({k: F.col(f"_f_{k}") for k in f}))
+    rows = rows.withColumn("_language", language({k: F.col(f"_f_{k}") for k in f}, F.col(text_col)))
     cols = [f"_f_{k}" for k in FEATURES]
     texts = rows.filter(F.col("_f_bytes") > 0).select(F.col(text_col).alias("t"), "_language", F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]).alias("h"), *cols)
     counts = {r["_language"]: r["n"] for r in texts.groupBy("_language").agg(F.count(F.lit(1)).alias("n")).collect()}

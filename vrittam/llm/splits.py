@@ -61,11 +61,6 @@ def components_of(df: DataFrame, id_col: str, text_col: str, extract: Callable[[
     return rows.select("id").join(of, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def linked_records(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``first_id``, ``id`` of every record linked with a record of smaller identifier."""
-    return components_of(df, id_col, text_col).filter("component < id").select(F.col("component").alias("first_id"), "id")
-
-
 def _anneal(sizes: np.ndarray, labels: np.ndarray, target: np.ndarray, start: np.ndarray, steps: int, seed: int) -> tuple[np.ndarray, float]:
     """Move or exchange components between splits; returns the best assignment met and its cost.
 
@@ -173,3 +168,9 @@ def grouped_splits(df: DataFrame, id_col: str, text_col: str, label_col: str, sh
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("k") + 1)
     hot = hot_keys(stats, ["component"], "size")
     return join_hot(comps, chosen, ["component"], hot).select("id", "component", name.alias("split"))
+
+
+def linked_records(df: DataFrame, id_col: str, text_col: str, label_col: str, **options) -> DataFrame:
+    """``first_id``, ``id`` of every record that :func:`grouped_splits` puts in one split with a record of smaller identifier because they belong together."""
+    out = grouped_splits(df, id_col, text_col, label_col, **options)
+    return out.filter(F.col("component") < F.col("id")).filter("split is not null").select(F.col("component").alias("first_id"), "id")
