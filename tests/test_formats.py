@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from vrittam.functions import cleaning, extract, scripts
+from vrittam.functions import cleaning, extract, letters, scripts
 from vrittam.functions.names import clean_source
 from vrittam.operators import curate, lines
 from vrittam.sources import formats, pages
@@ -51,6 +51,15 @@ def test_pages(spark):
     df = spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "page_id int, html string")
     got = [(r.id, r.title, r.no, r.heading, r.text) for r in pages.sections(df, "page_id", "html").orderBy("no").collect()]
     assert got == [(1, "T", 1, "One", "అ ఆ\nఇ ఈ"), (1, "T", 2, "Two", "text & more")]
+    assert pages.parse_page(None) == ("", []) and pages.parse_notes("") == []
+    chain = '<title>T</title><div>menu</div><div class="a mw-parser-output">{}</div><p>after</p>'
+    assert pages.parse_page(chain.format("<h2>Contents</h2><h3>One</h3><p>x</p><h3>Two</h3><div class='poem'>a<br>b</div>")) == ("T", [("One", "x"), ("Two", "a\nb")])
+    centred = '<div class="tiInherit" style="text-align: center"><p>{}</p></div>'
+    assert pages.parse_page(chain.format(centred.format("Work") + centred.format("Part") + "<p>x</p>"), names=("Work",))[1] == [("", "Work"), ("Part", "x")]
+    assert pages.parse_page(chain.format("<p><b>Bold</b></p><p>x</p>"))[1] == [("Bold", "x")]
+    assert pages.parse_page(chain.format("<p>only</p>"))[1] == [("T", "only")] and pages.parse_page("<p>bare</p>")[1] == [("", "bare")]
+    noted = spark.createDataFrame([(1, chain.format('<div class="fnlist"><p>0<br>↑ a<br>b</p><p>↑c</p></div>')), (2, None), (3, "<p>x</p>")], "page_id int, html string").withColumn("no", F.lit(0))
+    assert [tuple(r) for r in pages.notes(noted, "page_id", "html").orderBy("no").collect()] == [(1, 1, "a b"), (1, 2, "c")]
     assert one(spark, pages.plain(F.lit('a<br>b<span class="pagenum">3</span><b>c</b>'))) == "a\nbc"
 
 
@@ -111,3 +120,13 @@ def test_quotas_and_choice(spark):
     assert sizes == {"train": 1600, "val": 200, "test": 200}
     first = curate.first_wins(spark.createDataFrame([(1, "a", 2), (2, "a", 1), (3, None, 1), (4, None, 1)], "id int, k string, o int"), "k", "o", "id")
     assert {r.id for r in first.collect()} == {2, 3, 4}
+
+
+def test_salvage_and_results(spark, tmp_path):
+    text = 'x {"a": {"b": "}", "c": [1]}, "d": {}} y {"e": 1} z {"f": {"g": 2}'
+    assert one(spark, letters.salvaged_objects(F.lit(text))) == ['{"a": {"b": "}", "c": [1]}, "d": {}}', '{"e": 1}', '{"g": 2}']
+    df = spark.createDataFrame([("train", "x"), ("train", "y"), ("test", None)], "split string, p string")
+    formats.save_results(df, str(tmp_path / "r"), level="2")
+    meta, back = formats.load_results(spark, str(tmp_path / "r"))
+    assert meta == {"level": "2"} and sorted(back.collect(), key=str) == sorted(df.collect(), key=str)
+    assert {(r.split, r.n): r.pct for r in formats.split_stats(df).collect()} == {("train", 2): 66.6667, ("test", 1): 33.3333}

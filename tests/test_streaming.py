@@ -91,3 +91,25 @@ def test_token_candidates_take_whole_words(spark, tmp_path):
     got = {r.prefix: r.n_alive for r in token_candidates(spark, str(tmp_path)).collect()}
     want = {p: sum(VerseState().feed(p + t).alive() for t in ("సత్యము", "పాలు")) for p in ("సత్యధర్మము", "మా")}
     assert got == {p: n for p, n in want.items() if n} and "సత్యధర్మము" in got
+
+
+def test_alliteration_while_reading(spark):
+    """A line whose third foot begins like the first stays alive at every letter; one that cannot any more does not come back."""
+    from vrittam.streaming.reader import VerseState
+    from vrittam.streaming.streams import masked_scores, prefix_states
+
+    for couplet in COUPLETS:
+        line = couplet.split("\n")[0]
+        assert all(VerseState().feed(line[:k]).yati_alive() for k in range(len(line) + 1))
+        first = line[0]
+        other = next(c for c in "కచటతపమ" if c != first and not any(c in g and first in g for g in ("కఖగఘ", "చఛజఝశషస", "టఠడఢ", "తథదధ", "పఫబభవ")))
+        words = line.split(" ")
+        bad = " ".join([words[0], words[1], other + words[2][1:], words[3]]) + " కకక"
+        seen = [VerseState().feed(bad[:k]).yati_alive() for k in range(len(bad) + 1)]
+        assert seen == sorted(seen, reverse=True)
+    df = spark.createDataFrame([(1, COUPLETS[0]), (2, None), (3, "".join(chr(ord(c) + 0x80) if "\u0c00" <= c <= "\u0c7f" else c for c in COUPLETS[0]))], "id int, text string")
+    got = {r.id: r for r in prefix_states(df, "id", "text").collect()}
+    assert got[1].line_no == 2 and got[1].accepts and got[2].weights == "" and got[2].alive and got[3].weights == got[1].weights
+    scores = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.25), ("a", 9, 0.1), ("b", 1, 0.75)], "prefix string, token_id int, score double")
+    mask = spark.createDataFrame([("a", 2, True)], "prefix string, token_id int, accepts boolean")
+    assert {(r.prefix, r.token_id): r.score for r in masked_scores(scores, mask, end_token=9).collect()} == {("a", 1): float("-inf"), ("a", 2): 0.25, ("a", 9): 0.1, ("b", 1): 0.75}

@@ -99,8 +99,16 @@ def pairs(lines: Column) -> Column:
 
 
 def salvaged_objects(text: Column) -> Column:
-    """JSON objects without nested ones written somewhere in free text, as strings."""
-    return F.regexp_extract_all(text, F.lit(r"\{[^{}]*\}"), F.lit(0))
+    """JSON objects written somewhere in free text, as strings, with up to two levels of objects inside; braces in strings of theirs do not count.
+
+    An object that is not closed is left out, the objects inside it are found.
+    """
+    string = r'"(?:[^"\\]|\\.)*+"'
+    inner = rf'(?:[^{{}}"]|{string})*+'
+    one = rf"\{{{inner}\}}"
+    two = rf'\{{(?:[^{{}}"]|{string}|{one})*+\}}'
+    three = rf'\{{(?:[^{{}}"]|{string}|{two})*+\}}'
+    return F.regexp_extract_all(text, F.lit(three), F.lit(0))
 
 
 def prompt_and_poem(text: Column) -> Column:

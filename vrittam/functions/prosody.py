@@ -19,6 +19,11 @@ def lines(poem: Column) -> Column:
     return F.filter(F.transform(F.split(poem, "\n"), strip), lambda x: x != "")
 
 
+def normalised(poem: Column) -> Column:
+    """Text with its lines stripped; blank lines inside stay, those at the ends go."""
+    return strip(F.array_join(F.transform(F.split(poem, "\n"), strip), "\n"))
+
+
 _C, _V, _M, _D, _H = A.span(A.CONSONANTS), A.span(A.VOWELS), A.span(A.SIGNS), A.span(A.DIACRITICS), A.VIRAMA
 SYLLABLE = (
     f"(?:[{_C}](?:{_H}[{_C}])*+{_H}?+[{_M}{_D}]*+|[{_V}][{_D}]?+|[^{A.SEPARATOR_CLASS}])(?:[{_C}]{_H}(?![{_C}{_M}{_D}]))?+"

@@ -116,3 +116,12 @@ def compared_words(df: DataFrame, a: str, b: str) -> DataFrame:
             "longest_run": longest_run(F.col("_w1"), F.col("_w2")).cast("int"),
         }
     ).drop("_c1", "_c2", "_w1", "_w2")
+
+
+def analyse_lines(df: DataFrame, line: str, scope: str = "word") -> DataFrame:
+    """``df`` with ``gana``, ``feet``, ``yati`` of single lines: the analysis of a line by itself. Null and blank lines have nulls for the last two."""
+    df = df.withColumn("_all", P.syllables(F.col(line)))
+    df = df.withColumns({"_kept": P.weighed(F.col("_all"), scope), "_syl": P.pure(F.col("_all"))}).withColumn("gana", P.weigh(F.col("_kept"), scope))
+    df = df.withColumn("feet", P.partition("gana"))
+    df = df.withColumns({"_x": F.get(F.col("_syl"), F.lit(0)), "_y": F.get(F.col("_syl"), F.col("feet.a") + F.col("feet.b"))})
+    return df.withColumn("yati", P.alliteration(F.col("_x"), F.col("_y"))).drop("_all", "_kept", "_syl", "_x", "_y")

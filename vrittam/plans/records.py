@@ -14,6 +14,8 @@ from ..functions import prosody as P
 from ..functions.names import clean_source
 from ..operators import filters, instructions, lines, metre, profiles
 from ..scratch import table
+from ..sources import formats, pages
+from ..streaming.streams import prefix_states
 from .verse import _BASE, _DOUBLE, _SYL_ROWS, CLEAN_SOURCE_SQL, POEMS, _syllables_sql, _weights_sql, analysis_sql, lines_sql
 
 SEED = 11
@@ -218,12 +220,43 @@ def word_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("rec_id", F.array_join("common", ",").alias("common"), F.round("class_similarity", 6).alias("class_similarity"), F.round("weight_similarity", 6).alias("weight_similarity"), F.col("longest_run").cast("bigint").alias("longest_run"))
 
 
+def line_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, valid feet and alliteration of every line of the couplets by itself."""
+    two = metre.with_lines(_poems(spark, sf_dir).select("rec_id", "poem"), "poem").filter("line2 is not null")
+    one = two.select("rec_id", F.posexplode(F.array("line1", "line2")).alias("k", "line"))
+    return metre.analyse_lines(one, "line").select("rec_id", (F.col("k") + 1).alias("k"), "gana", F.col("feet.valid").alias("valid"), "yati")
+
+
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as pages and read back: heading and text of their sections."""
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    made = d.select("doc_id", pages.rendered(F.coalesce("source", F.lit("")), F.coalesce("genre", F.lit("none")), F.col("text")).alias("html"))
+    return pages.sections(made, "doc_id", "html").select(F.col("id").alias("doc_id"), "no", "heading", digest(F.col("text")).alias("text"))
+
+
+def normalised_poems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poems with stripped lines."""
+    return _poems(spark, sf_dir).filter("poem is not null").select("rec_id", digest(P.normalised(F.col("poem"))).alias("poem"))
+
+
+def split_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction records by split and profile, and their share."""
+    return formats.split_stats(table(spark, sf_dir, "ift_data"), "profile_id")
+
+
+def begun_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of the incremental reader behind the whole poems: lines finished, whether the last one can be and is valid."""
+    p = _poems(spark, sf_dir).filter("poem is not null").select("rec_id", F.array_join(P.lines(F.col("poem")), "\n").alias("t"))
+    s = prefix_states(p, "rec_id", "t")
+    return s.groupBy("line_no", "alive", "accepts").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         field_coverage, profile_feasibility, profile_draws, profile_rows, tiered_profiles, chat_records, analysis_texts, corrupted_couplets, cleaned_documents, line_zones, section_reasons, score_rejects, couplet_errors,
         kept_sources, trained_splits, left_to_fetch, results_with_sidecar, benchmark_methods, code_points, script_words, letter_classes, syllable_places, text_profiles, agreement_texts, transliteration_average,
-        converted_glosses, judge_requests, rolling_ids, word_comparison,
+        converted_glosses, judge_requests, rolling_ids, word_comparison, line_analysis, page_sections, normalised_poems, split_shares, begun_lines,
     )
 }
 
@@ -325,4 +358,8 @@ ORACLE_SQL: dict[str, str] = {
     "converted_glosses": f"SELECT rec_id, cardinality(word_to_word_meaning)::BIGINT AS n, md5(array_to_string(list_sort(list_transform(map_entries(word_to_word_meaning), lambda e: translate(e.key, '{_TO_KN[0]}', '{_TO_KN[1]}') || '=' || translate(e.value, '{_TO_KN[0]}', '{_TO_KN[1]}'))), ';')) AS entries FROM {POEMS} WHERE word_to_word_meaning IS NOT NULL",
     "judge_requests": f"SELECT rec_id, md5(concat_ws({_NL} || {_NL}, 'Judge the couplet below from 1 to 5 for each of: metre, rhyme, alliteration, meaning, language.', nullif(concat_ws({_NL}, 'source: ' || source, 'meaning: ' || telugu_meaning), ''), 'Poem:' || {_NL} || poem)) AS request, md5('<start_of_turn>user' || {_NL} || coalesce(prompt, '') || '<end_of_turn>' || {_NL} || '<start_of_turn>model' || {_NL} || poem || '<end_of_turn>') AS turns FROM {POEMS} WHERE poem IS NOT NULL",
     "rolling_ids": f"SELECT rec_id, 'id-' || lower(to_hex(CASE WHEN poem = '' THEN 0 ELSE list_reduce(list_transform(string_split(poem, ''), lambda c: unicode(c)::BIGINT), lambda a, c: (a * 31 + c) % 4294967296) END)) AS uid FROM {POEMS} WHERE poem IS NOT NULL",
+    "line_analysis": f"WITH {analysis_sql()} SELECT rec_id, k, gana, valid, yati FROM kinds",
+    "page_sections": f"SELECT doc_id, 1 AS no, coalesce(genre, 'none') AS heading, md5(array_to_string(list_filter(list_transform(string_split(text, {_NL}), lambda l: {_STRIP('l')}), lambda l: l <> ''), {_NL})) AS text FROM documents WHERE text IS NOT NULL",
+    "normalised_poems": f"SELECT rec_id, md5({_STRIP(f'array_to_string(list_transform(string_split(poem, {_NL}), lambda l: ' + _STRIP('l') + f'), {_NL})')}) AS poem FROM {POEMS} WHERE poem IS NOT NULL",
+    "split_shares": "SELECT split, profile_id, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM ift_data), 4) AS pct FROM ift_data GROUP BY ALL",
 }

@@ -72,3 +72,22 @@ def with_header(title: Column, headers: Column, body: Column) -> Column:
     """Text of a chapter file: ``# key: value`` lines, an empty line, the body."""
     lines = F.transform(F.map_entries(headers), lambda e: F.concat(F.lit("# "), e["key"], F.lit(": "), e["value"]))
     return F.concat_ws("\n", F.concat(F.lit("# "), title), F.array_join(lines, "\n"), F.lit(""), body)
+
+
+def split_stats(df: DataFrame, *groups: str) -> DataFrame:
+    """Records by split and the other columns given, with the share of each split in all."""
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    n = df.groupBy("split", *groups).agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(total)).select("split", *groups, "n", F.round(F.col("n") * 100.0 / F.col("_total"), 4).alias("pct"))
+
+
+def save_results(df: DataFrame, path: str, **meta: str) -> None:
+    """Results as parquet beside one JSON line of what is known about them."""
+    df.write.mode("overwrite").parquet(f"{path}/results")
+    df.sparkSession.createDataFrame([(meta,)], "meta map<string,string>").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def load_results(spark: SparkSession, path: str) -> tuple[dict[str, str], DataFrame]:
+    """What :func:`save_results` wrote."""
+    row = spark.read.schema("meta map<string,string>").json(f"{path}/meta").first()
+    return dict(row.meta or {}) if row else {}, spark.read.parquet(f"{path}/results")

@@ -30,6 +30,21 @@ def tables() -> tuple[frozenset[str], frozenset[str]]:
     return full, frozenset(p[:k] for p in full for k in range(len(p) + 1))
 
 
+@lru_cache(maxsize=1)
+def third_places() -> dict[str, frozenset[int]]:
+    """Beginning of a valid line to the places, from 0, at which its third foot may begin."""
+    out: dict[str, set[int]] = {}
+    for p, a, b, *_ in A.line_patterns():
+        for k in range(len(p) + 1):
+            out.setdefault(p[:k], set()).add(len(a) + len(b))
+    return {k: frozenset(v) for k, v in out.items()}
+
+
+def agree(a: str, b: str) -> bool:
+    """Two letters are equal or of one class of alliteration."""
+    return a == b or any(a in group and b in group for group in A.ALLITERATION)
+
+
 class _Shapes(dict):
     """Translation table: a character to the first one of the same part in syllables and weights, others to ``x``."""
 
@@ -64,6 +79,7 @@ class VerseState:
     second: str = ""  # rhyme letter of the line's second syllable, once settled
     lines: tuple[str, ...] = ()  # weights of the finished lines
     rhymes: tuple[str, ...] = ()  # their rhyme letters
+    firsts: str = ""  # first letters of the settled syllables of the current line
 
     def _weights(self, tail: str) -> tuple[list[str], list[str]]:
         """Syllables of the tail and their weights; a space ends the look-ahead."""
@@ -96,12 +112,12 @@ class VerseState:
         second = self.second
         if self.seen == 1:
             second = syllable[0].translate(_RHYME) if syllable[0] in A.CONSONANTS else "-"
-        return replace(self, settled=self.settled + weight, tail=rest, seen=self.seen + 1, second=second)
+        return replace(self, settled=self.settled + weight, tail=rest, seen=self.seen + 1, second=second, firsts=self.firsts + syllable[0])
 
     def _end_line(self) -> VerseState:
         line = self.line()
         if not line:
-            return replace(self, settled="", tail="", seen=0, second="")
+            return replace(self, settled="", tail="", seen=0, second="", firsts="")
         state = self
         for s, w in zip(*self._weights(self.tail)):
             state = state._settle(s, w, "")
@@ -129,15 +145,26 @@ class VerseState:
     def rhyme_alive(self) -> bool:
         return not (self.rhymes and self.second) or self.second == self.rhymes[0] != "-"
 
+    def yati_alive(self) -> bool:
+        """The first letters of feet one and three agree, or may still: somewhere the third foot can begin there is one that does.
+
+        The third foot begins at the places at which it does in the valid lines that go on from the
+        settled weights; letters agree if they are equal or of one class of alliteration.
+        """
+        places = third_places().get(self.settled, frozenset())
+        if not places or any(k >= len(self.firsts) for k in places):
+            return True
+        return any(agree(self.firsts[0], self.firsts[k]) for k in places)
+
     def accepts(self) -> bool:
         """The current line is a valid one."""
         return self.line() in tables()[0]
 
     def to_row(self) -> tuple:
-        return (self.settled, self.tail, self.seen, self.second, "|".join(self.lines), "|".join(self.rhymes))
+        return (self.settled, self.tail, self.seen, self.second, "|".join(self.lines), "|".join(self.rhymes), self.firsts)
 
     @staticmethod
     def from_row(row: tuple) -> VerseState:
-        settled, tail, seen, second, lines, rhymes = row
+        settled, tail, seen, second, lines, rhymes, firsts = row
         split = lambda x: tuple(x.split("|")) if x else ()
-        return VerseState(settled, tail, seen, second, split(lines), split(rhymes))
+        return VerseState(settled, tail, seen, second, split(lines), split(rhymes), firsts)

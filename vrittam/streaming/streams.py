@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 from .reader import VerseState, shape
 
-STATE = "settled string, tail string, seen int, second string, lines string, rhymes string"
+STATE = "settled string, tail string, seen int, second string, lines string, rhymes string, firsts string"
+#: Kannada letters to the Telugu ones at the same places of their block.
+KANNADA = {cp: cp - 0x80 for cp in range(0xC80, 0xD00)}
 OUT = "stream_id string, seq bigint, line_no int, weights string, alive boolean, accepts boolean"
 
 
@@ -40,7 +42,7 @@ def read_stream(chunks: DataFrame) -> DataFrame:
 
 
 def read_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Batch form over whole texts: ``id``, weights of the finished lines joined by ``|``, and whether all are valid. Narrow."""
+    """Batch form over whole texts: ``id``, weights of the finished lines joined by ``|``, and whether all are valid. Kannada letters are read as the Telugu ones at their places. Narrow."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,7 +50,7 @@ def read_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         full = tables()[0]
         for pdf in batches:
-            ends = [VerseState().feed((t or "") + "\n").lines for t in pdf["t"]]
+            ends = [VerseState().feed((t or "").translate(KANNADA) + "\n").lines for t in pdf["t"]]
             yield pd.DataFrame({"id": pdf["i"], "weights": ["|".join(x) for x in ends], "all_valid": [bool(x) and all(w in full for w in x) for x in ends]})
 
     return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, weights string, all_valid boolean")
@@ -150,3 +152,34 @@ def alive_counts(prefixes: DataFrame, tokens: DataFrame, max_shapes: int = 300_0
 def script_tokens(tokens: DataFrame) -> DataFrame:
     """Tokens of Telugu letters, blanks and colons only."""
     return tokens.filter(F.col("token_text").rlike(r"^[\x{0C00}-\x{0C7F} \n:]+$"))
+
+
+def prefix_states(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``line_no``, ``weights``, ``alive``, ``yati_alive``, ``accepts``: the state behind every text, read from its beginning. Narrow.
+
+    Null texts are empty.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            s = [VerseState().feed((t or "").translate(KANNADA)) for t in pdf["t"]]
+            yield pd.DataFrame({"id": pdf["i"], "line_no": [len(x.lines) + 1 for x in s], "weights": [x.line() for x in s], "alive": [x.alive() for x in s], "yati_alive": [x.yati_alive() for x in s], "accepts": [x.accepts() for x in s]})
+
+    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, line_no int, weights string, alive boolean, yati_alive boolean, accepts boolean")
+
+
+def masked_scores(scores: DataFrame, mask: DataFrame, end_token: int | None = None) -> DataFrame:
+    """``scores`` (``prefix``, ``token_id``, ``score``) with minus infinity for the tokens that the mask of a prefix lacks.
+
+    A prefix of which no scored token is in the mask keeps its scores. ``end_token`` keeps its score
+    behind prefixes with a token that completes the line.
+    """
+    living = mask.select("prefix", "token_id").distinct().withColumn("_in", F.lit(True))
+    got = scores.join(living, ["prefix", "token_id"], "left")
+    if end_token is not None:
+        done = mask.filter("accepts").select("prefix").distinct().withColumn("_done", F.lit(True))
+        got = got.join(done, "prefix", "left").withColumn("_in", F.when((F.col("token_id") == end_token) & F.col("_done"), True).otherwise(F.col("_in"))).drop("_done")
+    some = got.groupBy("prefix").agg(F.max(F.coalesce("_in", F.lit(False))).alias("_some"))
+    got = got.join(some, "prefix")
+    return got.withColumn("score", F.when(F.coalesce("_in", F.lit(False)) | ~F.col("_some"), F.col("score")).otherwise(F.lit(float("-inf")))).drop("_in", "_some")
