@@ -178,27 +178,27 @@ class Judge:
         if not said and "\ufffd" not in text:
             return "empty"
         asked = self.prompt(prompt or "")
+        refuses = bool(REFUSALS.search(text))
         units = []  # (text, language or None for what is no verse, complete)
         for line in lines:
-            units += self._parts(line, asked.grams)
+            units += self._parts(line, asked.grams, refuses)
         at = next((i for i in range(len(units) - 1) if units[i][1] == units[i + 1][1] == asked.want and units[i][2] and units[i + 1][2]), None)
         if at is not None:
             return self._after(units, at + 2)
-        if REFUSALS.search(text):
+        if refuses:
             return "refusal"
         if _copied(said, asked.grams):
             return "copy"
         return self._other(lines, units, asked.want)
 
-    def _parts(self, line: str, p_grams: set[str]) -> list[tuple[str, str | None, bool]]:
+    def _parts(self, line: str, p_grams: set[str], refuses: bool) -> list[tuple[str, str | None, bool]]:
         """(text, language or None, complete) of the verse lines written in one line of text, or of its prose."""
         body = line.strip("\"'“”‘’«»[]() ")
         out = []
-        pieces = [x for x in _LINE_SIGNS.split(body) if words(x)]
-        if len(pieces) > 1 and not all(2 < len(words(x)) < 7 for x in pieces):
-            pieces = [body]
-        for piece in pieces:
-            w = words(piece)
+        pieces = [(x, w) for x in _LINE_SIGNS.split(body) if (w := words(x))]
+        if len(pieces) > 1 and not all(2 < len(w) < 7 for _, w in pieces):
+            pieces = [(body, words(body))]
+        for piece, w in pieces:
             if all(x.lower() in LABEL_WORDS for x in w):
                 continue
             language = self.languages.best(w)
@@ -212,7 +212,7 @@ class Judge:
                 or (piece.rstrip().endswith(":") and not metrical)
                 or PROSE_LABEL.match(piece)
                 or _INNER_STOP.search(piece)
-                or REFUSALS.search(piece)
+                or (refuses and REFUSALS.search(piece))
                 or _copied(w, p_grams)
             ):
                 out.append((piece, None, False))
@@ -258,8 +258,15 @@ def _grams(text: str) -> list[str]:
 
 
 def _copied(words_: list[str], p_grams: set[str]) -> bool:
+    """At least :data:`COPIED` of the n-grams of the words are in the prompt."""
     g = _grams(" ".join(words_)) if p_grams and words_ else ()
-    return bool(g) and sum(x in p_grams for x in g) >= COPIED * len(g)
+    left = len(g) - COPIED * len(g)
+    for x in g:
+        if x not in p_grams:
+            left -= 1
+            if left < 0:
+                return False
+    return bool(g)
 
 
 def _cuts(text: str, n: int) -> list[str]:
