@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Groups that a stratified sample may have; their quotas are made on the driver.
+MOST_GROUPS = 100_000
+
+
 def hashed(seed: int, *ids: Column) -> Column:
     """Order of a seeded shuffle: the same in any engine that knows MD5."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[x.cast("string") for x in ids]))
@@ -47,10 +51,12 @@ def quotas(counts: dict, total: int) -> dict:
 def stratified(df: DataFrame, group: str, id_col: str, total: int, seed: int) -> DataFrame:
     """Sample of ``total`` rows, as equal over the groups as their sizes allow.
 
-    The group sizes (few) are counted first. A hash threshold generous enough for each quota thins
+    The group sizes are counted first; more than :data:`MOST_GROUPS` groups are refused. A hash threshold generous enough for each quota thins
     the rows before they are ranked, so a group is never sorted whole.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(group).count().collect() if r[0] is not None}
+    counts = {r[0]: r[1] for r in df.groupBy(group).count().limit(MOST_GROUPS + 2).collect() if r[0] is not None}
+    if len(counts) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
     want = quotas(counts, total)
     spark = df.sparkSession
     q = F.broadcast(spark.createDataFrame([(g, n, counts[g]) for g, n in want.items()], f"{group} string, _quota bigint, _size bigint"))

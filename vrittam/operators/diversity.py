@@ -75,11 +75,13 @@ def grouped_mattr(df: DataFrame, id_col: str, text_col: str, window: int = 50) -
 
     ordered = materialise(ordered.select("part", "first", "n"), "types")
     sums = ordered.groupBy("part").agg(F.sum("n").alias("s"))
-    before = sums.alias("a").join(sums.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.s"), F.lit(0)).alias("before"))
+    # a row per partition: few enough for one task
+    order = Window.orderBy("part")
+    before = sums.select("part", F.coalesce(F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
     run = F.sum("n").over(Window.partitionBy("part").orderBy("first").rowsBetween(Window.unboundedPreceding, 0))
-    border = ordered.withColumn("run", run).join(F.broadcast(before), "part").select((F.col("before") + F.col("run")).alias("b"))
-    total = sums.agg(F.sum("s").alias("n"))
+    border = ordered.withColumn("run", run).drop("n").join(F.broadcast(before), "part").select((F.col("before") + F.col("run")).alias("b"), "n")
     held = F.least(F.col("b"), F.lit(window - 1), F.col("n") - F.col("b"), F.col("n") - window + 1)
-    body = border.crossJoin(F.broadcast(total)).filter("b < n").agg(F.coalesce(F.sum(held), F.lit(0)).alias("held"), F.count(F.lit(1)).alias("borders"))
+    inside = F.col("b") < F.col("n")
+    body = border.agg(F.coalesce(F.sum(F.when(inside, held)), F.lit(0)).alias("held"), F.count_if(inside).alias("borders"), F.max("n").alias("n"))
     wins = F.col("n") - window + 1
-    return total.filter("n > 0").join(F.broadcast(body), how="cross").select(F.when(F.col("n") <= window, (F.col("borders") + 1) / F.col("n")).otherwise((wins + F.col("held")) / (wins * F.lit(float(window)))).alias("mattr"))
+    return body.filter("n > 0").select(F.when(F.col("n") <= window, (F.col("borders") + 1) / F.col("n")).otherwise((wins + F.col("held")) / (wins * F.lit(float(window)))).alias("mattr"))

@@ -12,6 +12,7 @@ from ..functions import cleaning, scripts
 from ..functions.names import clean_source
 from ..functions.prosody import strip
 from ..operators import curate, diversity, lines
+from ..operators.hotkeys import small
 from ..scratch import table
 from .verse import CLEAN_SOURCE_SQL, POEMS, analysis_sql
 
@@ -193,7 +194,7 @@ def profile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _t(spark, sf_dir, "ift_data", "profile_id", "is_synthetic").groupBy("profile_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_synthetic").alias("n_synthetic"))
     total = n.agg(F.sum("n").alias("total"))
     planned = _t(spark, sf_dir, "profiles", "profile_id", "weight")
-    return n.join(F.broadcast(planned), "profile_id").crossJoin(F.broadcast(total)).select("profile_id", "n", "n_synthetic", F.round(F.col("n") / F.col("total"), 6).alias("share"), F.col("weight").alias("planned"))
+    return n.join(small(planned), "profile_id").crossJoin(F.broadcast(total)).select("profile_id", "n", "n_synthetic", F.round(F.col("n") / F.col("total"), 6).alias("share"), F.col("weight").alias("planned"))
 
 
 def profile_choice(spark: SparkSession, sf_dir: str) -> DataFrame:

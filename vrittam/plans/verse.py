@@ -100,17 +100,18 @@ def alliteration_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def level1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metre level: analysed records, errors (fewer than two lines), averages and pass rates; errors are not averaged."""
-    poems = _poems(spark, sf_dir)
-    got = metre.analyse(poems, "poem").agg(
-        F.count(F.lit(1)).alias("n_analysed"),
+    got = metre.analysed(_poems(spark, sf_dir), "poem")
+    fine = F.col("error").isNull()
+    return got.agg(
+        F.count(F.lit(1)).alias("n_records"),
+        F.count_if(fine).alias("n_analysed"),
         F.round(F.avg("overall"), 6).alias("avg_overall"),
         F.count_if("is_valid").alias("n_valid"),
         F.count_if("prasa").alias("n_rhyme"),
-        F.count_if((F.col("feet1.valid") == 4) & (F.col("feet2.valid") == 4)).alias("n_feet"),
-        F.count_if((F.coalesce("yati1", F.lit("x")) != "no_match") & (F.coalesce("yati2", F.lit("x")) != "no_match")).alias("n_yati"),
+        F.count_if(fine & (F.col("feet1.valid") == 4) & (F.col("feet2.valid") == 4)).alias("n_feet"),
+        F.count_if(fine & (F.coalesce("yati1", F.lit("x")) != "no_match") & (F.coalesce("yati2", F.lit("x")) != "no_match")).alias("n_yati"),
+        F.count_if(~fine).alias("n_errors"),
     )
-    total = poems.agg(F.count(F.lit(1)).alias("n_records"))
-    return total.crossJoin(got).withColumn("n_errors", F.col("n_records") - F.col("n_analysed"))
 
 
 def metre_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
