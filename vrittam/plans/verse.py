@@ -34,9 +34,10 @@ def source_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weight_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of the first line in the scope of the word and of the line."""
-    two = metre.with_lines(_poems(spark, sf_dir), "poem").filter("line2 is not null").withColumn("s", P.syllables(F.col("line1")))
-    return two.select("rec_id", P.weights(F.col("s"), "word").alias("by_word"), P.weights(F.col("s"), "line").alias("by_line"), F.size(P.pure(F.col("s"))).cast("bigint").alias("n_syllables"))
+    """Weights of both lines in the scope of the word and of the line."""
+    two = metre.with_lines(_poems(spark, sf_dir), "poem").filter("line2 is not null").select("rec_id", F.posexplode(F.array("line1", "line2")).alias("k", "line"))
+    two = two.withColumn("s", P.syllables(F.col("line")))
+    return two.select("rec_id", (F.col("k") + 1).alias("k"), P.weights(F.col("s"), "word").alias("by_word"), P.weights(F.col("s"), "line").alias("by_line"), F.size(P.pure(F.col("s"))).cast("bigint").alias("n_syllables"))
 
 
 def variant_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +116,20 @@ def level1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metre_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Analysis of a record as text: feet, alliteration and rhyme of its first line, null without feet."""
+    """Feet of both lines of a record as text: syllables, name, weights and kind of each; null without feet."""
     got = metre.analyse(_poems(spark, sf_dir), "poem")
-    at = [F.lit(1), F.col("feet1.a") + 1, F.col("feet1.a") + F.col("feet1.b") + 1, F.col("feet1.a") + F.col("feet1.b") + F.col("feet1.c") + 1]
-    names = metre.foot_names("feet1", "gana1")
-    parts = [F.concat(F.array_join(F.slice("syl1", p, F.col(f"feet1.{k}")), ""), F.lit(" ("), F.coalesce(F.get(names, F.lit(i)), F.lit("unknown")), F.lit(" - "), F.substring(F.col("gana1"), p, F.col(f"feet1.{k}")), F.lit(")")) for i, (p, k) in enumerate(zip(at, "abcd"))]
-    return got.select("rec_id", F.when(F.col("feet1").isNotNull(), F.concat_ws(" | ", *parts)).alias("breakdown"))
+    made = []
+    for n in "12":
+        feet, gana = f"feet{n}", F.col(f"gana{n}")
+        at = [F.lit(1), F.col(f"{feet}.a") + 1, F.col(f"{feet}.a") + F.col(f"{feet}.b") + 1, F.col(f"{feet}.a") + F.col(f"{feet}.b") + F.col(f"{feet}.c") + 1]
+        names = metre.foot_names(feet, f"gana{n}")
+        parts = []
+        for i, (p, k) in enumerate(zip(at, "abcd")):
+            w = F.substring(gana, p, F.col(f"{feet}.{k}"))
+            kind = F.when(w.isin(*A.INDRA), "Indra").when(w.isin(*A.SURYA), "Surya").otherwise("unknown")
+            parts.append(F.concat(F.array_join(F.slice(f"syl{n}", p, F.col(f"{feet}.{k}")), ""), F.lit(" ("), F.coalesce(F.get(names, F.lit(i)), F.lit("unknown")), F.lit(" - "), w, F.lit(" - "), kind, F.lit(")")))
+        made.append(F.when(F.col(feet).isNotNull(), F.concat_ws(" | ", *parts)).alias(f"breakdown{n}"))
+    return got.select("rec_id", *made)
 
 
 def kannada_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,8 +272,8 @@ _DOUBLE = "(" + " OR ".join(f"contains(x, '{c}{_H}{c}')" for c in _C) + ")"
 ORACLE_SQL: dict[str, str] = {
     "couplet_scores": f"WITH {analysis_sql()} SELECT rec_id, gana1, gana2, rhyme, yati1, yati2, overall, is_valid FROM scored",
     "source_purity": f"WITH {analysis_sql('source,')} SELECT {CLEAN_SOURCE_SQL} AS work, count(*) AS total, count(*) FILTER (overall = 100.0) AS perfect, count(*) FILTER (is_valid) AS valid, 0::INT AS is_total, round(count(*) FILTER (overall = 100.0) * 100.0 / count(*), 4)::DOUBLE AS perfect_pct FROM scored GROUP BY 1 UNION ALL SELECT NULL, count(*), count(*) FILTER (overall = 100.0), count(*) FILTER (is_valid), 1::INT, round(count(*) FILTER (overall = 100.0) * 100.0 / count(*), 4)::DOUBLE FROM scored",
-    "weight_strings": f"WITH {lines_sql()}, s AS (SELECT rec_id, {_syllables_sql('l1')} AS sy FROM two) SELECT rec_id, {_weights_sql('sy', True)} AS by_word, {_weights_sql('sy', False)} AS by_line, len(list_filter(sy, lambda x: NOT list_contains([{_SEP_LIST}], x)))::BIGINT AS n_syllables FROM s",
-    "variant_confusion": f"WITH {lines_sql()}, s AS (SELECT rec_id, {_syllables_sql('l1')} AS sy FROM two), w AS (SELECT {_weights_sql('sy', True)} AS a, {_weights_sql('sy', False)} AS b FROM s), t AS (SELECT pattern FROM {_TABLE_SQL}) SELECT a = b AS agree, a IN (SELECT pattern FROM t) AS valid_by_word, b IN (SELECT pattern FROM t) AS valid_by_line, count(*) AS n FROM w GROUP BY ALL",
+    "weight_strings": f"WITH {lines_sql()}, s AS (SELECT rec_id, 1 AS k, {_syllables_sql('l1')} AS sy FROM two UNION ALL SELECT rec_id, 2, {_syllables_sql('l2')} FROM two) SELECT rec_id, k, {_weights_sql('sy', True)} AS by_word, {_weights_sql('sy', False)} AS by_line, len(list_filter(sy, lambda x: NOT list_contains([{_SEP_LIST}], x)))::BIGINT AS n_syllables FROM s",
+    "variant_confusion": f"WITH {lines_sql()}, s AS (SELECT rec_id, {_syllables_sql('l1')} AS sy FROM two UNION ALL SELECT rec_id, {_syllables_sql('l2')} FROM two), w AS (SELECT {_weights_sql('sy', True)} AS a, {_weights_sql('sy', False)} AS b FROM s), t AS (SELECT pattern FROM {_TABLE_SQL}) SELECT a = b AS agree, a IN (SELECT pattern FROM t) AS valid_by_word, b IN (SELECT pattern FROM t) AS valid_by_line, count(*) AS n FROM w GROUP BY ALL",
     "syllable_counts": f"SELECT x AS syllable, count(*) AS n, count(DISTINCT rec_id) AS n_records FROM ({_SYL_ROWS}) GROUP BY x",
     "syllable_top25": f"SELECT x AS syllable, count(*) AS n FROM ({_SYL_ROWS}) GROUP BY x ORDER BY n DESC, x LIMIT 25",
     "syllable_tags": f"SELECT tag, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN regexp_matches(x, '^[{_V}]') THEN 'vowel' END, CASE WHEN regexp_matches(x, '^[{_C}]') THEN 'consonant' END, CASE WHEN regexp_matches(x, '[{A.LONG_SIGNS}]|^[{A.LONG_VOWELS}]$') THEN 'long' END, CASE WHEN contains(x, 'ం') THEN 'nasal' END, CASE WHEN contains(x, 'ః') THEN 'breath' END, CASE WHEN regexp_matches(x, '[{_C}]{_H}[{_C}]') AND NOT {_DOUBLE} THEN 'cluster' END, CASE WHEN {_DOUBLE} THEN 'double' END], lambda t: t IS NOT NULL)) AS tag FROM ({_SYL_ROWS})) GROUP BY tag",
@@ -278,12 +287,14 @@ _NAME = "CASE {} " + " ".join(f"WHEN '{p}' THEN '{n}'" for p, n in {**A.INDRA, *
 
 
 def _part(start: str, size: str) -> str:
-    cut = f"substring(gana1, {start}, {size})"
-    return f"array_to_string(list_slice(pure1, {start}, {start} + {size} - 1), '') || ' (' || {_NAME.format(cut)} || ' - ' || {cut} || ')'"
+    cut = f"substring(gana, {start}, {size})"
+    kind = f"CASE WHEN {cut} IN ({', '.join(repr(p) for p in A.INDRA)}) THEN 'Indra' WHEN {cut} IN ({', '.join(repr(p) for p in A.SURYA)}) THEN 'Surya' ELSE 'unknown' END"
+    return f"array_to_string(list_slice(pure, {start}, {start} + {size} - 1), '') || ' (' || {_NAME.format(cut)} || ' - ' || {cut} || ' - ' || {kind} || ')'"
 
 
 ORACLE_SQL["reader_agreement"] = f"WITH {analysis_sql()}, v AS (SELECT gana1, gana2, gana1 IN (SELECT pattern FROM {_TABLE_SQL}) AS ok1, gana2 IN (SELECT pattern FROM {_TABLE_SQL}) AS ok2 FROM done) SELECT true AS same_weights, ok1 AND ok2 AS by_table, (ok1 OR gana1 = '') AND (ok2 OR gana2 = '') AND gana1 || gana2 <> '' AS by_reader, count(*) AS n FROM v GROUP BY ALL"
-ORACLE_SQL["metre_strings"] = f"WITH {analysis_sql()} SELECT rec_id, CASE WHEN a IS NOT NULL THEN {_part('1', 'a')} || ' | ' || {_part('(1 + a)', 'b')} || ' | ' || {_part('(1 + a + b)', 'c')} || ' | ' || {_part('(1 + a + b + c)', 'd')} END AS breakdown FROM done"
+_BREAKDOWN = f"CASE WHEN a IS NOT NULL THEN {_part('1', 'a')} || ' | ' || {_part('(1 + a)', 'b')} || ' | ' || {_part('(1 + a + b)', 'c')} || ' | ' || {_part('(1 + a + b + c)', 'd')} END"
+ORACLE_SQL["metre_strings"] = f"WITH {analysis_sql()}, m AS (SELECT rec_id, k, {_BREAKDOWN} AS t FROM kinds) SELECT rec_id, max(t) FILTER (k = 1) AS breakdown1, max(t) FILTER (k = 2) AS breakdown2 FROM m GROUP BY 1"
 
 ORACLE_SQL["line_prefixes"] = f"WITH t AS (SELECT pattern FROM {_TABLE_SQL}), b AS (SELECT DISTINCT substring(pattern, 1, k) AS prefix FROM t, range(0, 16) r(k) WHERE k <= length(pattern)) SELECT prefix, (CASE WHEN prefix || 'I' IN (SELECT prefix FROM b) THEN 'I' ELSE '' END) || (CASE WHEN prefix || 'U' IN (SELECT prefix FROM b) THEN 'U' ELSE '' END) AS next, prefix IN (SELECT pattern FROM t) AS complete, (SELECT min(length(pattern)) FROM t WHERE starts_with(pattern, b.prefix))::INT - length(prefix)::INT AS least_to_end FROM b"
 
