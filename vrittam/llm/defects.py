@@ -281,7 +281,7 @@ def fit(rows: list[tuple[str | None, str | None]]) -> Judge:
     Telugu lines. A verse line before another line is complete, and so is a sentence before another
     sentence; the end models compare both with the same texts cut at random places.
     """
-    languages, verse, prose = NgramBayes(), EndModel(), EndModel()
+    languages, verse, prose = NgramBayes(2), EndModel(), EndModel()
     for prompt, raw in rows:
         for text in (prompt, raw):
             for line in (text or "").split("\n"):
