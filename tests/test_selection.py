@@ -6,9 +6,10 @@ from vrittam.operators import selection as S
 
 
 def test_tags(spark):
-    df = spark.createDataFrame([([("river", "NOUN"), ("the", "DET"), ("Go", "VERB")], {"b + c": "x", "a": "y"}), (None, {"b + c": "x", "a": "y"}), (None, None)], "tags array<struct<token:string,pos:string>>, gloss map<string,string>")
+    df = spark.createDataFrame([([("river", "NOUN"), ("the", "DET"), ("Go", "VERB")], 1), (None, 1), (None, None)], "tags array<struct<token:string,pos:string>>, glossed int")
+    df = df.withColumn("gloss", F.when(F.col("glossed") == 1, F.create_map(*[F.lit(x) for x in ("b + c", "x", "a", "y")])))
     got = df.select(S.content_tags(F.col("tags"), ("go",)).alias("c"), S.first_nouns(F.col("tags"), F.col("gloss")).alias("n")).collect()
-    assert [t.token for t in got[0].c] == ["river"] and got[0].n == ["river"] and got[1].n == ["a", "b"] and got[2].n == []
+    assert [t.token for t in got[0].c] == ["river"] and got[0].n == ["river"] and got[1].n == ["b", "a"] and got[2].n == []
 
 
 def test_ranges_and_texts(spark):
