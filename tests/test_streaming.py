@@ -108,7 +108,7 @@ def test_alliteration_while_reading(spark):
         seen = [VerseState().feed(bad[:k]).yati_alive() for k in range(len(bad) + 1)]
         assert seen == sorted(seen, reverse=True)
     df = spark.createDataFrame([(1, COUPLETS[0]), (2, None), (3, "".join(chr(ord(c) + 0x80) if "\u0c00" <= c <= "\u0c7f" else c for c in COUPLETS[0]))], "id int, text string")
-    got = {r.id: r for r in prefix_states(df, "id", "text").collect()}
+    got = {r.id: r for r in prefix_states(df, "id", "text", kannada=True).collect()}
     assert got[1].line_no == 2 and got[1].accepts and got[2].weights == "" and got[2].alive and got[3].weights == got[1].weights
     scores = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.25), ("a", 9, 0.1), ("b", 1, 0.75)], "prefix string, token_id int, score double")
     mask = spark.createDataFrame([("a", 2, True)], "prefix string, token_id int, accepts boolean")

@@ -41,16 +41,16 @@ def read_stream(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("stream_id").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
 
 
-def read_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Batch form over whole texts: ``id``, weights of the finished lines joined by ``|``, and whether all are valid. Kannada letters are read as the Telugu ones at their places. Narrow."""
-    kind = df.schema[id_col].dataType.simpleString()
+def read_lines(df: DataFrame, id_col: str, text_col: str, kannada: bool = False) -> DataFrame:
+    """Batch form over whole texts: ``id``, weights of the finished lines joined by ``|``, and whether all are valid. With ``kannada`` its letters are read as the Telugu ones at their places. Narrow."""
+    kind, letters = df.schema[id_col].dataType.simpleString(), KANNADA if kannada else {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from .reader import tables
 
         full = tables()[0]
         for pdf in batches:
-            ends = [VerseState().feed((t or "").translate(KANNADA) + "\n").lines for t in pdf["t"]]
+            ends = [VerseState().feed((t or "").translate(letters) + "\n").lines for t in pdf["t"]]
             yield pd.DataFrame({"id": pdf["i"], "weights": ["|".join(x) for x in ends], "all_valid": [bool(x) and all(w in full for w in x) for x in ends]})
 
     return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, weights string, all_valid boolean")
@@ -154,16 +154,16 @@ def script_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.filter(F.col("token_text").rlike(r"^[\x{0C00}-\x{0C7F} \n:]+$"))
 
 
-def prefix_states(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def prefix_states(df: DataFrame, id_col: str, text_col: str, kannada: bool = False) -> DataFrame:
     """``id``, ``line_no``, ``weights``, ``alive``, ``yati_alive``, ``accepts``: the state behind every text, read from its beginning. Narrow.
 
-    Null texts are empty.
+    Null texts are empty. With ``kannada`` its letters are read as the Telugu ones at their places.
     """
-    kind = df.schema[id_col].dataType.simpleString()
+    kind, letters = df.schema[id_col].dataType.simpleString(), KANNADA if kannada else {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            s = [VerseState().feed((t or "").translate(KANNADA)) for t in pdf["t"]]
+            s = [VerseState().feed((t or "").translate(letters)) for t in pdf["t"]]
             yield pd.DataFrame({"id": pdf["i"], "line_no": [len(x.lines) + 1 for x in s], "weights": [x.line() for x in s], "alive": [x.alive() for x in s], "yati_alive": [x.yati_alive() for x in s], "accepts": [x.accepts() for x in s]})
 
     return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, line_no int, weights string, alive boolean, yati_alive boolean, accepts boolean")
