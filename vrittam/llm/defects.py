@@ -174,8 +174,8 @@ class Judge:
     def defect(self, prompt: str | None, raw: str | None) -> str | None:
         text = _MARKUP.sub(" ", _FORMAT.sub("", raw or "").replace("\r", "\n"))
         lines = [x for x in (y.strip() for y in text.split("\n")) if x]
-        said = [w for w in words(text) if w.lower() not in LABEL_WORDS and w.lower() not in PLACEHOLDERS]
-        if not said and "\ufffd" not in text:
+        said = words(text)
+        if not any(map(_tells, said)) and "\ufffd" not in text:
             return "empty"
         asked = self.prompt(prompt or "")
         refuses = bool(REFUSALS.search(text))
@@ -187,7 +187,7 @@ class Judge:
             return self._after(units, at + 2)
         if refuses:
             return "refusal"
-        if _copied(said, asked.grams):
+        if _copied(list(filter(_tells, said)), asked.grams):
             return "copy"
         return self._other(lines, units, asked.want)
 
@@ -201,13 +201,15 @@ class Judge:
         for piece, w in pieces:
             if all(x.lower() in LABEL_WORDS for x in w):
                 continue
+            if len(w) > 8:
+                out.append((piece, None, False))
+                continue
             language = self.languages.best(w)
             feet = [foot_of(x) for x in w] if language in ("te", "kn") else []
             metrical = len(feet) == 4 and all(f in FEET for f in feet[:3]) and feet[3] in LAST_FEET
             stop = piece.rstrip().endswith(".")
             if (
-                len(w) > 8
-                or language in ("en", "te-Latn")
+                language in ("en", "te-Latn")
                 or (len(w) != 4 and stop)
                 or (piece.rstrip().endswith(":") and not metrical)
                 or PROSE_LABEL.match(piece)
@@ -252,6 +254,12 @@ class Judge:
         return "truncated"
 
 
+def _tells(word: str) -> bool:
+    """A word that is no label and no placeholder."""
+    low = word.lower()
+    return low not in LABEL_WORDS and low not in PLACEHOLDERS
+
+
 def _grams(text: str) -> list[str]:
     t = f" {text.lower()} "
     return [t[i : i + 3] for i in range(len(t) - 2)]
