@@ -16,7 +16,7 @@ from ..operators import filters, instructions, lines, metre, profiles
 from ..scratch import table
 from ..sources import formats, pages
 from ..streaming.streams import prefix_states
-from .verse import _BASE, _DOUBLE, _SYL_ROWS, CLEAN_SOURCE_SQL, POEMS, _syllables_sql, _weights_sql, analysis_sql, lines_sql
+from .verse import _DOUBLE, _SYL_ROWS, CLEAN_SOURCE_SQL, POEMS, _syllables_sql, _weights_sql, analysis_sql, lines_sql
 
 SEED = 11
 DRAW_WEIGHTS = {"GN1": 0.2, "GN2": 0.16, "GN3": 0.1, "GN4": 0.12, "AN1": 0.14, "AN2": 0.14, "RT1": 0.07, "SP1": 0.06}
