@@ -52,13 +52,16 @@ def clean_text(text: Column, extra: str = "", trailing_digits: bool = False, par
     other empty lines stay. Null stays null.
     """
 
+    def parted(c: Column, line: Column) -> Column:
+        pieces = F.filter(F.transform(F.split(c, "-"), strip), lambda x: x != "")
+        return F.when(~F.startswith(line, F.lit("#")) & F.contains(c, F.lit("-")), pieces).otherwise(F.array(c))
+
     def one(line: Column) -> Column:
         cleaned = clean_line(line, extra, trailing_digits)
-        if not part_hyphens:
-            return F.array(cleaned)
-        pieces = F.filter(F.transform(F.split(cleaned, "-"), strip), lambda x: x != "")
-        return F.when(~F.startswith(line, F.lit("#")) & F.contains(cleaned, F.lit("-")), pieces).otherwise(F.array(cleaned))
+        # bound by a lambda, so that the line is cleaned once
+        return F.flatten(F.transform(F.array(cleaned), lambda c: parted(c, line)))
 
     before = F.split(text, "\n")
-    after = F.array_join(F.flatten(F.transform(before, one)), "\n")
-    return F.when(text.isNotNull(), F.struct(after.alias("text"), F.size(before).alias("lines"), (F.length(text) - F.length(after)).alias("removed")))
+    after = F.flatten(F.transform(before, one)) if part_hyphens else F.transform(before, lambda x: clean_line(x, extra, trailing_digits))
+    made = F.transform(F.array(F.array_join(after, "\n")), lambda t: F.struct(t.alias("text"), F.size(before).alias("lines"), (F.length(text) - F.length(t)).alias("removed")))
+    return F.when(text.isNotNull(), F.get(made, F.lit(0)))
