@@ -297,3 +297,26 @@ def test_overlaps_of_long_texts_in_any_order(spark):
         rows.append((2 * k + 1, " ".join(a), " ".join(y), "val"))
     want = overlap_pairs(rows)
     assert len(want) >= 120 and overlaps_got(spark, rows) == want
+
+
+def all_near(rows):
+    text = [(i, " ".join(folded_words(a)), " ".join(folded_words(b)), letters(a)) for i, a, b in rows]
+    near = neardup.near
+    return {(x[0], y[0]) for x, y in itertools.combinations(sorted(text), 2) if x[3] != y[3] and near(x[1], y[1], neardup.CHANGED_A) and near(x[2], y[2], neardup.CHANGED_B)}
+
+
+def test_near_duplicates_of_one_vocabulary(spark):
+    """Records that only share common words are not kept until they are verified: their number would grow with the square of the table."""
+    rng = random.Random(21)
+    poem, meaning = [word(rng) for _ in range(60)], [word(rng) for _ in range(60)]
+    rows = []
+    for k in range(800):
+        p, m = rng.choices(poem, k=8), rng.choices(meaning, k=12) + meaning[:9]
+        rows.append((2 * k, " ".join(p), " ".join(m)))
+        if k % 20 == 0:
+            p[rng.randrange(8)] = word(rng)
+            rows.append((2 * k + 1, " ".join(p), " ".join(rng.sample(m, len(m)))))
+    op = neardup.NearDuplicates(spark.createDataFrame(rows, "rec_id int, poem string, meaning string"), "rec_id", "poem", "meaning")
+    want = all_near(rows)
+    assert len(want) >= 35 and op.candidates().count() <= 3 * len(want)
+    assert {tuple(r) for r in op.pairs().collect()} == want

@@ -1,7 +1,10 @@
 """Near-duplicate records with small edits in two text fields.
 
-SuperMinHash signatures of both fields, bands that join rows of both, exact verification of the
-candidate pairs, and union-find grouping by connected components. Exact copies are one class from
+Two texts that are near share one of their rarest words (:mod:`.rarest`), in either field. Classes meet
+by such a word of the first field, and by it and one of the second where very many classes keep it, so
+every pair meets, without a cap. A pair leaves the join only if the words that each lacks are not too many,
+told by a bit for each word: that rules out nearly all others and no pair. Then come exact
+verification and union-find grouping by connected components. Exact copies are one class from
 the start, so a group of copies costs one row in every later step.
 """
 
@@ -13,22 +16,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .superminhash import band_keys, grams, signatures
+from .rarest import first_words, ordered, slices, vocabulary
 from .textfold import folded_words
-from ..scratch import materialise
+from ..scratch import drop, materialise
 from .components import connected_components
 from ..operators.hotkeys import HOT_ROWS, hot_keys, join_hot, small
 
-#: Characters of a gram; bands; rows of the first and of the second field in a band. A pair at the
-#: limit (three words of eight and one of seven replaced) has word similarities of about 0.45 and
-#: 0.75, so a band holds it together with probability 0.15 and all bands miss it with 0.001.
-GRAM, BANDS, ROWS_A, ROWS_B = 4, 40, 2, 1
-#: Classes of one first field from which they are kept from meeting each other; rows from which a band is spread; buckets of the first count.
+#: Classes that keep one word of the first field, from which it is combined with the words of the second.
+WIDE = 256
+#: Classes of one first field from which they are kept from meeting each other; rows from which a key is spread; buckets of the first count.
 POPULAR, HOT_BAND, BUCKETS = 200, 2000, 1 << 18
+#: Words or identifiers up to which they are broadcast: some megabytes.
+KEYS = 1_000_000
 #: Largest shares of changed words in the two fields.
 CHANGED_A, CHANGED_B = 3 / 8, 1 / 7
 
@@ -56,23 +59,40 @@ def folded(df: DataFrame, id_col: str, a_col: str, b_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("i"), F.col(a_col).cast("string").alias("a"), F.col(b_col).cast("string").alias("b")).mapInArrow(run, schema)
 
 
-def banded(texts: DataFrame, *kept: str) -> DataFrame:
-    """``id``, ``key`` and the columns ``kept`` of every band of texts ``id``, ``a``, ``b``."""
-    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("key", T.LongType()), *[texts.schema[c] for c in kept]])
+def rare_words(texts: list[str], field: int, share: float, *tables: np.ndarray) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+    """Hashes of the rarest words of each text, one of which any text near it has among its own; a bit for each of its words; and how many it may lack."""
+    of, element, told = ordered(texts, field, share, *tables)
+    _, lists = first_words(of, element, told["size"], np.minimum(told["size"], told["keep"]))
+    bits = np.zeros(len(texts), dtype=np.uint64)
+    np.bitwise_or.at(bits, of, np.uint64(1) << (element >> np.uint64(58)))
+    return lists, bits, told["keep"] - 1
+
+
+def kept(texts: DataFrame) -> DataFrame:
+    """``id``, ``class_key``, ``letters_key`` of texts with ``a``, ``b`` and, for both fields, ``k`` (hashes of the rarest words), ``bits`` and ``lack`` of :func:`rare_words`."""
+    tables = texts.sparkSession.sparkContext.broadcast(vocabulary(texts))
+    keys = ("id", "class_key", "letters_key")
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 2000):
-                batch = big.slice(at, 2000)
-                n = batch.num_rows
-                sa = signatures(*grams(batch.column(1).to_pylist(), GRAM), n, BANDS * ROWS_A, seed=1)
-                sb = signatures(*grams(batch.column(2).to_pylist(), GRAM), n, BANDS * ROWS_B, seed=2)
-                for j in range(BANDS):
-                    tag = np.full((n, 1), j, dtype=np.float32)
-                    key = band_keys([tag, sa[:, j * ROWS_A : (j + 1) * ROWS_A], sb[:, j * ROWS_B : (j + 1) * ROWS_B]])
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key.view(np.int64)), *batch.columns[3:]], names=schema.names)
+        for batch in slices(batches, 2000):
+            cols = list(batch.columns[:3])
+            for field, share in enumerate((CHANGED_A, CHANGED_B)):
+                lists, bits, lack = rare_words(batch.column(3 + field).to_pylist(), field, share, *tables.value)
+                cols += [lists, pa.array(bits.view(np.int64)), pa.array(lack, type=pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keys, "k_a", "bits_a", "lack_a", "k_b", "bits_b", "lack_b"])
+
+    return texts.select(*keys, "a", "b").mapInArrow(run, f"{kinds}, k_a array<bigint>, bits_a bigint, lack_a int, k_b array<bigint>, bits_b bigint, lack_b int")
 
-    return texts.select("id", "a", "b", *kept).mapInArrow(run, schema)
+
+def _may_be_near(fields: str = "ab") -> Column:
+    """The words of ``l`` that ``r`` lacks are not too many, nor the reverse, in ``fields``: words that are lacking have at least as many as their bits."""
+    out = F.lit(True)
+    for f in fields:
+        x, y = F.col(f"l_bits_{f}"), F.col(f"r_bits_{f}")
+        out &= F.bit_count(x.bitwiseAND(F.bitwise_not(y))) <= F.col(f"l_lack_{f}")
+        out &= F.bit_count(y.bitwiseAND(F.bitwise_not(x))) <= F.col(f"r_lack_{f}")
+    return out
 
 
 def changed_words(x: list[str], y: list[str]) -> int:
@@ -134,6 +154,18 @@ def _both_near(a1: pd.Series, a2: pd.Series, b1: pd.Series, b2: pd.Series) -> pd
     return pd.Series([near(p, q, CHANGED_A) and near(r, s, CHANGED_B) for p, q, r, s in zip(a1, a2, b1, b2)], dtype=bool)
 
 
+#: What a key carries of its class.
+_TOLD = ("id", "bits_a", "lack_a", "bits_b", "lack_b")
+
+
+def _keyed(reps: DataFrame, wide: DataFrame, *more: str) -> DataFrame:
+    """``key``, what it carries and the columns ``more``, for each rare word of the first field, and for each with one of the second if it is ``wide``."""
+    words = reps.select(*more, *_TOLD, "k_b", F.explode("k_a").alias("key"))
+    words = words.join(small(wide.withColumn("wide", F.lit(True)), KEYS), "key", "left")
+    keys = F.when(F.col("wide"), F.transform("k_b", lambda k: F.xxhash64("key", k))).otherwise(F.array("key"))
+    return words.select(F.explode(keys).alias("key"), *_TOLD, *more)
+
+
 class NearDuplicates:
     """Stages of the operator over one table; each is made once.
 
@@ -148,36 +180,44 @@ class NearDuplicates:
         #: class members; the join with the classes is by key, its hot keys are spread
         hot = hot_keys(self.classes, ["class_key"], hot_rows=HOT_ROWS)
         self.members = join_hot(self.rows.select("class_key", "letters_key", "id"), self.classes.select("class_key", "rep"), ["class_key"], hot)
-        self.reps = self.rows.join(self.classes.select(F.col("rep").alias("id")), "id", "left_semi")
+        #: of the classes, :func:`kept` under the identifier of one record
+        self.reps = materialise(kept(self.rows).join(self.classes.select("class_key", F.col("rep").alias("id")), ["class_key", "id"], "left_semi").drop("class_key"), "kept")
 
     def candidates(self) -> DataFrame:
-        """Distinct pairs of class representatives that share a band.
+        """Distinct pairs of class representatives that share rare words and may be near.
 
         Two records of one first field are no pair. Those of a first field that many classes have
-        would still meet each other in their bands, so they meet the others and, by groups
+        would still meet each other, so they meet the others and, by groups
         of equal first fields, one another.
         """
         popular = self.reps.groupBy("letters_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= POPULAR)
         popular = materialise(popular.select("letters_key"), "popular")
+        wide = self.reps.select(F.explode("k_a").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= WIDE)
+        wide = materialise(wide.select("key"), "wide")
         if popular.isEmpty():
-            return self._meet(banded(self.reps)).filter("x < y").distinct()
-        cold = banded(self.reps.join(small(popular), "letters_key", "left_anti"))
-        many = materialise(banded(self.reps.join(small(popular), "letters_key", "left_semi"), "letters_key"), "many")
+            return self._meet(_keyed(self.reps, wide)).distinct()
+        cold = _keyed(self.reps.join(small(popular), "letters_key", "left_anti"), wide)
+        many = materialise(_keyed(self.reps.join(small(popular), "letters_key", "left_semi"), wide, "letters_key"), "many")
         groups = many.select("key", "letters_key").distinct()
         two = groups.toDF("key", "lx").join(groups.toDF("key", "ly"), "key").filter("lx < ly")
-        among = two.join(many.toDF("x", "key", "lx"), ["key", "lx"]).join(many.toDF("y", "key", "ly"), ["key", "ly"])
-        out = self._meet(cold).filter("x < y").union(self._meet(cold, many)).union(among.select("x", "y"))
+        side = lambda name, letters: many.select("key", F.col("letters_key").alias(letters), *[F.col(c).alias(f"{name}_{c}") for c in _TOLD])
+        among = two.join(side("l", "lx"), ["key", "lx"]).join(side("r", "ly"), ["key", "ly"])
+        among = among.filter(_may_be_near()).select(F.col("l_id").alias("x"), F.col("r_id").alias("y"))
+        out = self._meet(cold).union(self._meet(cold, many)).union(among)
         return out.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
-    def _meet(self, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-        """``x``, ``y`` of equal band key; keys of many rows are spread."""
+    def _meet(self, left: DataFrame, right: DataFrame | None = None, fields: str = "ab") -> DataFrame:
+        """``x``, ``y`` of equal key that may be near, ``x`` < ``y`` within one table; keys of many rows are spread."""
         hot = self._hot_bands(left)
-        right = left if right is None else right
-        a, b = left.select(F.col("id").alias("x"), "key"), right.select(F.col("id").alias("y"), "key")
-        return join_hot(a, b, ["key"], hot).select("x", "y")
+        other = left if right is None else right
+        side = lambda df, name: df.select("key", *[F.col(c).alias(f"{name}_{c}") for c in _TOLD])
+        met = join_hot(side(left, "l"), side(other, "r"), ["key"], hot)
+        if right is None:
+            met = met.filter("l_id < r_id")
+        return met.filter(_may_be_near(fields)).select(F.col("l_id").alias("x"), F.col("r_id").alias("y"))
 
     def _hot_bands(self, keys: DataFrame) -> DataFrame | None:
-        """Band keys of :data:`HOT_BAND` or more rows.
+        """Keys of :data:`HOT_BAND` or more rows.
 
         Exact in two passes: keys are counted by :data:`BUCKETS` buckets, which merge on the map
         side, and only keys of buckets that reach the number are counted one by one.
@@ -189,11 +229,19 @@ class NearDuplicates:
         counts = keys.withColumn("bucket", bucket).join(F.broadcast(full), "bucket", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         return hot_keys(materialise(counts.filter(F.col("n") >= HOT_BAND), "bands"), ["key"], hot_rows=HOT_BAND)
 
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``x``, ``y`` that are near in both fields; only texts of their records move."""
+        pairs = materialise(pairs, "met")
+        ids = materialise(pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct(), "ids")
+        text = materialise(self.rows.select("id", "a", "b").join(small(ids, KEYS), "id", "left_semi"), "texts")
+        told = pairs.join(text.toDF("x", "a1", "b1"), "x").join(text.toDF("y", "a2", "b2"), "y")
+        out = materialise(told.filter(_both_near("a1", "a2", "b1", "b2")).select("x", "y"), "links")
+        drop(pairs, ids, text)
+        return out
+
     def links(self) -> DataFrame:
         """Verified pairs ``x`` < ``y`` of class representatives."""
-        text = self.reps.select("id", "a", "b")
-        pairs = self.candidates().join(text.toDF("x", "a1", "b1"), "x").join(text.toDF("y", "a2", "b2"), "y")
-        return materialise(pairs.filter(_both_near("a1", "a2", "b1", "b2")).select("x", "y"), "links")
+        return self._verified(self.candidates())
 
     def groups(self) -> DataFrame:
         """``id``, ``group_id`` (smallest identifier) of the records of groups with at least two records."""

@@ -80,12 +80,3 @@ def signatures(h: np.ndarray, doc: np.ndarray, n_docs: int, m: int, seed: int =
             uniq, perm = uniq[used], perm[used]
             rows = np.arange(len(uniq))
     return sig.reshape(n_docs, m)
-
-
-def band_keys(parts: list[np.ndarray]) -> np.ndarray:
-    """One 64-bit key per row of the given signature columns (rows: texts; each part n_docs x r)."""
-    key = np.zeros(len(parts[0]), dtype=_U)
-    for part in parts:
-        for col in part.T:
-            key = mix(key ^ np.ascontiguousarray(col).view(np.uint32).astype(_U))
-    return key
