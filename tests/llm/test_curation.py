@@ -320,3 +320,39 @@ def test_near_duplicates_of_one_vocabulary(spark):
     want = all_near(rows)
     assert len(want) >= 35 and op.candidates().count() <= 3 * len(want)
     assert {tuple(r) for r in op.pairs().collect()} == want
+
+
+def test_near_duplicates_at_the_limit(spark):
+    """Three words of eight and one of seven changed, words too short for a gram of letters, and a meaning run together."""
+    rng = random.Random(22)
+    short = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3))
+    rows = []
+    for k in range(150):
+        p, m = [short() for _ in range(8)], [short() for _ in range(21)]
+        rows.append((2 * k, " ".join(p), " ".join(m)))
+        for text, n in ((p, 3), (m, 3)):
+            for i in rng.sample(range(len(text)), n):
+                text[i] = short()
+        rows.append((2 * k + 1, " ".join(rng.sample(p, 8)), " ".join(m)))
+    p, m = [word(rng) for _ in range(8)], [word(rng) for _ in range(90)]
+    rows += [(1000, " ".join(p), " ".join(m)), (1001, " ".join([*p[:7], "x"]), "".join(m))]
+    assert len(rows[-1][2]) > 400
+    want = all_near(rows)
+    op = neardup.NearDuplicates(spark.createDataFrame(rows, "rec_id int, poem string, meaning string"), "rec_id", "poem", "meaning")
+    assert len(want) >= 151 and (1000, 1001) in want and {tuple(r) for r in op.pairs().collect()} == want
+
+
+def test_groups_of_one_poem(spark):
+    """Very many records of one poem whose meanings are near are one group, and no pairs; words may be parted otherwise."""
+    rng = random.Random(23)
+    p, m = [word(rng) for _ in range(8)], [word(rng) for _ in range(21)]
+    text = "".join(p)
+    rows = []
+    for k in range(neardup.POPULAR + 10):
+        y = list(m)
+        y[k % 21] = f"{word(rng)}{k}"
+        rows.append((k, " ".join(p) if k % 7 else f"{text[:5]} {text[5:]}", " ".join(y)))
+    rows += [(1000 + k, " ".join(p), " ".join(word(rng) for _ in range(21))) for k in range(5)]
+    op = neardup.NearDuplicates(spark.createDataFrame(rows, "rec_id int, poem string, meaning string"), "rec_id", "poem", "meaning")
+    assert {tuple(r) for r in op.groups().collect()} == {(k, 0, neardup.POPULAR + 10) for k in range(neardup.POPULAR + 10)}
+    assert op.pairs().count() == 0

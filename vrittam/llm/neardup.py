@@ -11,7 +11,7 @@ the start, so a group of copies costs one row in every later step.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -127,11 +127,12 @@ def _may_join(parts: dict[str, int], wholes: dict[str, int]) -> bool:
 
 def _unjoin(words: list[str], rest: Counter, other: Counter) -> None:
     """Take out neighbours left in ``rest`` whose concatenation is a word left in ``other``."""
+    longest = max(map(len, other), default=0)
     for i in range(len(words) - 1):
         if not rest[words[i]]:
             continue
         joined, j = words[i], i + 1
-        while j < len(words) and rest[words[j]] and len(joined) < 400:
+        while j < len(words) and rest[words[j]] and len(joined) < longest:
             joined += words[j]
             j += 1
             if other[joined]:
@@ -154,6 +155,11 @@ def _both_near(a1: pd.Series, a2: pd.Series, b1: pd.Series, b2: pd.Series) -> pd
     return pd.Series([near(p, q, CHANGED_A) and near(r, s, CHANGED_B) for p, q, r, s in zip(a1, a2, b1, b2)], dtype=bool)
 
 
+@F.pandas_udf(T.BooleanType())
+def _same_and_near(a1: pd.Series, a2: pd.Series, b1: pd.Series, b2: pd.Series) -> pd.Series:
+    return pd.Series([p.replace(" ", "") == q.replace(" ", "") and near(r, s, CHANGED_B) for p, q, r, s in zip(a1, a2, b1, b2)], dtype=bool)
+
+
 #: What a key carries of its class.
 _TOLD = ("id", "bits_a", "lack_a", "bits_b", "lack_b")
 
@@ -229,19 +235,34 @@ class NearDuplicates:
         counts = keys.withColumn("bucket", bucket).join(F.broadcast(full), "bucket", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         return hot_keys(materialise(counts.filter(F.col("n") >= HOT_BAND), "bands"), ["key"], hot_rows=HOT_BAND)
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``x``, ``y`` that are near in both fields; only texts of their records move."""
+    def _alike(self) -> DataFrame | None:
+        """Distinct pairs of class representatives with one first field whose second fields share a rare word and may be near."""
+        several = self.reps.groupBy("letters_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        several = materialise(several.select("letters_key"), "several")
+        if several.isEmpty():
+            return None
+        words = self.reps.join(small(several), "letters_key", "left_semi").select("letters_key", F.explode("k_b").alias("k"), *_TOLD)
+        return self._meet(words.select(F.xxhash64("letters_key", "k").alias("key"), *_TOLD), fields="b").distinct()
+
+    def _verified(self, pairs: DataFrame, are_near: Callable[..., Column]) -> DataFrame:
+        """The pairs ``x``, ``y`` whose texts ``are_near``; only texts of their records move."""
         pairs = materialise(pairs, "met")
         ids = materialise(pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct(), "ids")
         text = materialise(self.rows.select("id", "a", "b").join(small(ids, KEYS), "id", "left_semi"), "texts")
         told = pairs.join(text.toDF("x", "a1", "b1"), "x").join(text.toDF("y", "a2", "b2"), "y")
-        out = materialise(told.filter(_both_near("a1", "a2", "b1", "b2")).select("x", "y"), "links")
+        out = materialise(told.filter(are_near("a1", "a2", "b1", "b2")).select("x", "y"), "links")
         drop(pairs, ids, text)
         return out
 
-    def links(self) -> DataFrame:
-        """Verified pairs ``x`` < ``y`` of class representatives."""
-        return self._verified(self.candidates())
+    def links(self, alike: bool = True) -> DataFrame:
+        """Verified pairs ``x`` < ``y`` of class representatives.
+
+        Records of one first field belong to one group if their second fields are near, but are no
+        pair: with ``alike`` false, classes of one first field are left out where they are many.
+        """
+        out = self._verified(self.candidates(), _both_near)
+        more = self._alike() if alike else None
+        return out if more is None else out.union(self._verified(more, _same_and_near)).distinct()
 
     def groups(self) -> DataFrame:
         """``id``, ``group_id`` (smallest identifier) of the records of groups with at least two records."""
@@ -257,7 +278,7 @@ class NearDuplicates:
 
     def pairs(self) -> DataFrame:
         """``id_a`` < ``id_b``: every two records of linked classes whose first fields are not copies of each other."""
-        links = self.links()
+        links = self.links(alike=False)
         linked = links.select(F.col("x").alias("rep")).union(links.select(F.col("y").alias("rep"))).distinct()
         hot = self._hot_classes()
         m = materialise(join_hot(self.members, linked, ["rep"], hot).select("rep", "id", "letters_key"), "linked")

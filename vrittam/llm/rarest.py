@@ -20,8 +20,6 @@ from .superminhash import mix
 _U = np.uint64
 #: Bits of the table of word counts that orders the words. Words of one place only cost time.
 PLACE_BITS = 22
-#: Letters from which words run together are not lengthened, as in ``neardup.near``.
-JOINED = 400
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -69,7 +67,7 @@ def _joins(h: np.ndarray, size: np.ndarray, of: np.ndarray, lengths: np.ndarray)
     at, whole, length, k = np.arange(len(h)), h, size, 2
     longest = len(lengths) - 1
     while True:
-        ok = (length < min(JOINED, longest)) & (at + k - 1 < len(h))
+        ok = (length < longest) & (at + k - 1 < len(h))
         at, whole, length = at[ok], whole[ok], length[ok]
         ok = of[at + k - 1] == of[at]
         at, whole, length = at[ok], whole[ok], length[ok]
@@ -134,12 +132,13 @@ def vocabulary(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 for _, k, whole in _joins(*_flat(batch.column(field).to_pylist()), lengths):
                     w = np.unique(_word_id(whole, field))
                     w = w[rarity[_place(w)] > 0]
-                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), k, dtype=np.int16))], names=["w", "k"])
+                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), k, dtype=np.int32))], names=["w", "k"])
 
-    wholes = rows.select("a", "b").mapInArrow(joined, "w bigint, k smallint").groupBy("w").agg(F.max("k").alias("k")).join(vocab.select("w"), "w", "left_semi")
-    parts = _counted(wholes.groupBy(place).agg(F.max("k").alias("n")), 1 << PLACE_BITS, np.int16)
+    wholes = rows.select("a", "b").mapInArrow(joined, "w bigint, k int").groupBy("w").agg(F.max("k").alias("k")).join(vocab.select("w"), "w", "left_semi")
+    parts = _counted(wholes.groupBy(place).agg(F.max("k").alias("n")), 1 << PLACE_BITS, np.int32)
     drop(vocab)
-    return rarity, parts, lengths
+    # a worker gets half as much unless a word has very many parts
+    return rarity, parts if parts.max() > np.iinfo(np.int16).max else parts.astype(np.int16), lengths
 
 
 def ordered(texts: list[str], field: int, share: float, rarity: np.ndarray, parts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
